@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import decontam, minhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,37 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_by_hyperminhash(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_hyperminhash": op8_hyperminhash}
+def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return decontam.digest(decontam.contamination(docs, benchmark, "doc_id", "text", "item_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_wu_manber": op5_wu_manber,
+    "op8_hyperminhash": op8_hyperminhash,
+}
 ORACLES: dict[str, str] = {
+    "op5_wu_manber": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, l, array_to_string(ws[i : i + l - 1], ' ') AS g
+  FROM (SELECT item_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM (SELECT *, least(13, len(ws)) AS l FROM b WHERE len(ws) > 0))
+), dw AS (
+  SELECT doc_id, l, i, array_to_string(ws[i : i + l - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(ws) >= l)
+), m AS (SELECT doc_id, item_id, dw.l, i FROM dw JOIN bw ON dw.g = bw.g AND dw.l = bw.l
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM (SELECT DISTINCT doc_id, l, i FROM m)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items.ks, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op8_hyperminhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
