@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash
+from . import decontam, minhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,17 @@ def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(docs, benchmark, "doc_id", "text", "item_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = tokens.token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_wu_manber": op5_wu_manber,
     "op8_hyperminhash": op8_hyperminhash,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op5_wu_manber": r"""
