@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, tokens
+from . import decontam, minhash, mixing, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(_read(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_wu_manber": op5_wu_manber,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_token_counts": op9_token_counts,
+    "op10_min_cost_mix": op10_min_cost_mix,
 }
 ORACLES: dict[str, str] = {
     "op5_wu_manber": r"""
