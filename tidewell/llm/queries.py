@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, tokens
+from . import decontam, minhash, mixing, quality, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_by_hyperminhash(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontam.digest(decontam.contamination(docs, benchmark, "doc_id", "text", "item_id", "text")).withColumnRenamed("id", "doc_id")
@@ -37,12 +42,38 @@ def op10_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_rule_cascade": op4_rule_cascade,
     "op5_wu_manber": op5_wu_manber,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_token_counts": op9_token_counts,
     "op10_min_cost_mix": op10_min_cost_mix,
 }
 ORACLES: dict[str, str] = {
+    "op4_rule_cascade": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)
+), twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM w) WHERE c > 1
+), r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id
+), b AS (
+  SELECT d.doc_id, text, ws, ls, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)
+), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+  OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+  OR (n_dup_lines >= 3 AND 2 * n_dup_lines > len(ls))
+  OR 5 * len(list_filter(ws, lambda x, i: i > 1 AND x = ws[i - 1])) > n_words
+  OR (length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g'))) / length(text) > 0.4
+  OR (length(text) - length(regexp_replace(text, '\p{L}+', '', 'g'))) / length(text) < 0.5
+  OR length(regexp_replace(text, '[^!?]+', '', 'g')) * 5 > n_words
+  OR len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t]*[-*•·] '))) / len(ls) > 0.9
+  OR len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)\s*$'))) / len(ls) > 0.3
+  OR NOT list_has_any(list_transform(ws, lambda x: lower(x)), [""" + ", ".join(f"'{w}'" for w in quality.COMMON) + r"""])) AS kept
+FROM f
+""",
     "op5_wu_manber": r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
