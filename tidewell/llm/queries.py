@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, quality, tokens
+from . import decontam, html, lines, minhash, mixing, quality, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_by_hyperminhash(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def op2_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(_read(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return found.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,6 +55,9 @@ def op10_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_template_text": op2_template_text,
+    "op3_warc_normaliser": op3_warc_normaliser,
     "op4_rule_cascade": op4_rule_cascade,
     "op5_wu_manber": op5_wu_manber,
     "op8_hyperminhash": op8_hyperminhash,
@@ -49,6 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_min_cost_mix": op10_min_cost_mix,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc_normaliser": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
+), r AS (SELECT *, payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top AS again FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM r
+""",
     "op4_rule_cascade": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
