@@ -7,13 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, lines, minhash, mixing, quality, tokens, warc
+from . import chat, decontam, html, language, lines, minhash, mixing, quality, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: `lang` is the declared language, the source stands for the host."""
+    docs = _read(spark, sf_dir, "documents")
+    model = language.fit(docs, "text", "lang")
+    found = language.identify(docs, model, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: text of the article, language of the markup, host and suffix of the address."""
+    pages = html.main_text(_read(spark, sf_dir, "pages"), "page_id", "url", "html")
+    tag = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    declared = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.nullif(tag, F.lit("")).alias("declared"))
+    model = language.fit(_read(spark, sf_dir, "documents"), "text", "lang")
+    host = F.lower(F.regexp_extract("url", r"^(?:.*?://)?(?:[^/?#]*@)?([^/?#:@]*)", 1))
+    found = language.identify(pages.join(declared, "id"), model, "id", "text", F.col("declared"), host, F.regexp_extract(host, r"([^.]*)$", 1))
+    return found.withColumnRenamed("id", "page_id")
+
+
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.preferences(_read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    masks = {f"{s}_mask": chat.spans_text(F.col(f"{s}_mask")) for s in ("chosen", "rejected")}
+    return found.withColumnRenamed("conv", "conv_id").withColumns(masks)
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return minhash.components_by_hyperminhash(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
@@ -60,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_normaliser": op3_warc_normaliser,
     "op4_rule_cascade": op4_rule_cascade,
     "op5_wu_manber": op5_wu_manber,
+    "op6_language_id": op6_language_id,
+    "language_id_pages": language_id_pages,
+    "op7_preference_pairs": op7_preference_pairs,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_token_counts": op9_token_counts,
     "op10_min_cost_mix": op10_min_cost_mix,
@@ -116,6 +144,18 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items.ks, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op7_preference_pairs": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), o AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, lag(text) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), e AS (SELECT *, coalesce(before, '') AS echo FROM o WHERE k = n AND role = 'assistant' AND text <> coalesce(before, '')
+), p AS (
+  SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) AS prompt FROM o WHERE k < n GROUP BY conv_id
+)
+SELECT e.conv_id, CAST(n - 1 AS INTEGER) AS n_common, coalesce(p.prompt, '') AS prompt,
+  '<|assistant|>' || chr(10) || text || '<|end|>' || chr(10) AS chosen_text, '14-' || CAST(14 + length(text) + 8 AS VARCHAR) AS chosen_mask,
+  '<|assistant|>' || chr(10) || echo || '<|end|>' || chr(10) AS rejected_text, '14-' || CAST(14 + length(echo) + 8 AS VARCHAR) AS rejected_mask
+FROM e LEFT JOIN p USING (conv_id)
 """,
     "op8_hyperminhash": r"""
 WITH RECURSIVE w AS (
