@@ -1,10 +1,85 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language, lines, near duplicates, benchmark passages, mixing.
+
+Each stage takes the documents that its predecessor kept, as written and read again, and
+returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import common, decontam, language, lines, minhash, mixing
+
+#: Five-word shingles and a similarity of 0.8, as for all stages on word shingles.
+NEAR = minhash.HyperMinHash(width=5, percent=80, rows=4)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no known language; `lang` becomes the language found."""
+    model = language.fit(docs, "text", "lang")
+    found = language.identify(docs, model, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
+    found = _once(found.where("kept"), "lang")
+    return docs.join(found, _same(docs, found)).select(*((found if c == "lang" else docs)[c] for c in docs.columns))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines met before; a document that loses all its lines goes."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = lines.dedup_lines(docs, "doc_id", "text", carry=carry).where("n_kept > 0 or n_lines = 0")
+    own = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*(own.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one of smallest id."""
+    found = _once(minhash.components_by_hyperminhash(docs, "doc_id", "text", NEAR).where("kept"))
+    return docs.join(found, _same(docs, found), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages make up 5 % or more go."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "doc_id", "text", "item_id", "text")
+    found = _once(found.where("contaminated"))
+    return docs.join(found, _same(docs, found), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mix, with the copies and the words taken of each (in place of columns of these names)."""
+    added = ["size", "copies", "taken"]
+    found = _once(mixing.mix_documents(docs, "doc_id", "text", "source").where("taken > 0"), *added)
+    return docs.join(found, _same(docs, found)).select(*(docs[c] for c in docs.columns if c not in added), *(found[c] for c in added))
+
+
+def _once(found: DataFrame, *columns: str) -> DataFrame:
+    """One decision for each id, as a small table; rows that repeat an id share the largest."""
+    one = found.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.struct(*columns) if columns else F.lit(True)).alias("one"))
+    return common.table(one.select("doc_id", *(F.col("one")[c].alias(c) for c in columns)), "decisions")
+
+
+def _same(docs: DataFrame, found: DataFrame) -> Column:
+    """Equal ids; null ids are one id."""
+    return docs["doc_id"].eqNullSafe(found["doc_id"])
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("lines", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("contamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: Neither language identification nor the closure of fuzzy lines can be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
