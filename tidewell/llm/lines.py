@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, own_names, table
+from .common import let, table
 from .graph import linked
 
 #: Blanks that are stripped from both ends of a line.
@@ -92,8 +93,8 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     return linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather)
 
 
-def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = LineMinHash()) -> DataFrame:
-    """(id, text, n_lines, n_kept, removed) of every row: `text` without lines met before.
+def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = LineMinHash(), carry: Sequence[str] = ()) -> DataFrame:
+    """(id, text, n_lines, n_kept, removed, and `carried`, a struct of the columns `carry` if given) of every row: `text` without lines met before.
 
     Lines are split at newlines and stripped of blanks at both ends for comparison; blank lines
     are not compared and stay.  Of each component of equal and similar lines (Jaccard of
@@ -102,10 +103,11 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = Li
 
     A null text stays null with no lines; a null id comes first in the order.  Rows that
     repeat both id and text share their lines' place and keep the same ones; rows that repeat
-    an id with other texts are apart.  Extra columns are ignored.  An empty table gives no rows.
+    an id with other texts are apart.  Columns not carried are ignored.  An empty table gives no rows.
     Lines are identified by 64-bit hashes.
     """
-    given = own_names(docs, id=id_col, text=text_col)
+    kept_on = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None)
+    given = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), kept_on.alias("carried"))
     lines = _occurrences(given)
     found = line_components(lines.select("line"), p)
     places = lines.select("doc", "at", "pos", F.xxhash64("line").alias("id")).join(found, "id", "left")
@@ -113,9 +115,9 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = Li
     first = places.groupBy("component").agg(F.count("*").alias("c"), F.min(F.struct("doc", "pos", "at")).alias("first")).where("c > 1")
     gone = places.join(first, "component").where(F.struct("doc", "pos", "at") != F.col("first")).groupBy("doc", "at").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     mine = given.withColumn("at", F.xxhash64("text"))
-    joined = mine.join(gone, mine["id"].eqNullSafe(gone["doc"]) & (mine["at"] == gone["at"]), "left").select("id", "text", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    joined = mine.join(gone, mine["id"].eqNullSafe(gone["doc"]) & (mine["at"] == gone["at"]), "left").select("id", "text", "carried", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     n_lines = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(_ENDS)) != "")), F.lit(0))
     kept = let(F.split("text", "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("removed")), lambda i: F.get(ls, i)), "\n"))
     text = F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))
-    counted = joined.select("id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), "removed")
-    return counted.select("id", "text", "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed")
+    counted = joined.select("id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), "removed", "carried")
+    return counted.select("id", "text", "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed", *(["carried"] if carry else []))
