@@ -44,6 +44,16 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """At most four partitions a core, each worked off in turn: many tiny tasks cost more than they compute."""
+    return df.coalesce(4 * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def only(rows: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """`rows` whose id is in `ids` (distinct, a written table): broadcast if there are at most `most`, else by a shuffled semi-join."""
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a scratch table that `table` wrote and that no later plan reads."""
     spark = df.sparkSession

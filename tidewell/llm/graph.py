@@ -6,25 +6,32 @@ in a scratch table, so a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import drop_table, packed
+from .common import table as _table
+
+
+def table(df: DataFrame, tag: str) -> DataFrame:
+    return _table(packed(df), tag)
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u > v)."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    joined = large.join(least, "u")
-    return (
-        joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .union(least.select("u", F.col("m").alias("v"))).distinct()
-    )
+    large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+    return joined.select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.*").where("u <> v").distinct()
+
+
+#: Edge sets up to this many rows (a few MB) are settled in one task, larger ones by shuffles.
+FEW = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,59 +40,149 @@ def components(edges: DataFrame) -> DataFrame:
     Union-find by alternating large and small stars: each round moves every node nearer to
     the least node it sees, so chains of any length end in O(log^2) rounds.  The minimum of
     a node's neighbours is a map-side combined aggregate; hubs are split by the adaptive
-    skew join.  Null ends and self-links are ignored; no edges give no rows.
+    skew join.  A round over at most FEW edges runs in one partition, without exchanges; the
+    plan is the same.  Null ends and self-links are ignored; no edges give no rows.
     """
     now = table(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("a is not null and b is not null and u <> v").distinct(),
         "edges",
     )
+    size = now.count()
     seal = None
-    while True:
-        after = table(_star(now), "edges")
+    while size:
+        after = table(_star(now.coalesce(1) if size <= FEW else now), "edges")
         drop_table(now)
         now = after
-        # xor of pair hashes identifies the edge set, and a third figure whether it is all stars
+        # number and xor of hashes identify the edge set
         was, seal = seal, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if was == seal or not seal[0]:
+        if was == seal:
             break
-    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return table(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "components")
+        size = seal[0]
+    small = now.coalesce(1) if size <= FEW else now
+    roots = small.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return table(small.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "components")
 
 
-def linked(bands: DataFrame, weed: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
+def linked(
+    bands: DataFrame,
+    weed: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame], DataFrame],
+    sets: Callable[[DataFrame], DataFrame],
+    percent: int,
+    small: int = 32,
+    levels: int = 3,
+    gather: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
     """(id, component) of all ids that some verified link touches.
 
-    `bands` has (id, n, key): an item, the size of its set and one band key per row.  `weed`
-    drops unpromising pairs (a, b) and adds `score`; `verify` keeps the true links.  Items
-    under one key are candidates.  Pairs are not spelled out inside a key: in round one every
-    item meets two pivots of each of its keys and keeps the best; only keys whose
-    items then still lie in different components go on, and there exactly the pairs across
-    components whose sizes allow a link (n_a >= ratio * n_b) are checked.  So every
-    candidate pair is either inside one component already or has been checked.
+    `bands` has (id, n, key): an item, the size of its set (any constant if unknown) and one
+    band key per row; items under one key are candidates.  `weed` drops unpromising pairs
+    (a, b, hits: keys shared) and adds `score`; `verify` keeps the true links; `sets` gives
+    (id, members array<long>) of ids.  `gather`, if given, is first told the ids that have
+    candidates, to lay their contents ready.  All pairs inside a key are never spelled out:
+
+    1. Each item meets two pivots of each of its keys, and its best-scored pair is verified.
+    2. Keys whose items now share one component are done.
+    3. Other keys of up to `small` items: the pairs across components are checked.
+    4. Larger ones are refined (see `_refine`) to finer keys, on which this starts again; after
+       `levels` rounds, remaining pairs across components are checked whatever the size.
+
+    So every candidate pair ends inside one component or has been checked.
     """
-    rep = bands.repartition("key")
-    pivots = rep.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("id", F.xxhash64("id")).alias("q")).where("c > 1").drop("c")
-    members = table(rep.join(pivots, "key"), "members")
-    tried = (
-        members.select(F.col("id").alias("x"), F.explode(F.array("p", "q")).alias("y")).where("x <> y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
-    tried = table(weed(tried), "tried")
-    first = tried.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a"))
-    links = table(verify(first.select("a", "b")), "links")
-    found = components(links)
-    own = members.select("id", "n", "key").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = table(own.join(mixed, "key"), "rest")
-    x, y = rest.select("key", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "component"))), rest.select("key", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "component")))
-    across = (
-        x.join(y, "key").where(F.col("component_x") < F.col("component_y"))
-        .where((F.col("n_x") >= ratio * F.col("n_y")) & (F.col("n_y") >= ratio * F.col("n_x")))
-        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = table(verify(weed(across).select("a", "b")), "links")
-    if more.isEmpty():
+    found, links = None, []
+    for level in range(levels):
+        rep = bands.repartition("key")
+        pivots = rep.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("id", F.xxhash64("id")).alias("q")).where("c > 1")
+        members = table(rep.join(pivots, "key"), "members")
+        if gather and not level:
+            gather(members.select("id").distinct())
+        tried = (
+            members.select(F.col("id").alias("x"), F.explode(F.array("p", "q")).alias("y")).where("x <> y")
+            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("hits"))
+        )
+        if found is not None:
+            tried = _across(tried, found)
+        first = table(weed(tried).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "first")
+        links.append(table(verify(first.select("a", "b")).select("a", "b"), "links"))
+        found = _merge(found, links[-1])
+        own = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        rest = table(own.join(mixed, "key"), "rest")
+        last = level == levels - 1
+        x, y = (rest.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
+        across = (
+            x.join(y, "key").where(F.col("component_x") < F.col("component_y"))
+            .where((100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")))
+            .groupBy(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).agg(F.count("*").alias("hits"))
+            .join(first, ["a", "b"], "left_anti")
+        )
+        large = rest.where(F.col("c") > small).select("key", "id")
+        if last or large.isEmpty():
+            return _merge(found, verify(weed(across).select("a", "b")))
+        # a large key belongs to the group around the most linked item of its main component
+        ends = functools.reduce(DataFrame.union, links).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+        most = F.max_by("id", F.struct(F.coalesce("d", F.lit(0)), -F.col("id")))
+        centre = found.join(ends, "id", "left").groupBy("component").agg(most.alias("centre"))
+        hubs = large.join(ends, "id", "left").groupBy("key").agg(most.alias("id")).join(found, "id", "left").join(centre, "component", "left")
+        groups = large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct()
+        finer, within = _refine(groups, found, sets, percent)
+        found = _merge(found, verify(weed(across.unionByName(within)).select("a", "b")))
+        bands = finer
+
+
+def _refine(groups: DataFrame, found: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Finer keys (id, n, key) and pairs (a, b, hits) that together hold every link inside a group (g, id).
+
+    Let P be the members that at least half of a group's sets share (any P is right; this one
+    leaves little).  Linked sets u and m share at least `percent` / (100 + percent) of
+    |u| + |m| members.  If they share one outside P, then as each has to share so many
+    that lie outside P, the prefixes of both outside parts in hash order have one in common: the
+    keys.  If not, |u & P| and |m & P| both reach that bound, which limits the sizes that can go
+    together; such pairs across components are joined on a class of the smaller size.
+    """
+    held = table(groups.join(sets(groups.select("id").distinct()), "id").withColumn("n", F.size("members").cast("long")), "held")
+    sizes = held.groupBy("g").agg(F.count("*").alias("c"))
+    common = held.select("g", F.explode("members").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k >= c").groupBy("g").agg(F.collect_list("e").alias("common"))
+    outside = F.array_sort(F.array_except("members", F.coalesce("common", F.array().cast("array<long>"))))
+    parted = held.join(common, "g", "left").select("g", "id", "n", outside.alias("outside"))
+    parted = parted.withColumn("both", F.col("n") - F.size("outside"))
+    parted = parted.withColumn("need", F.greatest(F.ceil((percent * F.col("n") - 100 * F.col("both")) / 100), F.lit(1)).cast("int"))
+    parted = parted.withColumn("most", F.floor(F.col("both") * (100 + percent) / percent).cast("long") - F.col("n"))  # size that a partner inside P can have
+    parted = table(parted, "parted")
+    prefix = F.slice("outside", 1, F.greatest(F.size("outside") - F.col("need") + 1, F.lit(0)))
+    finer = parted.select("id", "n", "g", F.explode(prefix).alias("e")).select("id", "n", F.xxhash64("g", "e").alias("key")).distinct()
+    step = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
+    named = parted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("outside", "both", "need")
+    main = named.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", "c").alias("main"))
+    named = table(named.join(main, "g").where(f"100 * most >= {percent} * n"), "inside")
+    lesser = named.where("most >= n").withColumn("step", step(F.col("n")))
+    steps = F.sequence(step(F.greatest(F.ceil(percent * F.col("n") / 100), F.lit(1))), step(F.greatest(F.least("n", "most"), F.lit(1))))
+    larger = named.withColumn("step", F.explode(steps))
+    pairs = []
+    for odd in (True, False):
+        # one side, at least, lies outside the group's main component
+        x = lesser.where("component <> main") if odd else lesser
+        y = larger if odd else larger.where("component <> main")
+        x, y = (side.select("g", "step", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "most", "component"))) for side, s in ((x, "x"), (y, "y")))
+        joined = x.join(y, ["g", "step"]).where("component_x <> component_y and n_x <= n_y and n_y <= most_x and n_x <= most_y")
+        pairs.append(joined.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")))
+    within = pairs[0].union(pairs[1]).groupBy("a", "b").agg(F.count("*").alias("hits"))
+    return finer, within
+
+
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that do not lie in one component yet."""
+    side = lambda s: found.select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "hits")
+
+
+def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links (a, b)."""
+    if found is None:
+        return components(links)
+    links = table(links.select("a", "b"), "links")
+    if links.isEmpty():
         return found
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, only, table
 from .graph import linked
 
 #: Blanks that are stripped from both ends of a line.
@@ -76,7 +76,7 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     texts: list[DataFrame] = []
 
     def gather(ids: DataFrame) -> None:
-        texts.append(table(hashed.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line")), "lines"))
+        texts.append(table(only(hashed, table(ids, "candidates")).groupBy("id").agg(F.any_value("line").alias("line")), "lines"))
 
     def sets(pairs: DataFrame) -> DataFrame:
         side = lambda s: texts[0].select(F.col("id").alias(s), F.col("line").alias(f"l_{s}"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, own_names, table
+from .common import map_arrow, only, own_names, packed, table
 from .graph import linked
 from .hashing import BLANKS, chain, mix, pieces, strings, words
 
@@ -117,13 +117,21 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
     given = own_names(docs, id=id_col, text=text_col)
     sketched = table(sketches(given, p), "sketches")
     groups = sketched.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"))
-    groups = table(groups, "groups")
+    groups = table(packed(groups), "groups")
     reps = table(sketched.join(groups.select("digest", F.col("rep").alias("id")), ["digest", "id"]).dropDuplicates(["id", "digest"]), "reps")
     bands = reps.select("id", "n", F.explode("keys").alias("key"))
     floor, size = p.percent / 100, 1 << p.buckets
 
+    ready: dict[str, DataFrame] = {}
+
+    def gather(ids: DataFrame) -> None:
+        """Sketches and texts of the documents that have candidates."""
+        ids = table(ids, "candidates")
+        ready["sketches"] = table(only(reps.drop("keys", "digest"), ids), "sketches")
+        ready["texts"] = table(only(given, ids), "texts")
+
     def weed(pairs: DataFrame) -> DataFrame:
-        side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
+        side = lambda s: ready["sketches"].select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
@@ -134,7 +142,11 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
 
         paired = pairs.join(side("a"), "a").join(side("b"), "b")
         paired = paired.where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
-        return map_arrow(paired.select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a long, b long, score double")
+        return map_arrow(packed(paired.select("a", "b", "n_a", "n_b", "r_a", "r_b")), run, "a long, b long, score double")
+
+    def paired_texts(pairs: DataFrame) -> DataFrame:
+        side = lambda s: ready["texts"].select(F.col("id").alias(s), F.col("text").alias(f"t_{s}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +160,19 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
                         keep[i] = 100 * both >= p.percent * (len(x) + len(y) - both)
                 yield t.select(["a", "b"]).filter(pa.array(keep))
 
-        # a repeated id may carry several texts: the one whose digest made the representative counts
-        side = lambda s: given.select(F.col("id").alias(s), F.col("text").alias(f"t_{s}"))
-        texts = pairs.join(side("a"), "a").join(side("b"), "b")
-        return map_arrow(texts.select("a", "b", "t_a", "t_b"), run, "a long, b long").distinct()
+        return map_arrow(packed(paired_texts(pairs)), run, "a long, b long").distinct()
+
+    def sets(ids: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                data, offsets = strings(t.column("text"))
+                for lo, hi in pieces(offsets):
+                    own = [s.view(np.int64) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width)]
+                    yield pa.RecordBatch.from_arrays([t.column("id").slice(lo, hi - lo), pa.array(own, pa.list_(pa.int64()))], ["id", "members"])
+
+        return map_arrow(packed(ready["texts"].join(ids, "id", "left_semi")), run, "id long, members array<long>")
 
-    found = linked(bands, weed, verify, floor)
+    found = linked(bands, weed, verify, sets, p.percent, gather=gather)
     named = groups.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return sketched.select("id", "n", "digest").join(named, "digest", "left").select(
         "id", F.col("n").alias("n_shingles"),
