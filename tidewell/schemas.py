@@ -18,7 +18,16 @@ BUNDLE_KINDS = ("youtube", "local", "url")
 STAGES = ("acquire", "normalize", "transcribe", "diarize", "visual", "enrich", "situate", "synthesize")
 STAGE_STATES = ("pending", "running", "done", "failed", "skipped")
 
-_ddl = T.StructType.fromDDL
+_TYPES = {"string": T.StringType, "timestamp": T.TimestampType, "bigint": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "boolean": T.BooleanType}
+
+
+def flat(text: str) -> T.StructType:
+    """A schema of plain columns from `name type, ...`; needs no session."""
+    pairs = (field.split() for field in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]()) for name, kind in pairs])
+
+
+_ddl = flat
 SOURCES = _ddl("id string, kind string, name string, root_path string, policy string, created_at timestamp, updated_at timestamp")
 ITEMS = _ddl("id string, source_id string, relative_path string, absolute_path string, sha256 string, size_bytes bigint, mtime_ns bigint, present boolean, created_at timestamp, updated_at timestamp")
 QUEUE = _ddl("id string, source_id string, source_item_id string, content_sha256 string, state string, policy string, bundle_id string, attempts int, last_error string, created_at timestamp, updated_at timestamp")

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from ..functions import keys
 from ..functions import text as tx
 from ..operators.scan import MEDIA_SUFFIXES
+from ..schemas import flat
 from ..shipping import ship
 
 LISTING = "relative_path string, absolute_path string, sha256 string, size_bytes bigint, mtime_ns bigint, sidecar_sha256 string"
@@ -95,7 +96,7 @@ class FolderSource(DataSource):
         return "media_folder"
 
     def schema(self) -> StructType:
-        return StructType.fromDDL(LISTING)
+        return flat(LISTING)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader({k.lower(): v for k, v in self.options.items()})
