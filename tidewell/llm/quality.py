@@ -34,8 +34,8 @@ def _words(text: Column) -> Column:
 
 
 def _ratio(text: Column, pattern: str) -> Column:
-    """Code points that match `pattern`, over all."""
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.length(text)
+    """Code points that match `pattern`, over all; null for an empty text."""
+    return F.try_divide(F.length(text) - F.length(F.regexp_replace(text, pattern, "")), F.length(text))
 
 
 def rules() -> list[Rule]:
@@ -56,7 +56,7 @@ def rules() -> list[Rule]:
 
 
 def _share(text: Column, test) -> Column:
-    return let(_lines(text), lambda lines: F.size(F.filter(lines, test)) / F.size(lines))
+    return let(_lines(text), lambda lines: F.try_divide(F.size(F.filter(lines, test)), F.size(lines)))
 
 
 def _lines(text: Column) -> Column:
