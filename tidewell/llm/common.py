@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..shipping import ship
 
 #: White space that separates words in the contracts: space and U+0009 to U+000D.
 BLANK = r"\x20\x09-\x0D"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: dict[str, list[str]] = {}
 
 
@@ -44,6 +46,11 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joinable(found: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table of decisions as the side of a join: broadcast if it has at most `most` rows, else left to a shuffle."""
+    return F.broadcast(found) if found.count() <= most else found
+
+
 def packed(df: DataFrame) -> DataFrame:
     """At most four partitions a core, each worked off in turn: many tiny tasks cost more than they compute."""
     return df.coalesce(4 * max(1, df.sparkSession.sparkContext.defaultParallelism))
@@ -51,7 +58,7 @@ def packed(df: DataFrame) -> DataFrame:
 
 def only(rows: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
     """`rows` whose id is in `ids` (distinct, a written table): broadcast if there are at most `most`, else by a shuffled semi-join."""
-    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
+    return rows.join(joinable(ids, most), "id", "left_semi")
 
 
 def drop_table(df: DataFrame) -> None:
@@ -61,6 +68,12 @@ def drop_table(df: DataFrame) -> None:
         _delete(spark, file.rsplit("/", 1)[0])
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of finished rounds: Spark removes their shuffle files only when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Remove every scratch table of this application; results not yet consumed become unreadable."""
     for path in _made.pop(spark.sparkContext.applicationId, []):
@@ -73,7 +86,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """`df.mapInArrow(run, schema)` with the package on the workers' path."""
+    """`df.mapInArrow(run, schema)` with the package on the workers' path.
+
+    Batches are bounded by bytes (or one longer row), as texts differ in length by orders of
+    magnitude; a bound that the session has set itself, other than Spark's default, stands.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) in ("64MB", "67108864b", "67108864"):
+        conf.set(_BATCH, "8388608b")
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, packed
+from .common import drop_table, packed, settle
 from .common import table as _table
 
 
@@ -59,6 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
         if was == seal:
             break
         size = seal[0]
+    settle(edges.sparkSession)
     small = now.coalesce(1) if size <= FEW else now
     roots = small.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return table(small.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "components")
@@ -82,7 +83,8 @@ def linked(
     (id, members array<long>) of ids.  `gather`, if given, is first told the ids that have
     candidates, to lay their contents ready.  All pairs inside a key are never spelled out:
 
-    1. Each item meets two pivots of each of its keys, and its best-scored pair is verified.
+    1. Each item meets two pivots of each of its keys, and its best-scored pair is verified; then
+       the most linked item of each key that is still mixed.
     2. Keys whose items now share one component are done.
     3. Other keys of up to `small` items: the pairs across components are checked.
     4. Larger ones are refined (see `_refine`) to finer keys, on which this starts again; after
@@ -93,8 +95,8 @@ def linked(
     found, links = None, []
     for level in range(levels):
         rep = bands.repartition("key")
-        pivots = rep.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("id", F.xxhash64("id")).alias("q")).where("c > 1")
-        members = table(rep.join(pivots, "key"), "members")
+        pivots = rep.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.max("id").alias("q")).where("c > 1")
+        members = table(rep.join(pivots.hint("shuffle_hash"), "key"), "members")  # most keys have one item: no need to sort them
         if gather and not level:
             gather(members.select("id").distinct())
         tried = (
@@ -106,36 +108,48 @@ def linked(
         first = table(weed(tried).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "first")
         links.append(table(verify(first.select("a", "b")).select("a", "b"), "links"))
         found = _merge(found, links[-1])
-        own = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = table(own.join(mixed, "key"), "rest")
+        rest = _mixed(members, found)
+        # a second try, with the most linked item of each key that is still mixed
+        hubs = rest.join(_degrees(links), "id", "left").groupBy("key").agg(_most().alias("h"))
+        again = rest.join(hubs, "key").where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+        again = _across(again.groupBy("a", "b").agg(F.count("*").alias("hits")).join(first, ["a", "b"], "left_anti"), found)
+        again = table(weed(again).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "again")
+        links.append(table(verify(again.select("a", "b")).select("a", "b"), "links"))
+        if not links[-1].isEmpty():
+            found = _merge(found, links[-1])
+            rest = _mixed(members, found)
         last = level == levels - 1
         x, y = (rest.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
         across = (
             x.join(y, "key").where(F.col("component_x") < F.col("component_y"))
             .where((100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")))
             .groupBy(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).agg(F.count("*").alias("hits"))
-            .join(first, ["a", "b"], "left_anti")
+            .join(first.unionByName(again), ["a", "b"], "left_anti")
         )
         large = rest.where(F.col("c") > small).select("key", "id")
         if last or large.isEmpty():
             return _merge(found, verify(weed(across).select("a", "b")))
         # a large key belongs to the group around the most linked item of its main component
-        ends = functools.reduce(DataFrame.union, links).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-        most = F.max_by("id", F.struct(F.coalesce("d", F.lit(0)), -F.col("id")))
-        centre = found.join(ends, "id", "left").groupBy("component").agg(most.alias("centre"))
-        hubs = large.join(ends, "id", "left").groupBy("key").agg(most.alias("id")).join(found, "id", "left").join(centre, "component", "left")
+        ends = _degrees(links)
+        centre = found.join(ends, "id", "left").groupBy("component").agg(_most().alias("centre"))
+        hubs = large.join(ends, "id", "left").groupBy("key").agg(_most().alias("id")).join(found, "id", "left").join(centre, "component", "left")
         groups = large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct()
         finer, within = _refine(groups, found, sets, percent)
         found = _merge(found, verify(weed(across.unionByName(within)).select("a", "b")))
         bands = finer
 
 
+#: Sets of a group, picked by hash, that its consensus is read from; it bears on the work only.
+SHOWN = 64
+#: So many keys of a group outside its main component, a few MB, at most decide the keys of the main one.
+SOUGHT = 1 << 18
+
+
 def _refine(groups: DataFrame, found: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Finer keys (id, n, key) and pairs (a, b, hits) that together hold every link inside a group (g, id).
 
-    Let P be the members that at least half of a group's sets share (any P is right; this one
-    leaves little).  Linked sets u and m share at least `percent` / (100 + percent) of
+    Let P be the members that at least half of about SHOWN sets of the group share (any P is
+    right; this one leaves little).  Linked sets u and m share at least `percent` / (100 + percent) of
     |u| + |m| members.  If they share one outside P, then as each has to share so many
     that lie outside P, the prefixes of both outside parts in hash order have one in common: the
     keys.  If not, |u & P| and |m & P| both reach that bound, which limits the sizes that can go
@@ -143,19 +157,29 @@ def _refine(groups: DataFrame, found: DataFrame, sets: Callable[[DataFrame], Dat
     """
     held = table(groups.join(sets(groups.select("id").distinct()), "id").withColumn("n", F.size("members").cast("long")), "held")
     sizes = held.groupBy("g").agg(F.count("*").alias("c"))
-    common = held.select("g", F.explode("members").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k >= c").groupBy("g").agg(F.collect_list("e").alias("common"))
-    outside = F.array_sort(F.array_except("members", F.coalesce("common", F.array().cast("array<long>"))))
+    drawn = held.join(sizes, "g").where(F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("c") / SHOWN)) == 0).select("g", "members")
+    drawn = table(drawn, "drawn")
+    shown = drawn.groupBy("g").agg(F.count("*").alias("c"))
+    common = drawn.select("g", F.explode("members").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(shown, "g").where("2 * k >= c").groupBy("g").agg(F.collect_list("e").alias("common"))
+    outside = F.sort_array(F.array_except("members", F.coalesce("common", F.array().cast("array<long>"))))
     parted = held.join(common, "g", "left").select("g", "id", "n", outside.alias("outside"))
     parted = parted.withColumn("both", F.col("n") - F.size("outside"))
     parted = parted.withColumn("need", F.greatest(F.ceil((percent * F.col("n") - 100 * F.col("both")) / 100), F.lit(1)).cast("int"))
     parted = parted.withColumn("most", F.floor(F.col("both") * (100 + percent) / percent).cast("long") - F.col("n"))  # size that a partner inside P can have
     parted = table(parted, "parted")
     prefix = F.slice("outside", 1, F.greatest(F.size("outside") - F.col("need") + 1, F.lit(0)))
-    finer = parted.select("id", "n", "g", F.explode(prefix).alias("e")).select("id", "n", F.xxhash64("g", "e").alias("key")).distinct()
+    placed = parted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    main = placed.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", "c").alias("main"))
+    placed = table(placed.join(main, "g").select("*", prefix.alias("prefix")), "placed")
+    # pairs inside the main component need no key: its items are indexed by what the others look for, if that is of bounded size
+    others = table(placed.where("component <> main").select("id", "n", "g", F.explode("prefix").alias("e")), "others")
+    few = others.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") <= SOUGHT).select("g")
+    sought = others.join(few, "g").groupBy("g").agg(F.collect_set("e").alias("sought"))
+    mine = placed.where("component = main").join(sought, "g", "left")
+    mine = mine.select("id", "n", "g", F.explode(F.when(F.col("sought").isNull(), F.col("prefix")).otherwise(F.array_intersect("prefix", "sought"))).alias("e"))
+    finer = others.union(mine).select("id", "n", F.xxhash64("g", "e").alias("key")).distinct()
     step = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
-    named = parted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("outside", "both", "need")
-    main = named.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", "c").alias("main"))
-    named = table(named.join(main, "g").where(f"100 * most >= {percent} * n"), "inside")
+    named = placed.select("g", "id", "n", "most", "component", "main").where(f"100 * most >= {percent} * n")
     lesser = named.where("most >= n").withColumn("step", step(F.col("n")))
     steps = F.sequence(step(F.greatest(F.ceil(percent * F.col("n") / 100), F.lit(1))), step(F.greatest(F.least("n", "most"), F.lit(1))))
     larger = named.withColumn("step", F.explode(steps))
@@ -171,6 +195,23 @@ def _refine(groups: DataFrame, found: DataFrame, sets: Callable[[DataFrame], Dat
     return finer, within
 
 
+def _most() -> Column:
+    """The id with most links among rows with `d`, the smallest of several."""
+    return F.max_by("id", F.struct(F.coalesce("d", F.lit(0)), -F.col("id")))
+
+
+def _degrees(links: list[DataFrame]) -> DataFrame:
+    """(id, d): links of each id."""
+    return functools.reduce(DataFrame.union, links).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of `members`, with their component, under keys that hold several components."""
+    own = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return table(own.join(mixed, "key"), "rest")
+
+
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) that do not lie in one component yet."""
     side = lambda s: found.select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))

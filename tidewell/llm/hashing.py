@@ -55,7 +55,7 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `size` bytes, or of a single longer row."""
     row, n = 0, len(offsets) - 1
     while row < n:

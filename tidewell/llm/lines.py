@@ -13,8 +13,8 @@ from .graph import linked
 
 #: Blanks that are stripped from both ends of a line.
 _ENDS = " \t\n\x0b\x0c\r"
-#: A shingle joins the signature unless it starts with one of these; others are all its sample.
-_SKIPPED = "bcdefghjklmopqrtuvwxyzBCDEFGHJKLMOPQRTUVWXYZ ,.56789"
+#: A shingle joins the signature if it starts with one of these: about a quarter in Latin script, all in most others.
+_SAMPLED = r"aeos05AEOS\x{250}-\x{10ffff}"
 
 
 @dataclass(frozen=True)
@@ -31,20 +31,28 @@ def shingles(line: Column, p: LineMinHash) -> Column:
     return F.when(F.length(line) <= p.width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{p.width}}}))"), F.lit(1)))
 
 
-def band_keys(line: Column, p: LineMinHash) -> Column:
-    """Keys of the bands of a line's one-permutation MinHash signature.
+def minima(line: Column, p: LineMinHash) -> Column:
+    """One-permutation MinHash signature of a line: the minima of its filled registers, in order.
 
     Shingles are sampled by their first character, so a shingle that two lines share is in
-    both samples or in none.  The sorted hashes fall into 64 registers by their top six bits;
-    the first of each is its minimum.  For each group of four registers that holds something,
-    a band takes `rows` filled registers from its first one on, around the end if need be:
-    short lines, which leave most registers empty, get full bands too.
+    both samples or in none; a line without any takes all its shingles.  The sorted hashes fall
+    into 64 registers by their top six bits; the first of each is its minimum.
     """
-    sampled = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^{_SKIPPED}].{{{p.width - 1}}}))"), F.lit(1))
-    hashes = let(sampled, lambda s: F.when(F.size(s) > 0, F.array_sort(F.transform(s, lambda x: F.xxhash64(x)))).otherwise(F.array(F.xxhash64(line))))
+    sampled = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([{_SAMPLED}].{{{p.width - 1}}}))"), F.lit(1))
+    chosen = let(sampled, lambda s: F.when(F.size(s) > 0, s).otherwise(shingles(line, p)))
+    hashes = F.sort_array(F.transform(chosen, lambda x: F.xxhash64(x)))
     register = lambda x: F.shiftright(x, 58)
+    return let(hashes, lambda hs: F.filter(hs, lambda x, i: (i == 0) | (register(x) != register(F.get(hs, i - 1)))))
+
+
+def band_keys(line: Column, p: LineMinHash) -> Column:
+    """Keys of the bands of a line's signature.
+
+    For each group of four registers that holds something, a band takes `rows` filled
+    registers from its first one on, around the end if need be: short lines, which leave most
+    registers empty, get full bands too.
+    """
     band = lambda x: F.shiftright(x, 60)
-    minima = let(hashes, lambda hs: F.filter(hs, lambda x, i: (i == 0) | (register(x) != register(F.get(hs, i - 1)))))
 
     def keys(ms: Column) -> Column:
         def key(x: Column, i: Column) -> Column:
@@ -53,7 +61,7 @@ def band_keys(line: Column, p: LineMinHash) -> Column:
 
         return F.array_compact(F.transform(ms, key))
 
-    return let(minima, keys)
+    return let(minima(line, p), keys)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -76,16 +84,13 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     texts: list[DataFrame] = []
 
     def gather(ids: DataFrame) -> None:
-        texts.append(table(only(hashed, table(ids, "candidates")).groupBy("id").agg(F.any_value("line").alias("line")), "lines"))
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        side = lambda s: texts[0].select(F.col("id").alias(s), F.col("line").alias(f"l_{s}"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return joined.select("a", "b", F.array_distinct(shingles(F.col("l_a"), p)).alias("s_a"), F.array_distinct(shingles(F.col("l_b"), p)).alias("s_b"))
+        texts.append(table(only(hashed, table(ids, "candidates")).groupBy("id").agg(F.any_value("line").alias("line")).withColumn("n", F.size(F.array_distinct(shingles(F.col("line"), p)))), "lines"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = let(F.size(F.array_intersect("s_a", "s_b")), lambda c: 100 * c >= p.percent * (F.size("s_a") + F.size("s_b") - c))
-        return sets(pairs).where(both).select("a", "b")
+        side = lambda s: texts[0].select(F.col("id").alias(s), F.col("line").alias(f"l_{s}"), F.col("n").alias(f"n_{s}"))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
+        both = F.size(F.array_intersect(shingles(F.col("l_a"), p), shingles(F.col("l_b"), p)))
+        return joined.where(let(both, lambda c: 100 * c >= p.percent * (F.col("n_a") + F.col("n_b") - c))).select("a", "b")
 
     def own(ids: DataFrame) -> DataFrame:
         return texts[0].join(ids, "id", "left_semi").select("id", F.array_distinct(F.transform(shingles(F.col("line"), p), lambda x: F.xxhash64(x))).alias("members"))
@@ -93,7 +98,7 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     return linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather)
 
 
-def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = LineMinHash(), carry: Sequence[str] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = LineMinHash(), carry: Sequence[str] = (), broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(id, text, n_lines, n_kept, removed, and `carried`, a struct of the columns `carry` if given) of every row: `text` without lines met before.
 
     Lines are split at newlines and stripped of blanks at both ends for comparison; blank lines
@@ -114,6 +119,10 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = Li
     places = table(places.select("doc", "at", "pos", F.coalesce("component", "id").alias("component")), "places")
     first = places.groupBy("component").agg(F.count("*").alias("c"), F.min(F.struct("doc", "pos", "at")).alias("first")).where("c > 1")
     gone = places.join(first, "component").where(F.struct("doc", "pos", "at") != F.col("first")).groupBy("doc", "at").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    gone = table(gone, "gone")
+    size = gone.agg(F.sum(64 + 4 * F.size("removed"))).first()[0] or 0
+    # texts stay where they are if the decisions are small, else they meet in a shuffled join
+    gone = F.broadcast(gone) if size <= broadcast_bytes else gone.hint("shuffle_hash")
     mine = given.withColumn("at", F.xxhash64("text"))
     joined = mine.join(gone, mine["id"].eqNullSafe(gone["doc"]) & (mine["at"] == gone["at"]), "left").select("id", "text", "carried", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     n_lines = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(_ENDS)) != "")), F.lit(0))
