@@ -20,9 +20,15 @@ NEAR = minhash.HyperMinHash(width=5, percent=80, rows=4)
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language; `lang` becomes the language found."""
     model = language.fit(docs, "text", "lang")
-    found = language.identify(docs, model, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
-    found = _once(found.where("kept"), "lang")
-    return docs.join(found, _same(docs, found)).select(*((found if c == "lang" else docs)[c] for c in docs.columns))
+    given = docs.select("doc_id", "text", F.col("lang").alias("declared"), "source")
+    found = language.identify(given, model, "doc_id", "text", declared=F.col("declared"), host=F.col("source"))
+    # only what changes has to meet the texts again
+    found = _once(found, F.max("kept").alias("kept"), F.max(F.when(F.col("kept"), F.col("lang"))).alias("found"))
+    now = docs.select("doc_id", F.col("lang").alias("was"))
+    changed = now.join(found, now["doc_id"].eqNullSafe(found["doc_id"])).where(~F.col("kept") | ~F.col("was").eqNullSafe(F.col("found"))).select(found["doc_id"], "kept", "found").distinct()
+    changed = common.table(changed, "changed")
+    joined = docs.join(common.joinable(changed), _same(docs, changed), "left").where(F.coalesce(changed["kept"], F.lit(True)))
+    return joined.select(*((F.coalesce(changed["found"], docs["lang"]) if c == "lang" else docs[c]).alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,28 +41,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of smallest id."""
-    found = _once(minhash.components_by_hyperminhash(docs, "doc_id", "text", NEAR).where("kept"))
-    return docs.join(found, _same(docs, found), "left_semi")
+    found = _once(minhash.components_by_hyperminhash(docs, "doc_id", "text", NEAR), F.max("kept").alias("kept")).where("not kept")
+    return docs.join(common.joinable(found), _same(docs, found), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up 5 % or more go."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "doc_id", "text", "item_id", "text")
-    found = _once(found.where("contaminated"))
-    return docs.join(found, _same(docs, found), "left_anti")
+    found = _once(found.where("contaminated"), F.lit(True).alias("contaminated"))
+    return docs.join(common.joinable(found), _same(docs, found), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mix, with the copies and the words taken of each (in place of columns of these names)."""
     added = ["size", "copies", "taken"]
-    found = _once(mixing.mix_documents(docs, "doc_id", "text", "source").where("taken > 0"), *added)
-    return docs.join(found, _same(docs, found)).select(*(docs[c] for c in docs.columns if c not in added), *(found[c] for c in added))
+    one = F.max(F.struct(*added))
+    found = _once(mixing.mix_documents(docs, "doc_id", "text", "source").where("taken > 0"), *(one[c].alias(c) for c in added))
+    return docs.join(common.joinable(found), _same(docs, found)).select(*(docs[c] for c in docs.columns if c not in added), *(found[c] for c in added))
 
 
-def _once(found: DataFrame, *columns: str) -> DataFrame:
-    """One decision for each id, as a small table; rows that repeat an id share the largest."""
-    one = found.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.struct(*columns) if columns else F.lit(True)).alias("one"))
-    return common.table(one.select("doc_id", *(F.col("one")[c].alias(c) for c in columns)), "decisions")
+def _once(found: DataFrame, *columns: Column) -> DataFrame:
+    """One row for each id, as a narrow table; rows that repeat an id share the decision."""
+    return common.table(found.groupBy(F.col("id").alias("doc_id")).agg(*columns), "decisions")
 
 
 def _same(docs: DataFrame, found: DataFrame) -> Column:
