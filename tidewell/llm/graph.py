@@ -73,7 +73,7 @@ def linked(
     percent: int,
     small: int = 32,
     levels: int = 3,
-    gather: Callable[[DataFrame], None] | None = None,
+    gather: Callable[[DataFrame], DataFrame | None] | None = None,
 ) -> DataFrame:
     """(id, component) of all ids that some verified link touches.
 
@@ -86,19 +86,20 @@ def linked(
     1. Each item meets two pivots of each of its keys, and its best-scored pair is verified; then
        the most linked item of each key that is still mixed.
     2. Keys whose items now share one component are done.
-    3. Other keys of up to `small` items: the pairs across components are checked.
+    3. Other keys of up to `small` items: the pairs across components are checked, each item's
+       most promising one before the rest.
     4. Larger ones are refined (see `_refine`) to finer keys, on which this starts again; after
        `levels` rounds, remaining pairs across components are checked whatever the size.
 
     So every candidate pair ends inside one component or has been checked.
     """
-    found, links = None, []
+    found, links, sizes = None, [], None
     for level in range(levels):
         rep = bands.repartition("key")
         pivots = rep.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.max("id").alias("q")).where("c > 1")
         members = table(rep.join(pivots.hint("shuffle_hash"), "key"), "members")  # most keys have one item: no need to sort them
         if gather and not level:
-            gather(members.select("id").distinct())
+            sizes = gather(members.select("id").distinct())
         tried = (
             members.select(F.col("id").alias("x"), F.explode(F.array("p", "q")).alias("y")).where("x <> y")
             .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("hits"))
@@ -119,7 +120,8 @@ def linked(
             found = _merge(found, links[-1])
             rest = _mixed(members, found)
         last = level == levels - 1
-        x, y = (rest.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
+        sized = rest if sizes is None or level else rest.drop("n").join(sizes, "id")
+        x, y = (sized.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
         across = (
             x.join(y, "key").where(F.col("component_x") < F.col("component_y"))
             .where((100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")))
@@ -127,16 +129,25 @@ def linked(
             .join(first.unionByName(again), ["a", "b"], "left_anti")
         )
         large = rest.where(F.col("c") > small).select("key", "id")
-        if last or large.isEmpty():
-            return _merge(found, verify(weed(across).select("a", "b")))
-        # a large key belongs to the group around the most linked item of its main component
-        ends = _degrees(links)
-        centre = found.join(ends, "id", "left").groupBy("component").agg(_most().alias("centre"))
-        hubs = large.join(ends, "id", "left").groupBy("key").agg(_most().alias("id")).join(found, "id", "left").join(centre, "component", "left")
-        groups = large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct()
-        finer, within = _refine(groups, found, sets, percent)
-        found = _merge(found, verify(weed(across.unionByName(within)).select("a", "b")))
-        bands = finer
+        done = last or large.isEmpty()
+        if not done:
+            # a large key belongs to the group around the most linked item of its main component
+            ends = _degrees(links)
+            centre = found.join(ends, "id", "left").groupBy("component").agg(_most().alias("centre"))
+            hubs = large.join(ends, "id", "left").groupBy("key").agg(_most().alias("id")).join(found, "id", "left").join(centre, "component", "left")
+            groups = large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct()
+            bands, within = _refine(groups, found, sets, percent)
+            across = across.unionByName(within).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+        # each item's pair of most shared keys and an eighth of the others go first: what they link needs no more pairs
+        across = table(across, "across")
+        each = across.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "hits")
+        best = each.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("best")).select("best.*")
+        drawn = across.where(F.pmod(F.xxhash64("a", "b"), F.lit(8)) == 0).select("a", "b")
+        early = table(best.union(drawn).distinct(), "early")
+        found = _merge(found, verify(weed(across.join(early, ["a", "b"])).select("a", "b")))
+        found = _merge(found, verify(weed(_across(across.join(early, ["a", "b"], "left_anti"), found)).select("a", "b")))
+        if done:
+            return found
 
 
 #: Sets of a group, picked by hash, that its consensus is read from; it bears on the work only.

@@ -83,8 +83,9 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     bands = distinct.select("id", F.lit(1).alias("n"), F.explode("keys").alias("key"))
     texts: list[DataFrame] = []
 
-    def gather(ids: DataFrame) -> None:
+    def gather(ids: DataFrame) -> DataFrame:
         texts.append(table(only(hashed, table(ids, "candidates")).groupBy("id").agg(F.any_value("line").alias("line")).withColumn("n", F.size(F.array_distinct(shingles(F.col("line"), p)))), "lines"))
+        return texts[0].select("id", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: texts[0].select(F.col("id").alias(s), F.col("line").alias(f"l_{s}"), F.col("n").alias(f"n_{s}"))
