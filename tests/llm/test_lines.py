@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tidewell.llm import lines
 
 
@@ -76,3 +78,19 @@ def test_awkward_rows(spark, awkward):
 def test_same_id_with_other_texts(spark, documents):
     found = lines.dedup_lines(documents((1, "first line\nshared"), (1, "shared\nsecond line")), "doc_id", "text").collect()
     assert sorted(r.text for r in found) == ["first line\nshared", "second line"] or sorted(r.text for r in found) == ["first line", "shared\nsecond line"]
+
+
+def test_short_lines_with_one_small_change_are_candidates(spark):
+    rng = random.Random(3)
+    pairs = {("Read more now", "Read more now!"), ("aaaaaaaa", "aaaaaaaaaa")}
+    while len(pairs) < 1500:
+        a = "".join(rng.choice("etaoin shrdlu") for _ in range(rng.randrange(9, 38)))
+        at = rng.choice([0, len(a) - 1, rng.randrange(len(a))])
+        b = rng.choice([a + "!", a[:-1], a[:at] + "q" + a[at + 1 :]])
+        x, y = shingles(a), shingles(b)
+        if a != b and min(len(x), len(y)) <= 24 and 100 * len(x & y) >= 80 * len(x | y):
+            pairs.add((a, b))
+    p = lines.LineMinHash()
+    table = spark.createDataFrame(sorted(pairs), "a string, b string")
+    missed = table.where(~F.arrays_overlap(lines.band_keys(F.col("a"), p), lines.band_keys(F.col("b"), p)))
+    assert missed.collect() == []

@@ -13,17 +13,16 @@ from .graph import linked
 
 #: Blanks that are stripped from both ends of a line.
 _ENDS = " \t\n\x0b\x0c\r"
-#: A shingle joins the signature if it starts with one of these: about a quarter in Latin script, all in most others.
-_SAMPLED = r"aeos05AEOS\x{250}-\x{10ffff}"
 
 
 @dataclass(frozen=True)
 class LineMinHash:
-    """Parameters: shingle width in characters, similarity in percent, registers (2**6), registers of a band (row count)."""
+    """Parameters: shingle width in characters, similarity in percent, registers of a band (row count), shingles up to which a line's links are found exactly."""
 
     width: int = 8
     percent: int = 80
     rows: int = 4
+    short: int = 24
 
 
 def shingles(line: Column, p: LineMinHash) -> Column:
@@ -31,26 +30,25 @@ def shingles(line: Column, p: LineMinHash) -> Column:
     return F.when(F.length(line) <= p.width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{p.width}}}))"), F.lit(1)))
 
 
-def minima(line: Column, p: LineMinHash) -> Column:
-    """One-permutation MinHash signature of a line: the minima of its filled registers, in order.
+def _hashes(line: Column, p: LineMinHash) -> Column:
+    """Hashes of a line's distinct shingles, in order."""
+    return F.sort_array(F.array_distinct(F.transform(shingles(line, p), lambda x: F.xxhash64(x))))
 
-    Shingles are sampled by their first character, so a shingle that two lines share is in
-    both samples or in none; a line without any takes all its shingles.  The sorted hashes fall
-    into 64 registers by their top six bits; the first of each is its minimum.
+
+def minima(hashes: Column) -> Column:
+    """One-permutation MinHash signature of a line over all its shingles: the minima of its filled registers, in order.
+
+    The sorted hashes fall into 64 registers by their top six bits; the first of each is its minimum.
     """
-    sampled = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([{_SAMPLED}].{{{p.width - 1}}}))"), F.lit(1))
-    chosen = let(sampled, lambda s: F.when(F.size(s) > 0, s).otherwise(shingles(line, p)))
-    hashes = F.sort_array(F.transform(chosen, lambda x: F.xxhash64(x)))
     register = lambda x: F.shiftright(x, 58)
-    return let(hashes, lambda hs: F.filter(hs, lambda x, i: (i == 0) | (register(x) != register(F.get(hs, i - 1)))))
+    return F.filter(hashes, lambda x, i: (i == 0) | (register(x) != register(F.get(hashes, i - 1))))
 
 
-def band_keys(line: Column, p: LineMinHash) -> Column:
-    """Keys of the bands of a line's signature.
+def _bands(hashes: Column, p: LineMinHash) -> Column:
+    """Keys of the bands of a signature.
 
     For each group of four registers that holds something, a band takes `rows` filled
-    registers from its first one on, around the end if need be: short lines, which leave most
-    registers empty, get full bands too.
+    registers from its first one on, around the end if need be.
     """
     band = lambda x: F.shiftright(x, 60)
 
@@ -61,7 +59,33 @@ def band_keys(line: Column, p: LineMinHash) -> Column:
 
         return F.array_compact(F.transform(ms, key))
 
-    return let(minima(line, p), keys)
+    return let(minima(hashes), keys)
+
+
+def _couples(hashes: Column, p: LineMinHash) -> Column:
+    """Keys that any two linked lines share, whatever their size: the pairs of hashes of a prefix.
+
+    Linked sets share at least `percent` % of either one, s of its n members, and so the first
+    two of those lie among the first n - s + 2 of both.  A set of one member links only to its equals.
+    """
+    prefix = F.slice(hashes, 1, F.size(hashes) - F.ceil(p.percent * F.size(hashes) / 100).cast("int") + 2)
+    pairs = let(prefix, lambda hs: F.flatten(F.transform(hs, lambda x, i: F.transform(F.slice(hs, i + 2, F.size(hs)), lambda y: F.xxhash64(F.lit("couple"), x, y)))))
+    return F.when(F.size(hashes) == 1, hashes).otherwise(pairs)
+
+
+def band_keys(line: Column, p: LineMinHash) -> Column:
+    """Candidate keys of a line.
+
+    Bands of short lines, which leave most registers empty, would miss links: two lines of which
+    one has up to `short` shingles meet by `_couples`, which misses none, others by `_bands`.  The
+    other line of such a pair may be longer, so lengths between have both kinds of keys.
+    """
+
+    def keys(hs: Column) -> Column:
+        couples, bands = _couples(hs, p), _bands(hs, p)
+        return F.when(F.size(hs) <= p.short, couples).when(p.percent * F.size(hs) <= 100 * p.short, F.concat(couples, bands)).otherwise(bands)
+
+    return let(_hashes(line, p), keys)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -94,7 +118,7 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
         return joined.where(let(both, lambda c: 100 * c >= p.percent * (F.col("n_a") + F.col("n_b") - c))).select("a", "b")
 
     def own(ids: DataFrame) -> DataFrame:
-        return texts[0].join(ids, "id", "left_semi").select("id", F.array_distinct(F.transform(shingles(F.col("line"), p), lambda x: F.xxhash64(x))).alias("members"))
+        return texts[0].join(ids, "id", "left_semi").select("id", _hashes(F.col("line"), p).alias("members"))
 
     return linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather)
 
