@@ -52,6 +52,19 @@ def test_template_text_is_left_out_and_articles_are_not(spark):
     assert found[101].text == "Same story Own 1" and found[101].n_chars == 16
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Copies under many ids and addresses keep their article; a template of other pages is found among them."""
+    story = "<body><div class=x><p>Powered by Engine</p></div><article><h1>Title</h1><p>Story{}</p></article></body>"
+    rows = [(i, f"http://mirror.example.com/{i}", story.format("") + f"<!-- {i % 2} -->") for i in range(30)]
+    other = "<body><div class=x><p>Powered by Engine</p></div><div class=y><h1>Title {0}</h1><p>Story {0}.</p></div></body>"
+    rows += [(100 + i, f"http://mixed.example.com/{i}", other.format(max(i - 30, 0))) for i in range(60)]
+    found = {r.id: r.text for r in html.main_text(spark.createDataFrame([(*r, "h", 1, "k") for r in rows], PAGES), "page_id", "url", "html").collect()}
+    for i in range(30):
+        assert found[i] == "Title Story"
+    for i in range(60):
+        assert found[100 + i] == "Title {0} Story {0}.".format(max(i - 30, 0))
+
+
 def test_both_ways_of_meeting_templates_agree(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     one, two = (sorted(map(tuple, html.main_text(pages, "page_id", "url", "html", broadcast_bytes=b).collect())) for b in (1 << 20, -1))

@@ -168,9 +168,11 @@ def page_text(html: str, template: frozenset[int] | set[int]) -> tuple[str, int]
 
 
 def templates(pages: DataFrame, share: float = 0.9, least: int = 10) -> DataFrame:
-    """(host, n_pages, texts, classes) of hosts with template text; `pages` has key, url and html.
+    """(host, n_pages, texts, classes) of hosts with template text; `pages` has url and html.
 
-    Tokens are markup (an element in its path) and text blocks in their path.  For each token
+    Tokens are markup (an element in its path) and text blocks in their path.  Pages of a host
+    with equal tokens are copies and count once, else all text of a page that is there `least`
+    times would be a template.  For each token
     of a host, the vector of its counts over the pages is represented by the number of pages
     and two sums of hashed (page, count) pairs, which combine on the map side: no page list is
     gathered, and a host with a third of all pages is no heavier.  Tokens of equal vectors form
@@ -181,17 +183,19 @@ def templates(pages: DataFrame, share: float = 0.9, least: int = 10) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, tokens, counts, kinds = [], [], [], []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            hosts, keys, tokens, counts, kinds = [], [], [], [], []
+            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks, markup = parse(html or "")
                 texts = Counter(text_token(b) for b in blocks if not b.skipped)
                 hosts.append(host(url))
                 tokens.append([0, *map(signed, markup), *texts])
                 counts.append([1, *markup.values(), *texts.values()])
                 kinds.append([False] * (1 + len(markup)) + [True] * len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), batch.column(0), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.bool_()))], ["host", "key", "token", "n", "text"])
+                keys.append(signed(xxhash.xxh64_intdigest(repr(sorted(zip(kinds[-1], tokens[-1], counts[-1], strict=True))))))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.bool_()))], ["host", "key", "token", "n", "text"])
 
-    found = map_arrow(pages.select("key", "url", "html"), run, "host string, key long, token array<long>, n array<int>, text array<boolean>")
+    found = map_arrow(pages.select("url", "html"), run, "host string, key long, token array<long>, n array<int>, text array<boolean>")
+    found = found.groupBy("host", "key").agg(*(F.any_value(c).alias(c) for c in ("token", "n", "text")))
     each = found.select("host", "key", F.explode(F.arrays_zip("token", "n", "text")).alias("t")).select("host", "t.*", F.xxhash64("key", "t.n").alias("h"))
     vectors = each.groupBy("host", "token", "text").agg(F.count("*").alias("pages"), F.sum(F.shiftrightunsigned("h", 32)).alias("s1"), F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2"))
     vectors = table(vectors.where(F.col("pages") >= least), "vectors")
@@ -212,10 +216,10 @@ def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str, broadc
     hosts the adaptive execution splits.
 
     A null or empty html gives an empty text.  A null url belongs to the host "".  Repeated
-    rows count as pages of their own; extra columns are ignored; an empty table gives no rows.
+    rows each give a row; extra columns are ignored; an empty table gives no rows.
     """
     given = own_names(pages, id=id_col, url=url_col, html=html_col)
-    found = table(templates(given.withColumn("key", F.xxhash64("id", "url", "html")), **how), "templates")
+    found = table(templates(given, **how), "templates")
     size = found.agg(F.sum(64 + F.octet_length("host") + 8 * F.size("texts"))).first()[0] or 0
     name = F.lower(F.regexp_extract("url", r"^(?:.*?://)?(?:[^/?#]*@)?([^/?#:@]*)", 1))
     side = F.broadcast(found.select("host", "texts")) if size <= broadcast_bytes else found.select("host", "texts")
