@@ -91,6 +91,7 @@ def test_short_lines_with_one_small_change_are_candidates(spark):
         if a != b and min(len(x), len(y)) <= 24 and 100 * len(x & y) >= 80 * len(x | y):
             pairs.add((a, b))
     p = lines.LineMinHash()
-    table = spark.createDataFrame(sorted(pairs), "a string, b string")
-    missed = table.where(~F.arrays_overlap(lines.band_keys(F.col("a"), p), lines.band_keys(F.col("b"), p)))
+    table = spark.createDataFrame([(i, *pair) for i, pair in enumerate(sorted(pairs))], "id bigint, a string, b string")
+    keys = lambda c: lines.with_band_keys(table.select("id", F.col(c).alias("line")), p).withColumnRenamed("keys", c)
+    missed = keys("a").join(keys("b"), "id").where(~F.arrays_overlap("a", "b"))
     assert missed.collect() == []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
-import gc
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ _made: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset and Spark runs in this process alone (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="tidewell-")
@@ -47,13 +50,17 @@ def table(df: DataFrame, tag: str) -> DataFrame:
 
 
 def joinable(found: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A written table of decisions as the side of a join: broadcast if it has at most `most` rows, else left to a shuffle."""
+    """A written table of narrow rows as the side of a join: broadcast if it has at most `most` rows, else left to a shuffle."""
     return F.broadcast(found) if found.count() <= most else found
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """At most four partitions a core, each worked off in turn: many tiny tasks cost more than they compute."""
-    return df.coalesce(4 * max(1, df.sparkSession.sparkContext.defaultParallelism))
+#: Rows, of a few dozen bytes each, up to which a step is small: 4 million are some 100 MB.
+MANY = 1 << 22
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A step over `rows` rows in at most four partitions a core if it is small: many tiny tasks cost more than they compute.  A larger one keeps its partitions."""
+    return df.coalesce(4 * max(1, df.sparkSession.sparkContext.defaultParallelism)) if rows <= MANY else df
 
 
 def only(rows: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
@@ -61,17 +68,40 @@ def only(rows: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
     return rows.join(joinable(ids, most), "id", "left_semi")
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove a scratch table that `table` wrote and that no later plan reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        _delete(spark, file.rsplit("/", 1)[0])
+def beside(pairs: DataFrame, rows: DataFrame, *columns: str, most: int = 1 << 20) -> DataFrame:
+    """`pairs` (a, b) with the `columns` of both ends, as x_a and x_b, from `rows` (id, columns).
+
+    Up to `most` pairs go to the rows, so that only the contents of their ends are shuffled,
+    once; an end that many pairs share is then on the broadcast side.  More pairs meet the
+    rows in shuffled joins.
+    """
+    pairs = table(pairs, "pairs")
+    side = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
+    if pairs.count() > most:
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+    left = side("a").join(F.broadcast(pairs), "a")
+    return left.join(side("b").join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), "b")
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Remove scratch tables that `table` wrote and that no later plan reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, made: list[str]) -> Iterator[None]:
+    """Adds the paths of the scratch tables written meanwhile to `made`."""
+    before = len(_made.setdefault(spark.sparkContext.applicationId, []))
+    yield
+    made += _made[spark.sparkContext.applicationId][before:]
 
 
-def settle(spark: SparkSession) -> None:
-    """Let go of finished rounds: Spark removes their shuffle files only when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def remove(spark: SparkSession, made: list[str]) -> None:
+    """Remove the scratch tables of these paths; the list is empty then."""
+    while made:
+        _delete(spark, made.pop())
 
 
 def release(spark: SparkSession) -> None:

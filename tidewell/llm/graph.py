@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, packed, settle
+from .common import MANY, drop_table, packed
 from .common import table as _table
 
 
-def table(df: DataFrame, tag: str) -> DataFrame:
-    return _table(packed(df), tag)
+def table(df: DataFrame, tag: str, rows: int = MANY) -> DataFrame:
+    """A scratch table of a step over at most `rows` rows."""
+    return _table(packed(df, rows), tag)
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -43,26 +44,27 @@ def components(edges: DataFrame) -> DataFrame:
     skew join.  A round over at most FEW edges runs in one partition, without exchanges; the
     plan is the same.  Null ends and self-links are ignored; no edges give no rows.
     """
-    now = table(
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        """The edges as a table; their number and the xor of their hashes identify the set."""
+        out = _table(df, "edges")
+        return out, tuple(out.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    now, seal = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("a is not null and b is not null and u <> v").distinct(),
-        "edges",
+        .where("a is not null and b is not null and u <> v").distinct()
     )
-    size = now.count()
-    seal = None
-    while size:
-        after = table(_star(now.coalesce(1) if size <= FEW else now), "edges")
-        drop_table(now)
-        now = after
-        # number and xor of hashes identify the edge set
-        was, seal = seal, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while seal[0]:
+        before = now
+        was, (now, seal) = seal, written(_star(now.coalesce(1) if seal[0] <= FEW else now))
+        drop_table(before)
         if was == seal:
             break
-        size = seal[0]
-    settle(edges.sparkSession)
-    small = now.coalesce(1) if size <= FEW else now
+    small = now.coalesce(1) if seal[0] <= FEW else now
     roots = small.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return table(small.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "components")
+    found = _table(small.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "components")
+    drop_table(now)
+    return found
 
 
 def linked(
@@ -72,56 +74,65 @@ def linked(
     sets: Callable[[DataFrame], DataFrame],
     percent: int,
     small: int = 32,
-    levels: int = 3,
-    gather: Callable[[DataFrame], DataFrame | None] | None = None,
+    levels: int = 8,
+    gather: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """(id, component) of all ids that some verified link touches.
+    """(id, component) of all ids that some verified link touches; a component is named by its least id.
 
-    `bands` has (id, n, key): an item, the size of its set (any constant if unknown) and one
-    band key per row; items under one key are candidates.  `weed` drops unpromising pairs
+    `bands` has (id, n, key): an item, the size of its set and one band key per row; items
+    under one key are candidates.  `weed` drops unpromising pairs
     (a, b, hits: keys shared) and adds `score`; `verify` keeps the true links; `sets` gives
-    (id, members array<long>) of ids.  `gather`, if given, is first told the ids that have
+    (id, members array<long>) of ids.  `gather`, if given, is first told which items (id, n) have
     candidates, to lay their contents ready.  All pairs inside a key are never spelled out:
 
-    1. Each item meets two pivots of each of its keys, and its best-scored pair is verified; then
-       the most linked item of each key that is still mixed.
+    1. Each item meets the least item of each of its keys, and its best-scored pair is verified;
+       then the most linked item of each key that is still mixed.
     2. Keys whose items now share one component are done.
     3. Other keys of up to `small` items: the pairs across components are checked, each item's
        most promising one before the rest.
-    4. Larger ones are refined (see `_refine`) to finer keys, on which this starts again; after
-       `levels` rounds, remaining pairs across components are checked whatever the size.
+    4. Larger ones are refined (see `_refine`) to finer keys, on which this starts again with
+       those that are mixed.  Every level adds what a key's items share to their consensus,
+       so keys shrink; pairs of what is large even after `levels` levels are all checked.
 
-    So every candidate pair ends inside one component or has been checked.
+    So every candidate pair ends inside one component or has been checked.  Ids and keys are
+    not null; repeated rows of `bands` count once; no rows give no rows.
     """
-    found, links, sizes = None, [], None
+    found, links, scrap = None, [], []
     for level in range(levels):
         rep = bands.repartition("key")
-        pivots = rep.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.max("id").alias("q")).where("c > 1")
-        members = table(rep.join(pivots.hint("shuffle_hash"), "key"), "members")  # most keys have one item: no need to sort them
+        # both sides of the join read all columns, so that they share the exchange
+        parts = [F.count("*").alias("c"), F.min("id").alias("p"), F.max("n").alias("top")]
+        if found is None:
+            pivots = rep.groupBy("key").agg(*parts).where("c > 1")
+        else:  # keys inside one component need no more
+            pivots = rep.groupBy("key").agg(*parts, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        # most keys have one item: no need to sort them
+        members = _table(rep.join(pivots.hint("shuffle_hash"), "key"), "members").select("key", "id", "n", "c", "p")
+        drop_table(*scrap)
+        rows = members.count()
+        hold = functools.partial(table, rows=rows)
         if gather and not level:
-            sizes = gather(members.select("id").distinct())
-        tried = (
-            members.select(F.col("id").alias("x"), F.explode(F.array("p", "q")).alias("y")).where("x <> y")
-            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("hits"))
-        )
+            gather(members.groupBy("id").agg(F.max("n").alias("n")))
+        tried = members.where("id <> p").groupBy(F.col("p").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("hits"))
         if found is not None:
             tried = _across(tried, found)
-        first = table(weed(tried).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "first")
-        links.append(table(verify(first.select("a", "b")).select("a", "b"), "links"))
+        first = hold(weed(tried).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "first")
+        links.append(hold(verify(first.select("a", "b")).select("a", "b"), "links"))
         found = _merge(found, links[-1])
-        rest = _mixed(members, found)
+        rest = _mixed(members, found, hold)
+        drop_table(members)
         # a second try, with the most linked item of each key that is still mixed
         hubs = rest.join(_degrees(links), "id", "left").groupBy("key").agg(_most().alias("h"))
         again = rest.join(hubs, "key").where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         again = _across(again.groupBy("a", "b").agg(F.count("*").alias("hits")).join(first, ["a", "b"], "left_anti"), found)
-        again = table(weed(again).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "again")
-        links.append(table(verify(again.select("a", "b")).select("a", "b"), "links"))
+        again = hold(weed(again).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "again")
+        links.append(hold(verify(again.select("a", "b")).select("a", "b"), "links"))
         if not links[-1].isEmpty():
-            found = _merge(found, links[-1])
-            rest = _mixed(members, found)
+            found, mixed = _merge(found, links[-1]), rest
+            rest = _mixed(mixed.drop("component"), found, hold)
+            drop_table(mixed)
         last = level == levels - 1
-        sized = rest if sizes is None or level else rest.drop("n").join(sizes, "id")
-        x, y = (sized.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
+        x, y = (rest.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
         across = (
             x.join(y, "key").where(F.col("component_x") < F.col("component_y"))
             .where((100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")))
@@ -129,68 +140,74 @@ def linked(
             .join(first.unionByName(again), ["a", "b"], "left_anti")
         )
         large = rest.where(F.col("c") > small).select("key", "id")
-        done = last or large.isEmpty()
+        done, scrap = last or large.isEmpty(), [rest, first, again]
         if not done:
             # a large key belongs to the group around the most linked item of its main component
             ends = _degrees(links)
             centre = found.join(ends, "id", "left").groupBy("component").agg(_most().alias("centre"))
             hubs = large.join(ends, "id", "left").groupBy("key").agg(_most().alias("id")).join(found, "id", "left").join(centre, "component", "left")
-            groups = large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct()
-            bands, within = _refine(groups, found, sets, percent)
-            across = across.unionByName(within).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+            groups = hold(large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct(), "groups")
+            parted = _refine(groups, sets, percent)
+            scrap += [groups, parted]
+            across = across.unionByName(_inside(parted, found, percent)).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
         # each item's pair of most shared keys and an eighth of the others go first: what they link needs no more pairs
-        across = table(across, "across")
+        across = _table(across, "across")
         each = across.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "hits")
         best = each.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("best")).select("best.*")
         drawn = across.where(F.pmod(F.xxhash64("a", "b"), F.lit(8)) == 0).select("a", "b")
-        early = table(best.union(drawn).distinct(), "early")
+        early = hold(best.union(drawn).distinct(), "early")
         found = _merge(found, verify(weed(across.join(early, ["a", "b"])).select("a", "b")))
         found = _merge(found, verify(weed(_across(across.join(early, ["a", "b"], "left_anti"), found)).select("a", "b")))
+        drop_table(across, early)
         if done:
+            drop_table(*scrap, *links)
             return found
+        bands = _finer(parted, found)
 
 
 #: Sets of a group, picked by hash, that its consensus is read from; it bears on the work only.
 SHOWN = 64
-#: So many keys of a group outside its main component, a few MB, at most decide the keys of the main one.
-SOUGHT = 1 << 18
 
 
-def _refine(groups: DataFrame, found: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Finer keys (id, n, key) and pairs (a, b, hits) that together hold every link inside a group (g, id).
+def _refine(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(g, id, n, most, prefix) of the items of groups (g, id), a written table: what `_finer` and `_inside` build on.
 
     Let P be the members that at least half of about SHOWN sets of the group share (any P is
     right; this one leaves little).  Linked sets u and m share at least `percent` / (100 + percent) of
     |u| + |m| members.  If they share one outside P, then as each has to share so many
-    that lie outside P, the prefixes of both outside parts in hash order have one in common: the
-    keys.  If not, |u & P| and |m & P| both reach that bound, which limits the sizes that can go
-    together; such pairs across components are joined on a class of the smaller size.
+    that lie outside P, the prefixes of both outside parts in hash order have one in common.  If
+    not, |u & P| and |m & P| both reach that bound, so neither is larger than `most` of the other.
     """
-    held = table(groups.join(sets(groups.select("id").distinct()), "id").withColumn("n", F.size("members").cast("long")), "held")
-    sizes = held.groupBy("g").agg(F.count("*").alias("c"))
-    drawn = held.join(sizes, "g").where(F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("c") / SHOWN)) == 0).select("g", "members")
-    drawn = table(drawn, "drawn")
+    sizes = groups.groupBy("g").agg(F.count("*").alias("c"))
+    drawn = groups.join(sizes, "g").where(F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("c") / SHOWN)) == 0).select("g", "id")
+    drawn = _table(drawn, "drawn")
     shown = drawn.groupBy("g").agg(F.count("*").alias("c"))
-    common = drawn.select("g", F.explode("members").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(shown, "g").where("2 * k >= c").groupBy("g").agg(F.collect_list("e").alias("common"))
+    common = drawn.join(sets(drawn.select("id").distinct()), "id").select("g", F.explode("members").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k"))
+    common = _table(common.join(shown, "g").where("2 * k >= c").groupBy("g").agg(F.collect_list("e").alias("common")), "common")
+    held = groups.join(sets(groups.select("id").distinct()), "id").join(common, "g", "left")
     outside = F.sort_array(F.array_except("members", F.coalesce("common", F.array().cast("array<long>"))))
-    parted = held.join(common, "g", "left").select("g", "id", "n", outside.alias("outside"))
-    parted = parted.withColumn("both", F.col("n") - F.size("outside"))
-    parted = parted.withColumn("need", F.greatest(F.ceil((percent * F.col("n") - 100 * F.col("both")) / 100), F.lit(1)).cast("int"))
-    parted = parted.withColumn("most", F.floor(F.col("both") * (100 + percent) / percent).cast("long") - F.col("n"))  # size that a partner inside P can have
-    parted = table(parted, "parted")
-    prefix = F.slice("outside", 1, F.greatest(F.size("outside") - F.col("need") + 1, F.lit(0)))
-    placed = parted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parted = held.select("g", "id", F.size("members").cast("long").alias("n"), outside.alias("outside"))
+    both = F.col("n") - F.size("outside")
+    need = F.greatest(F.ceil((percent * F.col("n") - 100 * both) / 100), F.lit(1)).cast("int")
+    most = F.floor(both * (100 + percent) / percent).cast("long") - F.col("n")  # size that a partner inside P can have
+    prefix = F.slice("outside", 1, F.greatest(F.size("outside") - need + 1, F.lit(0)))
+    parted = _table(parted.select("g", "id", "n", most.alias("most"), prefix.alias("prefix")), "parted")
+    drop_table(drawn, common)
+    return parted
+
+
+def _finer(parted: DataFrame, found: DataFrame) -> DataFrame:
+    """Keys (id, n, key, component) of the items of `_refine`, that hold every link over a member outside the consensus."""
+    placed = parted.join(found, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("component"), F.explode("prefix").alias("e"))
+    return placed.select("id", "n", F.xxhash64("g", "e").alias("key"), "component")
+
+
+def _inside(parted: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, hits) of the items of `_refine` across components that may be linked by the consensus alone, joined on a class of the smaller size."""
+    placed = parted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).where(f"100 * most >= {percent} * n").drop("prefix")
     main = placed.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", "c").alias("main"))
-    placed = table(placed.join(main, "g").select("*", prefix.alias("prefix")), "placed")
-    # pairs inside the main component need no key: its items are indexed by what the others look for, if that is of bounded size
-    others = table(placed.where("component <> main").select("id", "n", "g", F.explode("prefix").alias("e")), "others")
-    few = others.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") <= SOUGHT).select("g")
-    sought = others.join(few, "g").groupBy("g").agg(F.collect_set("e").alias("sought"))
-    mine = placed.where("component = main").join(sought, "g", "left")
-    mine = mine.select("id", "n", "g", F.explode(F.when(F.col("sought").isNull(), F.col("prefix")).otherwise(F.array_intersect("prefix", "sought"))).alias("e"))
-    finer = others.union(mine).select("id", "n", F.xxhash64("g", "e").alias("key")).distinct()
+    named = _table(placed.join(main, "g"), "named")
     step = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
-    named = placed.select("g", "id", "n", "most", "component", "main").where(f"100 * most >= {percent} * n")
     lesser = named.where("most >= n").withColumn("step", step(F.col("n")))
     steps = F.sequence(step(F.greatest(F.ceil(percent * F.col("n") / 100), F.lit(1))), step(F.greatest(F.least("n", "most"), F.lit(1))))
     larger = named.withColumn("step", F.explode(steps))
@@ -202,8 +219,7 @@ def _refine(groups: DataFrame, found: DataFrame, sets: Callable[[DataFrame], Dat
         x, y = (side.select("g", "step", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "most", "component"))) for side, s in ((x, "x"), (y, "y")))
         joined = x.join(y, ["g", "step"]).where("component_x <> component_y and n_x <= n_y and n_y <= most_x and n_x <= most_y")
         pairs.append(joined.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")))
-    within = pairs[0].union(pairs[1]).groupBy("a", "b").agg(F.count("*").alias("hits"))
-    return finer, within
+    return pairs[0].union(pairs[1]).groupBy("a", "b").agg(F.count("*").alias("hits"))
 
 
 def _most() -> Column:
@@ -216,11 +232,11 @@ def _degrees(links: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.union, links).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, found: DataFrame, hold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Rows of `members`, with their component, under keys that hold several components."""
     own = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return table(own.join(mixed, "key"), "rest")
+    return hold(own.join(mixed, "key"), "rest")
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -231,10 +247,18 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after more links (a, b)."""
+    """Components after more links (a, b): only the components that they join meet again."""
     if found is None:
         return components(links)
-    links = table(links.select("a", "b"), "links")
-    if links.isEmpty():
+    root = lambda s: found.select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
+    ends = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    ends = _table(ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct(), "joined")
+    if ends.isEmpty():
+        drop_table(ends)
         return found
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+    roots = components(ends)
+    moved = found.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    fresh = roots.join(found, "id", "left_anti")
+    after = _table(moved.select("id", F.coalesce("root", "component").alias("component")).unionByName(fresh), "components")
+    drop_table(ends, roots, found)
+    return after

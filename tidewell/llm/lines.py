@@ -8,58 +8,71 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, only, table
+from .common import beside, drop_table, joinable, let, table
 from .graph import linked
 
 #: Blanks that are stripped from both ends of a line.
 _ENDS = " \t\n\x0b\x0c\r"
+#: Bytes of a code point in the encoding that shingles are cut from.
+_WIDE = 4
 
 
 @dataclass(frozen=True)
 class LineMinHash:
-    """Parameters: shingle width in characters, similarity in percent, registers of a band (row count), shingles up to which a line's links are found exactly."""
+    """Parameters: shingle width in characters, similarity in percent, bands, minima of a band (row count), shingles up to which a line's links are found exactly."""
 
     width: int = 8
     percent: int = 80
+    bands: int = 16
     rows: int = 4
     short: int = 24
 
 
-def shingles(line: Column, p: LineMinHash) -> Column:
-    """All shingles of a line; a line shorter than one is its only shingle."""
-    return F.when(F.length(line) <= p.width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{p.width}}}))"), F.lit(1)))
+def hashes(line: Column, p: LineMinHash) -> Column:
+    """Hashes of a line's distinct shingles, in order; a line shorter than one shingle is its only one.
 
+    In UTF-32 every shingle is a slice at a fixed place, so none is searched for.
+    """
+    last = lambda b: F.greatest(F.octet_length(b) - F.lit(_WIDE * p.width - 1), F.lit(1))
+    cut = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(_WIDE)), lambda i: F.xxhash64(F.substr(b, i, F.lit(_WIDE * p.width))))
+    return F.sort_array(F.array_distinct(let(F.encode(line, "UTF-32"), cut)))
 
-def _hashes(line: Column, p: LineMinHash) -> Column:
-    """Hashes of a line's distinct shingles, in order."""
-    return F.sort_array(F.array_distinct(F.transform(shingles(line, p), lambda x: F.xxhash64(x))))
 
+def with_band_keys(rows: DataFrame, p: LineMinHash) -> DataFrame:
+    """`rows` (id, line) as (id, n, keys): the number of distinct shingles and the candidate keys of each line.
 
-def minima(hashes: Column) -> Column:
-    """One-permutation MinHash signature of a line over all its shingles: the minima of its filled registers, in order.
+    The signature is one-permutation MinHash: the hashes fall into `bands` ranges of equal
+    width, and the `rows` smallest from the start of a range on (around the end if need be) are
+    its minima; a range that holds nothing has no key.  Two sets share the key of a range if
+    the `rows` smallest of their union there lie in both.
 
-    The sorted hashes fall into 64 registers by their top six bits; the first of each is its minimum.
+    Short lines leave most ranges thin and would miss links: two lines of which one has up to
+    `short` shingles meet by `_couples`, which misses none, others by bands.  The other line of
+    such a pair may be longer, so lengths between have both kinds of keys.
     """
-    register = lambda x: F.shiftright(x, 58)
-    return F.filter(hashes, lambda x, i: (i == 0) | (register(x) != register(F.get(hashes, i - 1))))
-
+    placed = _placed(rows.select("id", hashes(F.col("line"), p).alias("h")), p.bands)
 
-def _bands(hashes: Column, p: LineMinHash) -> Column:
-    """Keys of the bands of a signature.
+    def key(b: int) -> Column:
+        members = [F.get("h", (F.col(f"at{b}") + j) % F.size("h")) for j in range(p.rows)]
+        return F.when(F.col(f"at{b}") < F.col(f"at{b + 1}"), F.xxhash64(F.lit(b), *members))
 
-    For each group of four registers that holds something, a band takes `rows` filled
-    registers from its first one on, around the end if need be.
-    """
-    band = lambda x: F.shiftright(x, 60)
+    n = F.size("h")
+    # array_compact also keeps the optimizer from writing the array, and so the hashes, into each branch below
+    bands = placed.select("id", "h", F.array_compact(F.array(*map(key, range(p.bands)))).alias("bands"))
+    keys = F.when(n <= p.short, _couples(F.col("h"), p)).when(p.percent * n <= 100 * p.short, F.concat(_couples(F.col("h"), p), "bands")).otherwise(F.col("bands"))
+    return bands.select("id", n.alias("n"), keys.alias("keys"))
 
-    def keys(ms: Column) -> Column:
-        def key(x: Column, i: Column) -> Column:
-            members = [F.get(ms, (i + j) % F.size(ms)) for j in range(1, p.rows)]
-            return F.when((i == 0) | (band(x) != band(F.get(ms, i - 1))), F.xxhash64(band(x), x, *members))
 
-        return F.array_compact(F.transform(ms, key))
+def _placed(rows: DataFrame, bands: int) -> DataFrame:
+    """`rows` (id, h: sorted hashes) with at0, at1 ...: how many hashes lie before each of `bands` ranges, and all of them last.
 
-    return let(minima(hashes), keys)
+    The bounds are sorted in among the hashes, and a bound's place there tells the number before
+    it; so no lambda runs over the hashes.
+    """
+    bounds = [-(1 << 63) + b * ((1 << 64) // bands) for b in range(bands)]
+    sorted_in = rows.select("id", "h", F.sort_array(F.concat("h", F.array(*map(F.lit, bounds)))).alias("s"))
+    at = [(F.array_position("s", bound) - (b + 1)).cast("int").alias(f"at{b}") for b, bound in enumerate(bounds)]
+    return sorted_in.select("id", "h", *at, F.size("h").alias(f"at{bands}"))
 
 
 def _couples(hashes: Column, p: LineMinHash) -> Column:
@@ -73,54 +86,47 @@ def _couples(hashes: Column, p: LineMinHash) -> Column:
     return F.when(F.size(hashes) == 1, hashes).otherwise(pairs)
 
 
-def band_keys(line: Column, p: LineMinHash) -> Column:
-    """Candidate keys of a line.
-
-    Bands of short lines, which leave most registers empty, would miss links: two lines of which
-    one has up to `short` shingles meet by `_couples`, which misses none, others by `_bands`.  The
-    other line of such a pair may be longer, so lengths between have both kinds of keys.
-    """
+def _named(line: str = "line") -> list[Column]:
+    """A line's name: 128 bits of hash."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
-    def keys(hs: Column) -> Column:
-        couples, bands = _couples(hs, p), _bands(hs, p)
-        return F.when(F.size(hs) <= p.short, couples).when(p.percent * F.size(hs) <= 100 * p.short, F.concat(couples, bands)).otherwise(bands)
 
-    return let(_hashes(line, p), keys)
+def _lines(text: str) -> Column:
+    return F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_ENDS)))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, at, pos, line) of every line that holds a word; doc and at (a hash of the text) name the row."""
-    given = docs.select(F.col("id").alias("doc"), F.xxhash64("text").alias("at"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return given.select("doc", "at", "pos", F.btrim("line", F.lit(_ENDS)).alias("line")).where("line <> ''")
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(id, h1, h2, line, c) of the distinct texts in `lines` (`line`), a written table: id numbers them, c counts their occurrences."""
+    return table(lines.groupBy("line").agg(F.count("*").alias("c")).select(F.monotonically_increasing_id().alias("id"), *_named(), "line", "c"), "lines")
 
 
 def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFrame:
-    """(id, component) of the lines (`line`) that are linked to different ones; id is the hash of a line.
+    """(id, component) of the lines (id long, line; a written table of different lines) that are linked to others.
 
     Lines are linked if the Jaccard similarity of their character-shingle sets is `percent` %
     or more, verified on the full sets for every candidate of the bands; a component is closed
-    under links and is named by its least hash.
+    under links and is named by its least id.
     """
-    hashed = lines.select(F.xxhash64("line").alias("id"), "line")
-    # equal lines meet first, so a frequent one is one row
-    distinct = hashed.select("id", band_keys(F.col("line"), p).alias("keys")).groupBy("id").agg(F.any_value("keys").alias("keys"))
-    bands = distinct.select("id", F.lit(1).alias("n"), F.explode("keys").alias("key"))
+    # the outer form: a plain explode would have its array computed once more, to filter empty ones
+    bands = with_band_keys(lines, p).select("id", "n", F.explode_outer("keys").alias("key")).where("key is not null")
     texts: list[DataFrame] = []
 
-    def gather(ids: DataFrame) -> DataFrame:
-        texts.append(table(only(hashed, table(ids, "candidates")).groupBy("id").agg(F.any_value("line").alias("line")).withColumn("n", F.size(F.array_distinct(shingles(F.col("line"), p)))), "lines"))
-        return texts[0].select("id", "n")
+    def gather(ids: DataFrame) -> None:
+        ids = table(ids, "candidates")
+        texts.append(table(lines.select("id", "line").join(joinable(ids), "id"), "texts"))
+        drop_table(ids)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda s: texts[0].select(F.col("id").alias(s), F.col("line").alias(f"l_{s}"), F.col("n").alias(f"n_{s}"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
-        both = F.size(F.array_intersect(shingles(F.col("l_a"), p), shingles(F.col("l_b"), p)))
-        return joined.where(let(both, lambda c: 100 * c >= p.percent * (F.col("n_a") + F.col("n_b") - c))).select("a", "b")
+        joined = beside(pairs, texts[0], "line", "n").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
+        both = F.size(F.array_intersect(hashes(F.col("line_a"), p), hashes(F.col("line_b"), p)))
+        return joined.where((100 + p.percent) * both >= p.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def own(ids: DataFrame) -> DataFrame:
-        return texts[0].join(ids, "id", "left_semi").select("id", _hashes(F.col("line"), p).alias("members"))
+        return texts[0].join(ids, "id", "left_semi").select("id", hashes(F.col("line"), p).alias("members"))
 
-    return linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather)
+    found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather)
+    drop_table(*texts)
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = LineMinHash(), carry: Sequence[str] = (), broadcast_bytes: int = 16 << 20) -> DataFrame:
@@ -134,17 +140,23 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, p: LineMinHash = Li
     A null text stays null with no lines; a null id comes first in the order.  Rows that
     repeat both id and text share their lines' place and keep the same ones; rows that repeat
     an id with other texts are apart.  Columns not carried are ignored.  An empty table gives no rows.
-    Lines are identified by 64-bit hashes.
+    Equal lines meet by their text, occurrences meet their line by 128 bits of hash.
     """
     kept_on = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None)
     given = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), kept_on.alias("carried"))
-    lines = _occurrences(given)
-    found = line_components(lines.select("line"), p)
-    places = lines.select("doc", "at", "pos", F.xxhash64("line").alias("id")).join(found, "id", "left")
-    places = table(places.select("doc", "at", "pos", F.coalesce("component", "id").alias("component")), "places")
-    first = places.groupBy("component").agg(F.count("*").alias("c"), F.min(F.struct("doc", "pos", "at")).alias("first")).where("c > 1")
+    lines = distinct_lines(given.select(F.explode_outer(_lines("text")).alias("line")).where("line <> ''"))
+    found = line_components(lines.select("id", "line"), p)
+    # a line that is met once and linked to no other stays: only the rest has to find its occurrences
+    marked = lines.select("id", "h1", "h2", "c").join(found, "id", "left").where("c > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("component"))
+    marked = table(marked, "marked")
+    drop_table(lines, found)
+    # doc and at (a hash of the text) name the row
+    occurrences = given.select(F.col("id").alias("doc"), F.xxhash64("text").alias("at"), F.posexplode_outer(_lines("text")).alias("pos", "line")).where("line <> ''").select("doc", "at", "pos", *_named())
+    places = table(occurrences.join(joinable(marked, 1 << 19), ["h1", "h2"]).select("doc", "at", "pos", "component"), "places")
+    first = places.groupBy("component").agg(F.min(F.struct("doc", "pos", "at")).alias("first"))
     gone = places.join(first, "component").where(F.struct("doc", "pos", "at") != F.col("first")).groupBy("doc", "at").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     gone = table(gone, "gone")
+    drop_table(marked, places)
     size = gone.agg(F.sum(64 + 4 * F.size("removed"))).first()[0] or 0
     # texts stay where they are if the decisions are small, else they meet in a shuffled join
     gone = F.broadcast(gone) if size <= broadcast_bytes else gone.hint("shuffle_hash")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, only, own_names, packed, table
+from .common import beside, drop_table, map_arrow, only, own_names, table
 from .graph import linked
 from .hashing import BLANKS, chain, mix, pieces, strings, words
 
@@ -117,7 +117,7 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
     given = own_names(docs, id=id_col, text=text_col)
     sketched = table(sketches(given, p), "sketches")
     groups = sketched.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"))
-    groups = table(packed(groups), "groups")
+    groups = table(groups, "groups")
     reps = table(sketched.join(groups.select("digest", F.col("rep").alias("id")), ["digest", "id"]).dropDuplicates(["id", "digest"]), "reps")
     bands = reps.select("id", "n", F.explode("keys").alias("key"))
     floor, size = p.percent / 100, 1 << p.buckets
@@ -126,33 +126,27 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
 
     def gather(ids: DataFrame) -> None:
         """Sketches and texts of the documents that have candidates."""
-        ids = table(ids, "candidates")
+        ids = table(ids.select("id"), "candidates")
         ready["sketches"] = table(only(reps.drop("keys", "digest"), ids), "sketches")
         ready["texts"] = table(only(given, ids), "texts")
+        drop_table(ids, reps)
 
     def weed(pairs: DataFrame) -> DataFrame:
-        side = lambda s: ready["sketches"].select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
-                a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, size) for c in ("r_a", "r_b"))
+                a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, size) for c in ("registers_a", "registers_b"))
                 got, base = estimate(a, b, t.column("n_a").to_numpy(), t.column("n_b").to_numpy(), p)
                 keep = got >= floor - 4 * np.sqrt(floor * (1 - floor) / np.maximum(base, 1))
                 yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(got)], ["a", "b", "score"]).filter(pa.array(keep))
 
-        paired = pairs.join(side("a"), "a").join(side("b"), "b")
-        paired = paired.where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
-        return map_arrow(packed(paired.select("a", "b", "n_a", "n_b", "r_a", "r_b")), run, "a long, b long, score double")
-
-    def paired_texts(pairs: DataFrame) -> DataFrame:
-        side = lambda s: ready["texts"].select(F.col("id").alias(s), F.col("text").alias(f"t_{s}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+        paired = beside(pairs, ready["sketches"], "n", "registers").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
+        return map_arrow(paired.select("a", "b", "n_a", "n_b", "registers_a", "registers_b"), run, "a long, b long, score double")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 keep = np.zeros(t.num_rows, bool)
-                (da, oa), (db, ob) = strings(t.column("t_a")), strings(t.column("t_b"))
+                (da, oa), (db, ob) = strings(t.column("text_a")), strings(t.column("text_b"))
                 for lo, hi in pieces(oa + ob):
                     sides = [shingle_sets(d[o[lo] : o[hi]], o[lo : hi + 1] - o[lo], p.width) for d, o in ((da, oa), (db, ob))]
                     for i, (x, y) in enumerate(zip(*sides, strict=True), lo):
@@ -160,7 +154,7 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
                         keep[i] = 100 * both >= p.percent * (len(x) + len(y) - both)
                 yield t.select(["a", "b"]).filter(pa.array(keep))
 
-        return map_arrow(packed(paired_texts(pairs)), run, "a long, b long").distinct()
+        return map_arrow(beside(pairs, ready["texts"], "text").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
     def sets(ids: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +164,10 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
                     own = [s.view(np.int64) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width)]
                     yield pa.RecordBatch.from_arrays([t.column("id").slice(lo, hi - lo), pa.array(own, pa.list_(pa.int64()))], ["id", "members"])
 
-        return map_arrow(packed(ready["texts"].join(ids, "id", "left_semi")), run, "id long, members array<long>")
+        return map_arrow(ready["texts"].join(ids, "id", "left_semi"), run, "id long, members array<long>")
 
     found = linked(bands, weed, verify, sets, p.percent, gather=gather)
+    drop_table(*ready.values())
     named = groups.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return sketched.select("id", "n", "digest").join(named, "digest", "left").select(
         "id", F.col("n").alias("n_shingles"),
