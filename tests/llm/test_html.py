@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -71,6 +72,46 @@ def test_both_ways_of_meeting_templates_agree(spark, sf):
     assert one == two
 
 
+def test_the_main_slot_of_pages_without_article_elements(spark):
+    """Nothing but the deduced template tells the story from the advert and the menu."""
+    page = "<body><div class=a1><a href=/>Home</a> <a href=/x>About</a></div><div class=a2>{0}</div><div class=a3><div class=a4><h1>Title {1}</h1>{2}</div></div><div class=a5>Offer {1} ends soon</div></body>"
+    rows = [(i, f"http://plain.example.com/{i}", page.format(f"Lamp {i} now cheaper", i, "".join(f"<p>Line {k} of the long story {i}.</p>" for k in range(2 + i % 4)))) for i in range(24)]
+    found = {r.id: r for r in html.main_text(spark.createDataFrame([(*r, "h", 1, "k") for r in rows], PAGES), "page_id", "url", "html").collect()}
+    for i in range(24):
+        assert found[i].slotted and found[i].text == f"Title {i} " + " ".join(f"Line {k} of the long story {i}." for k in range(2 + i % 4))
+
+
+def test_templates_of_the_table_decide_its_texts(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = html.templates(pages).collect()
+    assert found and all(r.main is not None and r.classes >= 2 for r in found)
+    slotted = {r.id for r in html.main_text(pages, "page_id", "url", "html").where("slotted").collect()}
+    names = {r.host for r in found}
+    assert slotted == {r.page_id for r in pages.collect() if html.host(r.url) in names}
+
+
+def test_nesting():
+    """A class in two slots of another is content; one in a slot of a template class is nested."""
+    nodes = {1: (0, 0, "a", 9, 0), 2: (1, 0, "a", 4, 0), 3: (1, 0, "a", 5, 0), 4: (2, 0, "b", 1, 0), 5: (4, 1, "b", 1, 0), 6: (2, 0, "c", 1, 0), 7: (3, 0, "c", 1, 0), 8: (7, 0, "d", 1, 0)}
+    assert html.nest(nodes) == {1: 0, 2: 1, 3: 1, 4: 2, 5: 4}
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content with-sidebar"><article>a</article></div>', '<body class="no-sidebar"><article>a</article>', "<div class=page-header-fixed><article>a</article></div>",
+    "<div class=has-comments><article>a</article></div>", "<article class=related-posts-on>a</article>", '<article><section class="search-methods">a</section><div class="share-buttons">b</div></article>',
+])
+def test_names_that_only_switch_do_not_empty_articles(page):
+    assert html.page_text(page, set())[0] == "a"
+
+
+@pytest.mark.parametrize("piece", ["<p a=\"'>x", "<b>", "</i>", "<a '", "<", "<li>", "<p>x</p>", "<div>", "<!--", "<nav><article>"])
+def test_hostile_pages_take_linear_time(piece):
+    page = "<ul><p><div>" + "<b>" * 20_000 + piece * (500_000 // len(piece))
+    began = time.monotonic()
+    html.page_text(page, set())
+    assert time.monotonic() - began < 20
+
+
 def test_awkward_rows(spark):
     rows = [(1, "http://a", None), (2, None, "<p>x"), (None, "", ""), (2, None, "<p>x"), (3, "http://a", "<p>" + "long " * 200_000)]
     found = html.main_text(spark.createDataFrame([(*r, "h", 1, "k") for r in rows], PAGES), "page_id", "url", "html").collect()
