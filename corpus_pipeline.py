@@ -6,6 +6,7 @@ returns a DataFrame; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,11 @@ NEAR = minhash.HyperMinHash(width=5, percent=80, rows=4)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no known language; `lang` becomes the language found."""
+    """Drop documents in no known language; `lang` becomes the language found.
+
+    Null, empty and letterless texts are in no language.  Rows that repeat an id share their decision: they stay
+    if one of them does.  Null ids are one id.  An empty table gives no rows.
+    """
     model = language.fit(docs, "text", "lang")
     given = docs.select("doc_id", "text", F.col("lang").alias("declared"), "source")
     found = language.identify(given, model, "doc_id", "text", declared=F.col("declared"), host=F.col("source"))
@@ -32,7 +37,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out lines met before; a document that loses all its lines goes."""
+    """Take out lines met before; a document that loses all its lines goes.
+
+    Documents without lines, null texts among them, stay.  Of equal and similar lines, that of the smallest
+    (id, position) stays, a null id first.  Repeated rows keep the same lines.  An empty table gives no rows.
+    """
     carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     found = lines.dedup_lines(docs, "doc_id", "text", carry=carry).where("n_kept > 0 or n_lines = 0")
     own = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
@@ -40,20 +49,32 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of smallest id."""
+    """One document of each group of near duplicates stays, the one of smallest id.
+
+    Texts without words and null ids are alone in their group and stay.  Rows that repeat an id share their decision:
+    they stay if one of them does.  An empty table gives no rows.
+    """
     found = _once(minhash.components_by_hyperminhash(docs, "doc_id", "text", NEAR), F.max("kept").alias("kept")).where("not kept")
     return docs.join(common.joinable(found), _same(docs, found), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make up 5 % or more go."""
+    """Documents of which benchmark passages make up 5 % or more go.
+
+    Null and wordless texts stay.  Rows that repeat an id go if one of them is contaminated; null ids are one id.
+    An empty table gives no rows, an empty benchmark takes none out.
+    """
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "doc_id", "text", "item_id", "text")
     found = _once(found.where("contaminated"), F.lit(True).alias("contaminated"))
     return docs.join(common.joinable(found), _same(docs, found), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, with the copies and the words taken of each (in place of columns of these names)."""
+    """Documents in the mix, with the copies and the words taken of each (in place of columns of these names).
+
+    Documents without words are not in it.  Rows that repeat an id share the decision of the one that is taken most;
+    null ids are one id, a null source is a source.  An empty table gives no rows.
+    """
     added = ["size", "copies", "taken"]
     one = F.max(F.struct(*added))
     found = _once(mixing.mix_documents(docs, "doc_id", "text", "source").where("taken > 0"), *(one[c].alias(c) for c in added))
@@ -71,12 +92,27 @@ def _same(docs: DataFrame, found: DataFrame) -> Column:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage, after the scratch tables of earlier ones are removed: what they returned is written when the next stage starts."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.remove(spark, _left)
+        with common.scratch(spark, _left):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", identify_language),
-    ("lines", dedup_lines),
-    ("near_duplicates", drop_near_duplicates),
-    ("contamination", drop_contaminated),
-    ("mixing", mix_sources),
+    ("language", _tidy(identify_language)),
+    ("lines", _tidy(dedup_lines)),
+    ("near_duplicates", _tidy(drop_near_duplicates)),
+    ("contamination", _tidy(drop_contaminated)),
+    ("mixing", _tidy(mix_sources)),
 ]
 
 #: Neither language identification nor the closure of fuzzy lines can be stated in SQL.

@@ -46,6 +46,21 @@ def test_conversations_with_ties_and_nulls(spark):
     assert found == {1: [("user", "a"), ("assistant", "b")], 2: [("", ""), ("assistant", "z")], None: [("user", "q"), ("assistant", "")], 3: [("user", "first"), ("assistant", "then")], 4: [("assistant", "alone")]}
     made = {r.conv: r for r in chat.preferences(spark.createDataFrame([(*r, "c", 1) for r in rows], TURNS), "conv_id", "turn", "role", "text").collect()}
     assert made[1].rejected_text == "<|assistant|>\na<|end|>\n" and made[4].prompt == ""
+    assert {k: r.kind for k, r in made.items()} == {1: "echo", 2: "echo", None: "echo", 3: "echo", 4: "echo"}
+
+
+def test_siblings_share_an_opening_and_everyone_has_a_row(spark):
+    """Real pairs: conversations with one first turn, against the one of least id; a very common opening makes a row for each."""
+    rows = [(i, 0, "user", "hi") for i in range(300)] + [(i, 1, "assistant", f"answer {i % 3}") for i in range(300)] + [(i, 2, "user", f"more {i}") for i in range(300)]
+    rows += [(900, 0, "user", "alone"), (901, 0, "user", "hi"), (902, 0, "user", "x"), (902, 1, "assistant", "x"), (903, 0, "user", "long " * 50_000), (903, 1, "assistant", "y")]
+    found = chat.preferences(spark.createDataFrame([(*r, "c", 1) for r in rows], TURNS), "conv_id", "turn", "role", "text").collect()
+    siblings = {r.conv: r for r in found if r.kind == "sibling"}
+    assert set(siblings) == {*range(1, 300), 901} and all(r.other == 0 for r in siblings.values())
+    for i in range(1, 300):
+        assert siblings[i].n_common == (2 if i % 3 == 0 else 1)
+    assert siblings[901].n_common == 1 and siblings[901].rejected_text == ""
+    once = [r for r in found if r.kind != "sibling"]
+    assert sorted(r.conv for r in once) == [*range(300), 900, 901, 902, 903] and {r.conv for r in once if r.kind == "none"} == {900, 901, 902}
     assert chat.preferences(spark.createDataFrame([], TURNS), "conv_id", "turn", "role", "text").collect() == []
 
 

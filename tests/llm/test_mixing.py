@@ -2,7 +2,6 @@ import random
 from collections import Counter
 from itertools import product
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import mixing
@@ -84,5 +83,23 @@ def test_awkward_rows(spark, awkward):
     assert all(r.taken == 0 for r in found if r.size == 0)
     assert [(r.size, r.source_size) for r in found if r.id == 6] == [(1, 1)]
     assert mixing.mix_documents(awkward.limit(0), "doc_id", "text", "source").collect() == []
-    with pytest.raises(ValueError, match="patterns"):
-        mixing.mix_documents(awkward, "doc_id", "text", "source", max_patterns=1)
+    few = mixing.mix_documents(awkward, "doc_id", "text", "source", max_patterns=1)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, found))  # rows of one source need no coarser patterns
+
+
+def test_more_patterns_than_the_flow_takes(spark):
+    """Rare patterns enter the flow with one of their sources: every row is there, limits and sizes hold."""
+    rows = [(i, 1 + i % 7, [f"s{k}" for k in range(6) if i >> k & 1]) for i in range(1, 640)]
+    docs = spark.createDataFrame(rows, "id bigint, n bigint, belongs array<string>")
+    for most in (5, 1000):
+        found = mixing.mix(docs, "id", F.col("n"), F.col("belongs"), max_patterns=most).collect()
+        assert sorted(r.id for r in found) == [r[0] for r in rows]
+        assert all(r.taken <= 2 * r.size for r in found)
+        total = sum(n for _, n, _ in rows)
+        assert 1.4 * total < sum(r.taken for r in found) < 1.6 * total
+
+
+def test_null_ids_do_not_share_one_place(spark):
+    docs = spark.createDataFrame([(None, f"word {i} more", "s") for i in range(20_000)], "doc_id bigint, text string, source string")
+    found = mixing.mix_documents(docs, "doc_id", "text", "source")
+    assert found.agg(F.sum("taken")).first()[0] in range(89_000, 90_001)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, own_names
+from .common import let, own_names, table
 
 #: A turn as text: header, content, end mark.
 HEAD, TAIL = ("<|", "|>\n"), "<|end|>\n"
@@ -72,22 +72,53 @@ def format_preferences(pairs: DataFrame, trained: str = "assistant") -> DataFram
     return out.drop("chosen", "rejected")
 
 
-def parroted(convs: DataFrame, trained: str = "assistant") -> DataFrame:
-    """(conv, chosen, rejected) of conversations that end with an answer.
+def echoed(convs: DataFrame, which: Column, trained: str = "assistant") -> DataFrame:
+    """(conv, chosen, rejected) of conversations with an answer, cut after the last one.
 
-    The table holds no judged pairs, so the rejected side is made: its last answer only repeats
-    the turn before it (or is empty if there is none).
+    The rejected side is made: answer number `which` (0 is the first; taken modulo their number) only repeats
+    the turn before it, or is empty if there is none, and the rest of the conversation goes on as it was.
     """
-    last = F.get("turns", F.size("turns") - 1)
-    asked = F.when(F.size("turns") > 1, F.get("turns", F.size("turns") - 2)["text"]).otherwise("")
+    answers = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == trained, i)), lambda i: i.isNotNull())
+    given = convs.withColumn("answers", answers).where(F.size("answers") > 0)
+    given = given.withColumn("at", F.get("answers", F.pmod(which, F.size("answers")).cast("int"))).withColumn("chosen", F.slice("turns", 1, F.try_element_at("answers", F.lit(-1)) + 1))
+    asked = F.coalesce(F.get("turns", F.col("at") - 1)["text"], F.lit(""))
     echo = F.struct(F.lit(trained).alias("role"), asked.alias("text"))
-    head = F.slice("turns", 1, F.size("turns") - 1)
-    return convs.where(last["role"] == trained).select("conv", F.col("turns").alias("chosen"), F.array_append(head, echo).alias("rejected"))
+    return given.select("conv", "chosen", F.transform("chosen", lambda t, i: F.when(i == F.col("at"), echo).otherwise(t)).alias("rejected"))
+
+
+def siblings(convs: DataFrame) -> DataFrame:
+    """(conv, other, chosen, rejected) of conversations whose first turn others share, too.
+
+    The one of least id stands as chosen for all of its opening, and each other one (`conv`) is rejected against
+    it (`other`), so an opening that a third of all conversations share makes as many pairs as it has members.
+    Openings are counted by combining on the map side; the join on them leaves a common one for the
+    adaptive execution to split.
+    """
+    opened = convs.withColumn("opening", F.get("turns", F.lit(0)))
+    shared = opened.groupBy(F.col("opening.role").alias("r"), F.col("opening.text").alias("x")).agg(F.count("*").alias("c"), F.min("conv").alias("first")).where("c > 1").drop("c")
+    lead = shared.join(convs.select(F.col("conv").alias("other"), F.col("turns").alias("chosen")), F.col("first") == F.col("other")).drop("first")
+    joined = opened.join(lead, (F.col("opening.role") == F.col("r")) & (F.col("opening.text") == F.col("x")))
+    return joined.where(~F.col("conv").eqNullSafe(F.col("other"))).select("conv", "other", "chosen", F.col("turns").alias("rejected"))
 
 
 def preferences(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Formatted pairs of all conversations of a table of turns (see `conversations`, `parroted` and `format_preferences`); an empty table gives no rows."""
-    return format_preferences(parroted(conversations(turns, conv_col, turn_col, role_col, text_col)))
+    """Formatted pairs of all conversations of a table of turns: conv, kind, other and the columns of `format_preferences`.
+
+    Kinds: `sibling` for pairs of conversations with one opening (see `siblings`), `echo` for a conversation
+    and its variant with an echoed answer (see `echoed`; which one goes by the number of the conversation), and `none` for a
+    conversation without an answer, or whose answer is its echo: all of it is the prompt, and its completions are empty.
+    So every conversation has one row of `echo` or `none`.  Null ids are one conversation; an empty table gives no rows.
+    """
+    convs = table(conversations(turns, conv_col, turn_col, role_col, text_col), "conversations")
+    other = F.lit(None).cast(convs.schema["conv"].dataType)
+    which = F.coalesce(F.col("conv").try_cast("long"), F.lit(0))
+    echo = format_preferences(echoed(convs, which))
+    pairs = echo.select("conv", F.lit("echo").alias("kind"), other.alias("other"), *echo.columns[1:])
+    pairs = pairs.unionByName(format_preferences(siblings(convs)).withColumn("kind", F.lit("sibling")))
+    left = convs.join(echo.select(F.col("conv").alias("done")), F.col("conv").eqNullSafe(F.col("done")), "left_anti")
+    spans = F.array().cast("array<struct<from:int,to:int>>")
+    none = left.select("conv", F.lit("none").alias("kind"), other.alias("other"), F.size("turns").alias("n_common"), render(F.col("turns")).alias("prompt"), F.lit("").alias("chosen_text"), spans.alias("chosen_mask"), F.lit("").alias("rejected_text"), spans.alias("rejected_mask"))
+    return pairs.unionByName(none)
 
 
 def spans_text(spans: Column) -> Column:

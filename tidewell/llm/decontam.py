@@ -93,14 +93,19 @@ def scanners(items: list[tuple[object, str]], window: int) -> list[Scanner]:
 
 
 _built: dict[str, list[Scanner]] = {}
+#: Tables of so many blocks are kept by a worker.
+_KEPT = 4
+#: Bytes of text that are scanned together where there are more blocks, so that tables are built once for all of them.
+_TOGETHER = 32 << 20
 
 
 def _scanners_of(name: str, block, window: int) -> list[Scanner]:
-    """Tables of a broadcast block of items, built once per worker; four blocks are kept."""
+    """Tables of a broadcast block of items, built once while they are kept; the items themselves are let go again."""
     if name not in _built:
-        while len(_built) >= 4:
+        while len(_built) >= _KEPT:
             _built.pop(next(iter(_built)))
         _built[name] = scanners(block.value, window)
+        block.__dict__.pop("_value", None)  # read from its file again if wanted
     return _built[name]
 
 
@@ -130,8 +135,9 @@ def contamination(
 
     The benchmark is the stated query set: it is streamed to the driver in blocks of at most
     `block_bytes` characters (or one longer item), each block is broadcast, and every document
-    meets every block, so any size of benchmark gives whole results within bounded memory.
-    Documents are scanned in place; nothing is shuffled.
+    meets every block.  A worker keeps the tables of four blocks; with more, it scans 32 MB of text
+    against one block after another, so any size of benchmark gives whole results within
+    bounded memory.  Documents are scanned in place; nothing is shuffled.
 
     Null and wordless texts have no words and no hits.  Items without an id or words take no
     part; rows that repeat an item id count as one item.  Rows of `docs` are kept as they are,
@@ -142,20 +148,24 @@ def contamination(
     listed = own_names(benchmark, item=item_id_col, text=item_text_col).where("item is not null and text is not null")
     blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _item_blocks(listed, block_bytes)]
 
-    def scan(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, set[str], list[dict]]]:
-        w = words(data, offsets, MARKS)
-        data = LOWER[data]
-        edge = np.zeros(len(w.hashes) + 1, np.int64)
-        items: dict[int, set[str]] = defaultdict(set)
+    def scan(texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[Iterator[tuple[int, int, set[str], list[dict]]]]:
+        """For each piece of text its rows' words, hits, items and spans; the blocks take turns over all pieces."""
+        parts = [(words(d, o, MARKS), LOWER[d]) for d, o in texts]
+        edges = [np.zeros(len(w.hashes) + 1, np.int64) for w, _ in parts]
+        items: list[dict[int, set[str]]] = [defaultdict(set) for _ in parts]
         for name, block in blocks:
             for s in _scanners_of(name, block, window):
-                for at, k in s.search(w, data):
-                    row = int(np.searchsorted(w.rows, at, "right")) - 1
-                    if at + s.length <= w.rows[row + 1]:  # windows don't reach into the next row
-                        edge[at] += 1
-                        edge[at + s.length] -= 1
-                        items[row] |= s.items[k]
-        hit = np.cumsum(edge)[:-1] > 0
+                for (w, data), edge, own in zip(parts, edges, items, strict=True):
+                    for at, k in s.search(w, data):
+                        row = int(np.searchsorted(w.rows, at, "right")) - 1
+                        if at + s.length <= w.rows[row + 1]:  # windows don't reach into the next row
+                            edge[at] += 1
+                            edge[at + s.length] -= 1
+                            own[row] |= s.items[k]
+        for (w, _), edge, own in zip(parts, edges, items, strict=True):
+            yield found(w, np.cumsum(edge)[:-1] > 0, own)
+
+    def found(w: Words, hit: np.ndarray, items: dict[int, set[str]]) -> Iterator[tuple[int, int, set[str], list[dict]]]:
         before = np.concatenate([[0], np.cumsum(hit)])
         for row, (lo, hi) in enumerate(zip(w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True)):
             spans = []
@@ -164,16 +174,29 @@ def contamination(
                 spans = [{"from": a, "to": b} for a, b in turn.reshape(-1, 2).tolist()]
             yield hi - lo, int(before[hi] - before[lo]), items.get(row, set()), spans
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, np.ndarray, np.ndarray]]]:
+        """Pieces (ids, bytes, offsets) that are scanned together."""
+        held, size = [], 0
         for batch in batches:
             data, offsets = strings(batch.column(1))
             for lo, hi in pieces(offsets):
-                got = list(scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                held.append((batch.column(0).slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                size += int(offsets[hi] - offsets[lo])
+                if len(blocks) <= _KEPT or size >= _TOGETHER:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in together(batches):
+            for (ids, *_), rows in zip(held, scan([x[1:] for x in held]), strict=True):
+                got = list(rows)
                 n, hits = [g[0] for g in got], [g[1] for g in got]
                 items = [sorted(g[2]) for g in got]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
+                        ids, pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
                         pa.array(items, pa.list_(pa.string())), pa.array([g[3] for g in got], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
                         pa.array([h > 0 and 100 * h >= percent * k for h, k in zip(hits, n, strict=True)], pa.bool_()),
                     ],

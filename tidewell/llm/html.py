@@ -37,6 +37,7 @@ _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*>", re.S)
 _PLAIN = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>""")
 _FULL = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+_LANG = re.compile(r"""<html(?:\s[^>]*)?\slang\s*=\s*["']?([A-Za-z-]+)""", re.I)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 #: Times the page's length that may be spent on quoted values with a < in them whose tag then proves to be broken.
 _PATIENCE = 16
@@ -352,11 +353,12 @@ def templates(pages: DataFrame, share: float = 0.9, least: int = 3) -> DataFrame
 
 
 def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str, broadcast_bytes: int = 16 << 20, **how) -> DataFrame:
-    """(id, url, text, n_chars, n_template, slotted) of every row: the article's text from the whole html.
+    """(id, url, text, n_chars, n_template, slotted, declared) of every row: the article's text from the whole html.
 
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined in page order by one space; nothing is capped.  `slotted` tells that the text is the
-    main slot of the host's template, else it comes from elements and their names.  Templates are broadcast if they
+    main slot of the host's template, else it comes from elements and their names; `declared` is the
+    language that the html element names, or null.  Templates are broadcast if they
     measure at most `broadcast_bytes`, else pages meet theirs in a shuffled join, whose skewed
     hosts the adaptive execution splits.
 
@@ -375,9 +377,9 @@ def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str, broadc
             got = [page_text(html or "", set(template or ()), main) for html, template, main in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             texts = [x[0] for x in got]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.bool_())],
-                ["id", "url", "text", "n_chars", "n_template", "slotted"],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.bool_()), pa.array([m[1] if (m := _LANG.search(html or "")) else None for html in batch.column(2).to_pylist()], pa.string())],
+                ["id", "url", "text", "n_chars", "n_template", "slotted", "declared"],
             )
 
     kind = given.schema["id"].dataType.simpleString()
-    return map_arrow(joined, run, f"id {kind}, url string, text string, n_chars long, n_template long, slotted boolean")
+    return map_arrow(joined, run, f"id {kind}, url string, text string, n_chars long, n_template long, slotted boolean, declared string")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, own_names, table
@@ -44,20 +44,36 @@ class Model:
     table: np.ndarray  #: log-likelihoods, a row for each language
 
 
-def fit(rows: DataFrame, text_col: str, label_col: str, per_language: int = 400, most: int = 64, sample_chars: int = 50_000) -> Model:
-    """A naive Bayes trigram model from at most `per_language` labelled whole texts (none over `sample_chars` characters) of each of the `most` commonest labels.
+def fit(rows: DataFrame, text_col: str, label_col: str, per_language: int = 400, sample_chars: int = 50_000, long_texts: int = 4) -> Model:
+    """A naive Bayes trigram model of every label from at most `per_language` of its whole texts of up to `sample_chars` characters.
 
-    The labels' counts cover all rows; the sample bounds only the classifier.  Null texts and labels are left out.
+    A label all of whose texts are longer is learned from up to `long_texts` of those.  The sample is drawn by a hash of the
+    text in one pass: labels are counted over all rows, about twice the wanted rows of each are let through, and the first of
+    those in hash order are taken.  It bounds only the classifier.  Trigrams are counted where the texts are; their
+    sums, at most 65,536 a label, reach the driver.  Null texts and labels are left out.
     """
-    given = own_names(rows, text=text_col, label=label_col).where("text is not null and label is not null")
-    labels = [r.label for r in given.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()]
+    given = own_names(rows, text=text_col, label=label_col).where("text is not null and label is not null").withColumn("long", F.length("text") > sample_chars)
+    counts = given.groupBy("label").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n"))
+    wanted = F.when(F.col("short") > 0, F.lit(per_language)).otherwise(long_texts)
+    share = F.least(F.lit(1.0), 2 * wanted / F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n")))
+    draw = table(counts.select("label", (F.col("short") > 0).alias("any_short"), wanted.alias("wanted"), share.alias("share")), "labels")
+    sampled = given.join(draw, "label").where("long <> any_short").withColumn("place", F.xxhash64("text"))
+    sampled = sampled.where(F.shiftrightunsigned("place", 33) <= F.col("share") * float(1 << 31))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
+    sampled = sampled.withColumn("rank", rank).where("rank <= wanted").select("label", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                code, n = np.unique(trigrams(*strings(pa.array([text.as_py()], pa.string())))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], ["label", "code", "n"])
+
+    sums = map_arrow(sampled, count, "label string, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas()
     found = {}
-    for label in sorted(labels):
-        texts = [r.text for r in given.where((F.col("label") == label) & (F.length("text") <= sample_chars)).select("text").head(per_language)]
-        grams, _ = trigrams(*strings(pa.array(texts, pa.string())))
-        if len(grams):
-            counts = np.bincount(grams, minlength=1 << BITS) + 0.05
-            found[label] = np.log(counts / counts.sum())
+    for label, own in sums.groupby("label", sort=True):
+        held = np.full(1 << BITS, 0.05)
+        held[own["code"].to_numpy()] += own["n"].to_numpy()
+        found[label] = np.log(held / held.sum())
     return Model(tuple(found), np.stack(list(found.values())).astype(np.float32) if found else np.zeros((0, 1 << BITS), np.float32))
 
 

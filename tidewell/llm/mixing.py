@@ -114,13 +114,14 @@ def route(patterns: dict[Pattern, int], quota: dict[str | None, float], copies:
     return {key: sum(net.room[e ^ 1] for e in arcs[i]) for i, key in enumerate(keys)}
 
 
-def mix(docs: DataFrame, id_col: str, size: Column, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 7, bin_rows: int = 1000, max_patterns: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str, size: Column, sources: Column, key: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 7, bin_rows: int = 1000, max_patterns: int = 100_000) -> DataFrame:
     """(id, size, pattern, source_size, target, taken, copies) of every row of `docs`.
 
     `sources` is the array of sources that a row belongs to (duplicates and order are
     immaterial; an empty or null array belongs to none and is not taken).  Rows are summed by
-    membership pattern; only these sums reach the driver, at most `max_patterns` of them
-    (more raise ValueError).  There the flow routes words to the targets.  Then every document
+    membership pattern; only these sums reach the driver.  Of more than `max_patterns`, the
+    largest enter the flow as they are, and each rarer one with one of its sources, picked by its hash: the flow
+    stays a valid one, though of a slightly higher cost.  There the flow routes words to the targets.  Then every document
     of a pattern gets the whole copies that fit, and documents in a seeded hash order one copy
     more: bins of about `bin_rows` documents are summed and accumulated, whole bins are taken,
     and only in the bin where the sum is reached documents are fitted one by one.  So no step
@@ -128,24 +129,31 @@ def mix(docs: DataFrame, id_col: str, size: Column, sources: Column, weights: Se
 
     Documents are taken whole.  `source_size` and `target` are summed over the row's sources.
     Sizes that are null count as 0, and rows of size 0 are never taken.  Rows that repeat an id
-    are separate rows in one place of the order.  An empty table gives no rows.
+    are separate rows in one place of the order, unless `key`, a hash of what tells rows apart (the id by
+    default), differs: so null ids need not share one place.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"),
-        F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("pattern"),
+        F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("belongs"), (F.col(f"`{id_col}`") if key is None else key).alias("key"),
     )
     # 31 bits of the order, for even bins, then the whole hash
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("place", F.shiftrightunsigned("h", 33))
-    rows = table(rows, "mix")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("place", F.shiftrightunsigned("h", 33))
+    rows = table(rows.drop("key"), "mix")
+    members = table(rows.groupBy("belongs").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "patterns")
+    one = F.when(F.size("belongs") > 0, F.array(F.get("belongs", F.pmod(F.xxhash64("belongs"), F.size("belongs")).cast("int")))).otherwise(F.col("belongs"))
+    if members.count() > max_patterns:
+        largest = table(members.orderBy(F.desc("size"), "belongs").limit(max_patterns).select("belongs", F.col("belongs").alias("pattern")), "largest")
+        routed = members.join(largest, "belongs", "left").withColumn("pattern", F.coalesce("pattern", one))
+        rows = rows.join(F.broadcast(largest), "belongs", "left").withColumn("pattern", F.coalesce("pattern", one)).drop("belongs")
+    else:
+        routed = members.withColumn("pattern", F.col("belongs"))
+        rows = rows.withColumnRenamed("belongs", "pattern")
+    found = routed.groupBy("pattern").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
     sums = {tuple(r["pattern"]): int(r["size"]) for r in found}
-    sizes: dict[str | None, int] = {}
-    for key, n in sums.items():
-        for s in key:
-            sizes[s] = sizes.get(s, 0) + n
+    # a source's size counts all its rows, by whatever pattern they enter the flow
+    of_source = members.select(F.explode("belongs").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    sizes: dict[str | None, int] = {r["source"]: int(r["size"]) for r in of_source.collect()}
     quota = targets(sizes, weights, share, copies)
     flow = route(sums, quota, copies)
     plan = []
@@ -180,4 +188,4 @@ def mix(docs: DataFrame, id_col: str, size: Column, sources: Column, weights: Se
 def mix_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, **how) -> DataFrame:
     """`mix` for documents of one source each, sized by their words."""
     given = own_names(docs, id=id_col, text=text_col, source=source_col)
-    return mix(given, "id", count_words(F.col("text")), F.array(F.col("source").cast("string")), **how)
+    return mix(given, "id", count_words(F.col("text")), F.array(F.col("source").cast("string")), key=F.xxhash64("id", "text"), **how)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -102,22 +103,34 @@ def base_counts(docs: DataFrame) -> DataFrame:
     }).select(*docs.columns, "w.*", "l.*", "word_chars", "n_symbols")
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+#: Times that a sample is gone through to measure costs, so that they stand out from what a job costs by itself.
+REPEATS = 24
+
+
 def order_rules(sample: DataFrame, given: Sequence[Rule]) -> list[Rule]:
-    """The rules by rejections per second on `sample`, which has the base counts."""
+    """The rules by rejections per second on `sample`, a written table that has the base counts; by name if there is no sample.
+
+    Each rule runs over REPEATS copies of the sample, three times.  Its cost is the median beyond that of no rule, rounded to
+    powers of two, at least an eighth of the dearest rule's: below that, times tell noise.
+    """
     n = max(1, sample.count())
+    sample = sample.crossJoin(F.broadcast(sample.sparkSession.range(REPEATS).withColumnRenamed("id", "copy")))
 
     def seconds(condition: Column) -> tuple[float, int]:
         began = time.perf_counter()
         hits = sample.agg(F.count_if(condition)).first()[0]
         return time.perf_counter() - began, hits
 
-    empty = min(seconds(F.lit(False))[0] for _ in range(2))
-    scored = []
-    for rule in given:
-        runs = [seconds(F.coalesce(rule.rejects, F.lit(False))) for _ in range(2)]
-        cost = max(min(r[0] for r in runs) - empty, 1e-4) / n
-        scored.append((-(runs[0][1] / n + 1e-6) / cost, rule.name, rule))
-    return [rule for *_, rule in sorted(scored, key=lambda x: x[:2])]
+    measured = lambda condition: sorted(seconds(condition) for _ in range(3))[1]
+    empty = min(measured(F.lit(False))[0], measured(F.lit(False))[0])
+    runs = [(rule, *measured(F.coalesce(rule.rejects, F.lit(False)))) for rule in given]
+    dearest = max((t - empty for _, t, _ in runs), default=0)
+    cost = lambda t: 2.0 ** round(math.log2(max(t - empty, dearest / 8, 1e-3)))
+    return [rule for rule, *_ in sorted(runs, key=lambda x: (-(x[2] / REPEATS / n + 1e-6) / cost(x[1]), x[0].name))]
 
 
 def quality(docs: DataFrame, id_col: str, text_col: str, given: Sequence[Rule] | None = None, sample_rows: int = 256, sample_chars: int = 20_000) -> DataFrame:
@@ -139,9 +152,10 @@ def quality(docs: DataFrame, id_col: str, text_col: str, given: Sequence[Rule] |
     texts = [r.text for r in mine.where(F.length("text") <= sample_chars).select("text").head(sample_rows)]
     chosen = list(given or rules())
     if texts:
-        sample = spark.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("text"))
-        chosen = order_rules(table(base_counts(sample), "sample"), chosen)
-    base = base_counts(mine).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+        # the cascade sees only texts that pass the base, so costs and rejections are those of such texts
+        sample = base_counts(spark.createDataFrame([(t,) for t in texts], "text string")).where(~_base_failed())
+        chosen = order_rules(table(sample, "sample"), chosen)
+    base = base_counts(mine).withColumn("base_failed", _base_failed())
     verdict = functools.reduce(lambda case, rule: case.when(rule.rejects, F.lit(rule.name)), chosen, F.when(F.col("base_failed"), F.lit("base")))
     counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     return base.select("id", *counts, "base_failed", verdict.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())

@@ -23,13 +23,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages: text of the article, language of the markup, host and suffix of the address."""
+    """Pages: text of the article, language of the markup, host and suffix of the address.
+
+    Every page gives a row, also those with a null or repeated id; one without html has no text and is not kept.
+    """
     pages = html.main_text(_read(spark, sf_dir, "pages"), "page_id", "url", "html")
-    tag = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    declared = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.nullif(tag, F.lit("")).alias("declared"))
     model = language.fit(_read(spark, sf_dir, "documents"), "text", "lang")
     host = F.lower(F.regexp_extract("url", r"^(?:.*?://)?(?:[^/?#]*@)?([^/?#:@]*)", 1))
-    found = language.identify(pages.join(declared, "id"), model, "id", "text", F.col("declared"), host, F.regexp_extract(host, r"([^.]*)$", 1))
+    found = language.identify(pages, model, "id", "text", F.col("declared"), host, F.regexp_extract(host, r"([^.]*)$", 1))
     return found.withColumnRenamed("id", "page_id")
 
 
@@ -147,15 +148,26 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
     "op7_preference_pairs": r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-), o AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, lag(text) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), e AS (SELECT *, coalesce(before, '') AS echo FROM o WHERE k = n AND role = 'assistant' AND text <> coalesce(before, '')
-), p AS (
-  SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) AS prompt FROM o WHERE k < n GROUP BY conv_id
+), o AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id
+), a AS (SELECT *, list_filter(range(1, len(ts) + 1), lambda i: ts[i].r = 'assistant') AS answers FROM o
+), e AS (SELECT *, ts[1 : answers[-1]] AS chosen, answers[1 + ((coalesce(conv_id, 0) % len(answers)) + len(answers)) % len(answers)] AS k FROM a WHERE len(answers) > 0
+), f AS (SELECT ts[1] AS opening, min(conv_id) AS lead FROM o GROUP BY 1 HAVING count(*) > 1
+), given AS (
+  SELECT conv_id, 'echo' AS kind, NULL AS other, chosen,
+    list_transform(chosen, lambda s, i: CASE WHEN i = k THEN struct_pack(r := 'assistant', x := CASE WHEN i > 1 THEN chosen[i - 1].x ELSE '' END) ELSE s END) AS rejected FROM e
+  UNION ALL SELECT o.conv_id, 'sibling', lead, p.ts, o.ts FROM o JOIN f ON o.ts[1] = f.opening JOIN o p ON p.conv_id = f.lead WHERE o.conv_id IS DISTINCT FROM lead
+), n AS (
+  SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i] = rejected[i]), false), 0) - 1, least(len(chosen), len(rejected))) AS c FROM given
+), pairs AS (SELECT conv_id, kind, other, c, chosen[1 : c] AS p, chosen[c + 1 :] AS a, rejected[c + 1 :] AS b FROM n WHERE c < greatest(len(chosen), len(rejected))
+), every AS (
+  SELECT * FROM pairs UNION ALL SELECT conv_id, 'none', NULL, len(ts), ts, ts[1 : 0], ts[1 : 0] FROM o WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE kind = 'echo' AND pairs.conv_id IS NOT DISTINCT FROM o.conv_id)
 )
-SELECT e.conv_id, CAST(n - 1 AS INTEGER) AS n_common, coalesce(p.prompt, '') AS prompt,
-  '<|assistant|>' || chr(10) || text || '<|end|>' || chr(10) AS chosen_text, '14-' || CAST(14 + length(text) + 8 AS VARCHAR) AS chosen_mask,
-  '<|assistant|>' || chr(10) || echo || '<|end|>' || chr(10) AS rejected_text, '14-' || CAST(14 + length(echo) + 8 AS VARCHAR) AS rejected_mask
-FROM e LEFT JOIN p USING (conv_id)
+SELECT conv_id, kind, CAST(other AS BIGINT) AS other, CAST(c AS INTEGER) AS n_common, """ + ", ".join(
+        f"coalesce(array_to_string(list_transform({x}, lambda s: '<|' || s.r || '|>' || chr(10) || s.x || '<|end|>' || chr(10)), ''), '') AS {name}" for x, name in (("p", "prompt"), ("a", "chosen_text"), ("b", "rejected_text"))
+    ) + ", " + ", ".join(
+        f"coalesce(array_to_string(list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN {x}[i].r = 'assistant' THEN CAST(5 + length({x}[i].r) + coalesce(list_sum(list_transform({x}[1 : i - 1], lambda s: 13 + length(s.r) + length(s.x))), 0) AS BIGINT) || '-' || CAST(13 + length({x}[i].r) + length({x}[i].x) + coalesce(list_sum(list_transform({x}[1 : i - 1], lambda s: 13 + length(s.r) + length(s.x))), 0) AS BIGINT) END), lambda s: s IS NOT NULL), ','), '') AS {name}"
+        for x, name in (("a", "chosen_mask"), ("b", "rejected_mask"))
+    ) + """ FROM every
 """,
     "op8_hyperminhash": r"""
 WITH RECURSIVE w AS (
