@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MANY, drop_table, packed
+from .common import MANY, drop_table, joinable, packed
 from .common import table as _table
 
 
@@ -33,6 +33,8 @@ def _star(edges: DataFrame) -> DataFrame:
 
 #: Edge sets up to this many rows (a few MB) are settled in one task, larger ones by shuffles.
 FEW = 200_000
+#: Components of up to this many items (two numbers each) are broadcast to joins.
+KNOWN = 1 << 19
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def linked(
     sets: Callable[[DataFrame], DataFrame],
     percent: int,
     small: int = 32,
-    levels: int = 8,
+    levels: int = 3,
     gather: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """(id, component) of all ids that some verified link touches; a component is named by its least id.
@@ -92,7 +94,7 @@ def linked(
        most promising one before the rest.
     4. Larger ones are refined (see `_refine`) to finer keys, on which this starts again with
        those that are mixed.  Every level adds what a key's items share to their consensus,
-       so keys shrink; pairs of what is large even after `levels` levels are all checked.
+       so keys shrink; pairs across components of what is large even after `levels` levels are all checked.
 
     So every candidate pair ends inside one component or has been checked.  Ids and keys are
     not null; repeated rows of `bands` count once; no rows give no rows.
@@ -234,14 +236,14 @@ def _degrees(links: list[DataFrame]) -> DataFrame:
 
 def _mixed(members: DataFrame, found: DataFrame, hold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Rows of `members`, with their component, under keys that hold several components."""
-    own = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = members.join(joinable(found, KNOWN), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return hold(own.join(mixed, "key"), "rest")
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) that do not lie in one component yet."""
-    side = lambda s: found.select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
+    side = lambda s: joinable(found, KNOWN).select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
     joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     return joined.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "hits")
 
@@ -250,14 +252,14 @@ def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links (a, b): only the components that they join meet again."""
     if found is None:
         return components(links)
-    root = lambda s: found.select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
+    root = lambda s: joinable(found, KNOWN).select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
     ends = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
     ends = _table(ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct(), "joined")
     if ends.isEmpty():
         drop_table(ends)
         return found
     roots = components(ends)
-    moved = found.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    moved = found.join(joinable(roots, KNOWN).select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
     fresh = roots.join(found, "id", "left_anti")
     after = _table(moved.select("id", F.coalesce("root", "component").alias("component")).unionByName(fresh), "components")
     drop_table(ends, roots, found)
