@@ -52,7 +52,7 @@ def test_unknown_names_and_versions(spark, tmp_path):
         with pytest.raises(StateError):
             call()
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "version").write_text("999")
+    (tmp_path / "t" / "version.000000000009").write_text("999")
     with pytest.raises(StateError):
         Store(spark, f"file://{tmp_path}/t")
 
@@ -68,3 +68,51 @@ def test_policies(spark, tmp_path):
     (tmp_path / "r2" / "b.wav").write_bytes(b"x")
     engine.add_folder("look", str(tmp_path / "r2"), "scan-only", DAY)
     assert [r.delta for r in engine.scan("look", DAY).collect()] == ["added"] and engine.queue().count() == 0
+
+
+def test_a_crash_while_publishing_leaves_the_old_state(spark, tmp_path):
+    from tidewell import schemas
+    from tidewell.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/crash")
+    kind = schemas.flat("id string")
+    store.swap("t", spark.createDataFrame([("old",)], kind))
+
+    class Broken:
+        """A file system whose rename never happens."""
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise OSError("crash")
+            return getattr(real, name)
+
+    real, store._fs = store._fs, Broken()
+    with pytest.raises(OSError):
+        store.swap("t", spark.createDataFrame([("new",)], kind))
+    store._fs = real
+    assert [r.id for r in store.snapshot("t", kind).collect()] == ["old"]
+    store.swap("t", spark.createDataFrame([("new",)], kind))
+    assert [r.id for r in Store(spark, f"file://{tmp_path}/crash").snapshot("t", kind).collect()] == ["new"]
+
+
+def test_a_crash_between_queue_and_snapshot_loses_nothing(spark, tmp_path):
+    """The queue is written first; scanning again finds the same change and queues it once."""
+    media = tmp_path / "media"
+    media.mkdir()
+    (media / "talk.mp3").write_bytes(b"sound")
+    engine = Engine(spark, f"file://{tmp_path}/state")
+    engine.add_folder("talks", str(media), "review", DAY)
+    swap = engine.store.swap
+
+    def failing(name, rows):
+        if name == "items":
+            raise OSError("crash")
+        swap(name, rows)
+
+    engine.store.swap = failing
+    with pytest.raises(OSError):
+        engine.scan("talks", DAY)
+    engine.store.swap = swap
+    assert engine.queue().count() == 1 and engine.items().count() == 0
+    assert [r.delta for r in engine.scan("talks", DAY).collect()] == ["added"]
+    assert engine.queue().count() == 1 and engine.items().count() == 1

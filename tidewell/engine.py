@@ -66,14 +66,17 @@ class Engine:
         current = folder.items(folder.read(self.spark, mine.root_path, **rules), mine.id)
         before = self.items()
         previous = before.where(F.col("source_id") == mine.id)
-        delta = snapshot.diff(previous, current, ["id"], ["sha256", "size_bytes"])
-        delta = self.spark.createDataFrame(delta.collect(), "id string, delta string")  # of one source, before the snapshot moves
-        merged = snapshot.merge(previous, current, ["id"], F.lit(now).cast("timestamp")).select(*schemas.ITEMS.names)
-        self.store.swap("items", before.where(F.col("source_id") != mine.id).unionByName(merged))
+        # what is found and what differs are written before anything moves; a crash leaves the old snapshot, and scanning again queues nothing twice
+        self.store.swap(f"found-{mine.id}", current)
+        current = self.store.snapshot(f"found-{mine.id}", current.schema)
+        self.store.swap(f"delta-{mine.id}", snapshot.diff(previous, current, ["id"], ["sha256", "size_bytes"]).select("id", "delta"))
+        delta = self.store.snapshot(f"delta-{mine.id}", schemas.flat("id string, delta string"))
         sources = self.spark.createDataFrame([(mine.id, mine.policy)], "source_id string, policy string")
-        changed = delta.join(self.items().select("id", "source_id", F.col("sha256").alias("content_sha256")), "id")
+        changed = delta.join(current.select("id", "source_id", F.col("sha256").alias("content_sha256")), "id")
         fresh = queue.gate(changed, sources).select(keys.queue_id("id", "content_sha256").alias("id"), "source_id", F.col("id").alias("source_item_id"), "content_sha256", "policy")
         self._record(queue.enqueue_once(fresh, self.queue(), "id"), "enqueue", now)
+        merged = snapshot.merge(previous, current, ["id"], F.lit(now).cast("timestamp")).select(*schemas.ITEMS.names)
+        self.store.swap("items", before.where(F.col("source_id") != mine.id).unionByName(merged))
         return delta
 
     # queue
