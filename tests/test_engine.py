@@ -116,3 +116,79 @@ def test_a_crash_between_queue_and_snapshot_loses_nothing(spark, tmp_path):
     assert engine.queue().count() == 1 and engine.items().count() == 0
     assert [r.delta for r in engine.scan("talks", DAY).collect()] == ["added"]
     assert engine.queue().count() == 1 and engine.items().count() == 1
+
+
+def test_one_file_from_request_to_library(spark, tmp_path):
+    media = tmp_path / "talk.wav"
+    media.write_bytes(b"sound")
+    (tmp_path / "talk.transcript.txt").write_text("Hello. There.")
+    engine = Engine(spark, f"file://{tmp_path}/state")
+    first = engine.ingest_file(str(media), DAY, sidecars(spark, tmp_path)).first()
+    assert first.outcome == "completed" and engine.sources().first().kind == "one-shot"
+    again = engine.ingest_file(str(media), DAY + timedelta(1), sidecars(spark, tmp_path)).first()
+    assert (again.id, again.bundle_id) == (first.id, first.bundle_id)
+    source = engine.sources().first()
+    assert engine.sources().count() == 1 and source.created_at == DAY and source.updated_at == DAY + timedelta(1)
+    assert engine.queue().count() == 1 and engine.items().count() == 1 and engine.library().count() == 1
+    shown = engine.show(first.bundle_id).first()
+    assert shown.manifest.stages["transcribe"].outputs[0].path == "transcript.txt" and shown.manifest.stages["visual"].state == "pending"
+    assert {r.status for r in engine.verify().collect()} == {"ok"} and engine.verify().count() == 2
+    media.write_bytes(b"other sound")
+    later = engine.ingest_file(str(media), DAY + timedelta(2), sidecars(spark, tmp_path)).first()
+    assert later.id != first.id and engine.library().count() == 2
+    for call in (lambda: engine.add_file(str(tmp_path / "none.wav"), DAY), lambda: engine.show("none")):
+        with pytest.raises(StateError):
+            call()
+
+
+def test_content_that_changes_during_ingest_fails(spark, tmp_path):
+    media = tmp_path / "talk.wav"
+    media.write_bytes(b"sound")
+    (tmp_path / "talk.transcript.txt").write_text("Hello.")
+    engine = Engine(spark, f"file://{tmp_path}/state")
+    swap = engine.store.swap
+
+    def changing(name, rows):
+        swap(name, rows)
+        if name == "planned":
+            media.write_bytes(b"new sound")
+
+    engine.store.swap = changing
+    assert engine.ingest_file(str(media), DAY, sidecars(spark, tmp_path)).first().outcome == "failed"
+    assert engine.queue().first().last_error == "content changed during ingest" and engine.library().count() == 0
+
+
+def test_a_bundle_written_but_not_indexed_is_taken_up_by_its_owner_alone(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "talk.wav").write_bytes(b"sound")
+        (tmp_path / name / "talk.transcript.txt").write_text("Hello.")
+    engine = Engine(spark, f"file://{tmp_path}/state")
+    append = engine.store.append
+
+    def failing(name, rows):
+        if name == "library":
+            raise OSError("crash")
+        append(name, rows)
+
+    engine.store.append = failing
+    with pytest.raises(OSError):
+        engine.ingest_file(str(tmp_path / "a" / "talk.wav"), DAY, sidecars(spark, tmp_path / "a"))
+    engine.store.append = append
+    assert engine.library().count() == 0 and engine.manifests().count() == 1
+    assert engine.ingest_file(str(tmp_path / "b" / "talk.wav"), DAY, sidecars(spark, tmp_path / "b")).first().outcome == "failed"
+    assert engine.ingest_file(str(tmp_path / "a" / "talk.wav"), DAY, sidecars(spark, tmp_path / "a")).first().outcome == "refreshed"
+    assert engine.library().count() == 1 and engine.queue("completed").count() == 1
+
+
+def test_payloads_of_a_transcriber(spark, tmp_path):
+    media = tmp_path / "talk.wav"
+    media.write_bytes(b"sound")
+    engine = Engine(spark, f"file://{tmp_path}/state")
+    sides = spark.createDataFrame([], "relative_path string, content binary")
+    payload = lambda text: spark.createDataFrame([("talk.wav", text)], "relative_path string, payload string")
+    assert engine.ingest_file(str(media), DAY, sides, payload('{"segments": []}')).first().outcome == "failed"
+    assert engine.queue().first().last_error == "transcript no_segments"
+    good = '{"segments": [{"start_s": 0, "end_s": 1.5, "text": "Hello."}]}'
+    assert engine.ingest_file(str(media), DAY + timedelta(1), sides, payload(good)).first().outcome == "completed"
+    assert engine.queue().first().attempts == 1 and engine.queue().first().last_error is None

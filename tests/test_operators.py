@@ -180,3 +180,20 @@ def test_payload_nodes(spark):
     text = json.dumps({"data": {"nodes": [{"author": {"login": "a"}, "state": "X"}, {"author": None, "state": "Y"}]}})
     found = scan.nodes(spark.createDataFrame([(text,)], ["p"]), "p", "$.data.nodes", "struct<author:struct<login:string>,state:string>")
     assert rows(found, "state") == [("a", "X"), ("", "Y")]
+
+
+def test_json_schema_of_manifests():
+    from tidewell import schemas
+
+    found = schemas.json_schema(schemas.MANIFEST)
+    stage = found["properties"]["stages"]["anyOf"][0]["additionalProperties"]
+    assert stage["properties"]["outputs"]["anyOf"][0]["items"]["properties"]["bytes"]["anyOf"][0] == {"type": "integer"}
+    assert found["properties"]["created"]["anyOf"][0] == {"type": "string", "format": "date-time"}
+
+
+def test_prefix_of_any_part_of_a_path(spark):
+    from tidewell.operators import scan
+
+    rows = spark.createDataFrame([("a/Lecture-1/x.txt",), ("a/my-lecture/x.txt",), ("LECTURE.txt",), (None,)], "p string")
+    found = rows.select(scan.path_status(F.col("p"), part_prefixes=["lecture"]).alias("s")).collect()
+    assert [r.s for r in found] == ["part", None, "part", None]

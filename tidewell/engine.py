@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import functools
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 from .functions import keys
 from .functions import text as tx
-from .operators import library, queue, segments, snapshot
+from .operators import documents, library, queue, segments, snapshot
 from .sources import folder
 from .store import StateError, Store
 
 EVENTS = schemas.flat("id string, source_id string, source_item_id string, content_sha256 string, policy string, event string, error string, bundle_id string, seq bigint, at timestamp")
+BUNDLED = schemas.flat("bundle_id string, path string, content string, seq bigint, at timestamp")
+INDEXED = T.StructType([*schemas.LIBRARY.fields, *schemas.flat("seq bigint").fields])
+MANIFESTS = T.StructType([*schemas.MANIFEST.fields, *schemas.flat("owner string, seq bigint").fields])
 _FACTS = ("source_id", "source_item_id", "content_sha256", "policy")
+_LISTED = schemas.flat("id string, source_id string, relative_path string, absolute_path string, sha256 string, size_bytes bigint, mtime_ns bigint")
 
 
 class Engine:
@@ -45,15 +51,44 @@ class Engine:
             self.store.swap("sources", old.unionByName(row))
         return row.first().id
 
+    def add_file(self, path: str, now) -> str:
+        """The queue entry of a single file, approved by the request itself.
+
+        The file becomes a source of kind `one-shot` with one item; adding it again moves only
+        their times.  A completed entry stays so, any other of the same content is approved once
+        more, and changed content makes a new entry.  Every write can be repeated after a crash.
+        """
+        if not Path(path).is_file():
+            raise StateError(f"no file {path!r}")
+        path, at = str(Path(path).resolve()), F.lit(now).cast("timestamp")
+        name = F.concat(F.lit(f"one-shot:{Path(path).name}:"), F.right("id", F.lit(8)))
+        kind = F.lit("one-shot")
+        row = self.spark.range(1).select(keys.source_id(kind, F.lit(path)).alias("id")).select("id", kind.alias("kind"), name.alias("name"), F.lit(path).alias("root_path"), F.lit("review").alias("policy"), at.alias("created_at"), at.alias("updated_at"))
+        source = row.first().id
+        old = self.store.snapshot("sources", schemas.SOURCES)
+        since = old.where(F.col("id") == source).agg(F.min("created_at").alias("since"))
+        row = row.crossJoin(since).withColumn("created_at", F.coalesce("since", "created_at")).drop("since")  # one row each
+        self.store.swap("sources", old.where(F.col("id") != source).unionByName(row))
+        self.store.swap(f"found-{source}", folder.items(folder.read(self.spark, path), source))
+        current = self.store.snapshot(f"found-{source}", _LISTED)
+        before = self.items()
+        merged = snapshot.merge(before.where(F.col("source_id") == source), current, ["id"], at).select(*schemas.ITEMS.names)
+        entry = current.select(keys.queue_id("id", "sha256").alias("id"), "source_id", F.col("id").alias("source_item_id"), F.col("sha256").alias("content_sha256"), F.lit("review").alias("policy"))
+        self._record(queue.enqueue_once(entry, self.queue(), "id"), "enqueue", now)
+        self._record(entry.join(self.queue("completed"), "id", "left_anti").select("id"), "approve", now)
+        self.store.swap("items", before.where(F.col("source_id") != source).unionByName(merged))
+        return entry.first().id
+
     # scans
 
     def items(self) -> DataFrame:
         return self.store.snapshot("items", schemas.ITEMS)
 
     def _found(self) -> DataFrame:
-        """What all folders hold at this moment."""
-        listed = [folder.items(folder.read(self.spark, s.root_path), s.id) for s in self.sources().where("kind = 'local-folder'").collect()]
-        empty = self.spark.createDataFrame([], schemas.ITEMS).select("id", "source_id", "relative_path", "absolute_path", "sha256", "size_bytes", "mtime_ns")
+        """What the sources of approved entries hold at this moment."""
+        wanted = self.queue("approved").select(F.col("source_id").alias("id"))
+        listed = [folder.items(folder.read(self.spark, s.root_path), s.id) for s in self.sources().join(wanted, "id", "left_semi").collect()]
+        empty = self.spark.createDataFrame([], _LISTED)
         return functools.reduce(DataFrame.unionByName, listed, empty).withColumn("present", F.lit(True))
 
     def scan(self, source: str, now, **rules) -> DataFrame:
@@ -84,11 +119,16 @@ class Engine:
     def _events(self) -> DataFrame:
         return self.store.events("events", EVENTS)
 
-    def _record(self, entries: DataFrame, event: str, now, error=None, bundle=None) -> None:
-        seq = (self._events().agg(F.max("seq")).first()[0] or 0) + 1
+    def _next(self) -> int:
+        """A number above that of any event."""
+        return (self._events().agg(F.max("seq")).first()[0] or 0) + 1
+
+    def _record(self, entries: DataFrame, event, now, error=None, bundle=None) -> None:
+        """Append an event (a name or a column) for each entry, all at once."""
         empty = F.lit(None).cast("string")
         facts = [F.col(c) if c in entries.columns else empty.alias(c) for c in _FACTS]
-        self.store.append("events", entries.select("id", *facts, F.lit(event).alias("event"), (empty if error is None else error).alias("error"), (empty if bundle is None else bundle).alias("bundle_id"), F.lit(seq).cast("bigint").alias("seq"), F.lit(now).cast("timestamp").alias("at")))
+        event = F.lit(event) if isinstance(event, str) else event
+        self.store.append("events", entries.select("id", *facts, event.alias("event"), (empty if error is None else error).alias("error"), (empty if bundle is None else bundle).alias("bundle_id"), F.lit(self._next()).cast("bigint").alias("seq"), F.lit(now).cast("timestamp").alias("at")))
 
     def queue(self, state: str | None = None) -> DataFrame:
         """Entries with the state their events lead to."""
@@ -106,34 +146,99 @@ class Engine:
 
     # library
 
-    def ingest(self, now, sidecars: DataFrame) -> DataFrame:
-        """(id, outcome, bundle_id) of all approved entries, with transcripts from `sidecars` (relative_path, content).
+    def ingest(self, now, sidecars: DataFrame, payloads: DataFrame | None = None, entry: str | None = None) -> DataFrame:
+        """(id, outcome, bundle_id) of all approved entries, or of one.
 
-        An entry fails if its content changed since approval, its sidecar is missing or bad, or
-        another entry owns the bundle; the others complete and enter the library.
+        Transcripts come from `payloads` (relative_path, payload: JSON of a transcriber) or else
+        from `sidecars` (relative_path, content).  An entry fails if its content changed since
+        approval or while it was read, its transcript is missing or bad, or another entry owns
+        the bundle, be it in the library or written without having been indexed.  The others
+        complete: documents and manifest are written, then the library row, then the event, so a
+        crash leaves the entry approved and its next ingest takes up what it owns.
         """
         items = self._found()
-        ready = queue.approved_unchanged(self.queue(), items).withColumnRenamed("status", "check")
+        asked = self.queue() if entry is None else self.queue().where(F.col("id") == entry)
+        ready = queue.approved_unchanged(asked, items).withColumnRenamed("status", "check")
         media = ready.join(items.select(F.col("id").alias("source_item_id"), "relative_path"), "source_item_id", "left")
-        read = segments.from_sidecars(media, sidecars)
-        bundle = keys.bundle_id(tx.stem(F.regexp_extract("relative_path", r"([^/]+)$", 1)), "content_sha256", keys.sidecar_identity("raw_sha256"))
+        read = segments.from_sidecars(media, sidecars).withColumn("identity", keys.sidecar_identity("raw_sha256"))
+        if payloads is not None:
+            said = segments.validate(payloads, "relative_path", "payload").select(
+                "relative_path", F.col("status").alias("said"), F.col("text").alias("said_text"), keys.sidecar_identity(F.sha2(F.to_json(F.struct("text", "segments")), 256), "local_command").alias("said_identity"),
+            )
+            own = lambda c, other: F.when(F.col("said").isNotNull(), F.col(other)).otherwise(F.col(c))
+            read = read.join(said, "relative_path", "left").withColumns({"text": own("text", "said_text"), "identity": own("identity", "said_identity"), "status": own("status", "said")})
+        bundle = keys.bundle_id(tx.stem(F.regexp_extract("relative_path", r"([^/]+)$", 1)), "content_sha256", "identity")
         fault = F.when(F.col("check") != "ready", F.concat(F.lit("content "), F.col("check"))).when(F.col("status") != "ok", F.concat(F.lit("transcript "), F.col("status")))
-        planned = read.select("id", *_FACTS, "relative_path", fault.alias("fault"), F.when(fault.isNull(), bundle).alias("bundle_id"))
+        planned = read.select("id", *_FACTS, "relative_path", "text", fault.alias("fault"), F.when(fault.isNull(), bundle).alias("bundle_id"))
+        self.store.swap("planned", planned)
+        planned = self.store.snapshot("planned", planned.schema)
+        # the media are listed once more, now that all has been read
+        later = self._found().select(F.col("id").alias("source_item_id"), F.col("sha256").alias("later"))
+        moved = ~F.col("later").eqNullSafe(F.col("content_sha256"))
+        planned = planned.join(later, "source_item_id", "left").withColumn("fault", F.when(F.col("fault").isNull() & moved, "content changed during ingest").otherwise(F.col("fault"))).drop("later")
         owned = self.library().select("bundle_id", F.col("queue_item_id").alias("owner"))
+        owned = owned.unionByName(library.unindexed(self.manifests(), self.library()).select("bundle_id", "owner"))
         claims = library.claim(planned.where("fault is null").select("id", "bundle_id"), "bundle_id", ["id"], owned)
         result = planned.join(claims.select("id", "outcome"), "id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("failed")))
         result = result.withColumn("fault", F.when(F.col("outcome") == "failed", F.coalesce("fault", F.lit("duplicate content"))))
         self.store.swap("ingested", result)
         done = self.store.snapshot("ingested", result.schema)
         good = done.where("outcome <> 'failed'")
-        rows = good.where("outcome = 'completed'").select("bundle_id", F.col("bundle_id").alias("bundle_path"), "source_id", "source_item_id", F.col("id").alias("queue_item_id"), F.lit(now).cast("timestamp").alias("created_at"))
-        self.store.append("library", rows)
-        self._record(done.where("outcome = 'failed'").select("id", "fault"), "fail", now, error=F.col("fault"))
-        self._record(good.select("id", "bundle_id"), "complete", now, bundle=F.col("bundle_id"))
+        seq, at = F.lit(self._next()).cast("bigint").alias("seq"), F.lit(now).cast("timestamp")
+        self._write_bundles(good, at, seq)
+        self.store.append("library", good.select("bundle_id", F.col("bundle_id").alias("bundle_path"), "source_id", "source_item_id", F.col("id").alias("queue_item_id"), at.alias("created_at"), seq))
+        failed = F.col("outcome") == "failed"
+        self._record(done.select("id", "outcome", "fault", F.when(~failed, F.col("bundle_id")).alias("bundle_id")), F.when(failed, "fail").otherwise("complete"), now, error=F.when(failed, F.col("fault")), bundle=F.col("bundle_id"))
         return done.select("id", "outcome", "bundle_id")
 
+    def ingest_file(self, path: str, now, sidecars: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+        """(id, outcome, bundle_id) of one file, from its source to the library; a file that is already there is left alone."""
+        entry = self.add_file(path, now)
+        held = self.queue("completed").where(F.col("id") == entry)
+        return self.ingest(now, sidecars, payloads, entry) if held.isEmpty() else held.select("id", F.col("state").alias("outcome"), "bundle_id")
+
+    def _write_bundles(self, good: DataFrame, at, seq) -> None:
+        """Append the documents and the manifest of each bundle; the source document tells its provenance."""
+        items = self.items()
+        joined = good.join(library.provenance(good.select("id", *_FACTS), self.store.snapshot("sources", schemas.SOURCES), items), "id")
+        joined = joined.join(items.select(F.col("id").alias("source_item_id"), "absolute_path"), "source_item_id")
+        title = tx.stem(F.regexp_extract("relative_path", r"([^/]+)$", 1)).alias("title")
+        source = F.to_json(F.struct(F.lit("local").alias("kind"), F.col("absolute_path").alias("ref"), title, "provenance"))
+        rows = joined.select("id", "bundle_id", "absolute_path", title, source.alias("source"), "text")
+        self.store.append("bundled", rows.select("bundle_id", F.explode(F.create_map(F.lit("source.json"), "source", F.lit("transcript.txt"), "text")).alias("path", "content"), seq, at.alias("at")))
+
+        def stage(path: str, content: str):
+            output = F.struct(F.lit(path).alias("path"), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("bigint").alias("bytes"))
+            return F.struct(F.lit("done").alias("state"), at.alias("started"), at.alias("finished"), F.array(output).alias("outputs"), F.lit(None).cast("string").alias("error"))
+
+        stages = documents.with_all_stages(F.create_map(F.lit("acquire"), stage("source.json", "source"), F.lit("transcribe"), stage("transcript.txt", "text")))
+        empty = F.lit(None)
+        about = F.struct(F.lit("local").alias("kind"), F.col("absolute_path").alias("ref"), "title", empty.cast("string").alias("channel"), empty.cast("timestamp").alias("published"), empty.cast("double").alias("duration_s"))
+        self.store.append("manifests", rows.select(F.lit("1.0.0").alias("schema_version"), "bundle_id", at.alias("created"), about.alias("source"), stages.alias("stages"), F.col("id").alias("owner"), seq))
+
+    def manifests(self) -> DataFrame:
+        """The manifest of each bundle that was written, indexed or not, with its `owner`."""
+        return library.newest(self.store.events("manifests", MANIFESTS), ["bundle_id"], F.desc("seq"), F.desc("created")).drop("seq")
+
     def library(self) -> DataFrame:
-        return queue.listing(self.store.events("library", schemas.LIBRARY), "created_at", "bundle_id")
+        """A row for each bundle: when it was first indexed, and what its owner recorded last."""
+        rows = self.store.events("library", INDEXED)
+        others = [c for c in schemas.LIBRARY.names if c not in ("bundle_id", "created_at")]
+        held = rows.groupBy("bundle_id").agg(F.max_by(F.struct(*others), "seq").alias("last"), F.min("created_at").alias("created_at"))
+        return queue.listing(held.select("bundle_id", "last.*", "created_at").select(*schemas.LIBRARY.names), "created_at", "bundle_id")
+
+    def show(self, bundle: str) -> DataFrame:
+        """The library row of a bundle with its manifest; no such bundle raises StateError."""
+        found = library.with_manifests(self.library().where(F.col("bundle_id") == bundle), self.manifests())
+        if found.isEmpty():
+            raise StateError(f"no bundle {bundle!r}")
+        return found
+
+    def verify(self) -> DataFrame:
+        """(bundle_id, stage, state, path, sha256, bytes, status) of all outputs that manifests record: ok, altered or missing."""
+        kept = library.newest(self.store.events("bundled", BUNDLED), ["bundle_id", "path"], F.desc("seq"), F.desc("at"))
+        recorded = documents.outputs(self.manifests()).where("path is not null")
+        return documents.integrity(recorded, kept.select("bundle_id", "path", F.sha2("content", 256).alias("sha256")), ["bundle_id", "path"])
 
     def summary(self) -> DataFrame:
         return library.counts(sources=self.sources(), queue=self.queue(), library=self.library())

@@ -37,6 +37,11 @@ def pending(work: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return work.join(done.select(*key), key, "left_anti")
 
 
+def unindexed(manifests: DataFrame, library: DataFrame) -> DataFrame:
+    """Manifests of bundles that were written, but that no library row names."""
+    return manifests.join(library.select("bundle_id"), "bundle_id", "left_anti")
+
+
 def with_manifests(library: DataFrame, manifests: DataFrame) -> DataFrame:
     """Library rows with their manifest, null if there is none."""
     others = [c for c in manifests.columns if c != "bundle_id"]

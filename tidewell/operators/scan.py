@@ -39,14 +39,15 @@ def findings(texts: DataFrame, key: str, text: str, rules: Mapping[str, str], te
     return lines.select(key, (F.col("pos") + 1).cast("bigint").alias("line"), F.explode(hits).alias("rule"))
 
 
-def path_status(path: Column, exact: Sequence[str] = (), names: Sequence[str] = (), folders: Sequence[str] = (), prefixes: Sequence[str] = (), allowed: Sequence[str] = ()) -> Column:
-    """Why a path is refused, or null: exact path, file name or folder (whatever their case), prefix, media file not allowed."""
+def path_status(path: Column, exact: Sequence[str] = (), names: Sequence[str] = (), folders: Sequence[str] = (), prefixes: Sequence[str] = (), allowed: Sequence[str] = (), part_prefixes: Sequence[str] = ()) -> Column:
+    """Why a path is refused, or null: exact path, file name or folder (whatever their case), prefix of the path or (whatever its case) of any part, media file not allowed."""
     parts = F.split(F.lower(path), "/")
     starts = functools.reduce(lambda a, p: a | path.startswith(p), prefixes, F.lit(False))
+    opens = F.exists(parts, lambda part: functools.reduce(lambda a, p: a | part.startswith(p.lower()), part_prefixes, F.lit(False)))
     return (
         F.when(path.isin(*exact) | F.element_at(parts, -1).isin(*(n.lower() for n in names)), "path")
         .when(F.arrays_overlap(parts, F.array(*(F.lit(f.lower()) for f in folders)).cast("array<string>")), "folder")
-        .when(starts, "prefix")
+        .when(starts, "prefix").when(opens, "part")
         .when(tx.suffix(path).isin(*MEDIA_SUFFIXES) & ~path.isin(*allowed), "media")
     )
 

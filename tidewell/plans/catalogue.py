@@ -346,9 +346,12 @@ def payload_validation(spark, sf_dir):
     return found.select("conv_id", "status", F.when(F.col("status") == "ok", F.size("segments")).otherwise(-1).cast("bigint").alias("n"))
 
 
-@_query()
+@_query(rf"""
+SELECT item_id, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 1 - (n // 7) / n END AS accuracy
+FROM (SELECT item_id, len(list_filter(regexp_split_to_array(text, '{_SQL_SPACE}+'), lambda w: w <> '')) AS n FROM benchmark)
+""")
 def word_accuracy(spark, sf_dir):
-    """Each benchmark text against itself without every seventh word; checked by hand-made pairs in the tests."""
+    """Each benchmark text against itself without every seventh word, so a seventh of the words is the distance."""
     words = F.split(tx.collapse("text"), " ")
     less = F.array_join(F.filter(words, lambda _, i: i % 7 != 6), " ")
     return _t(spark, sf_dir, "benchmark").select("item_id", tx.word_accuracy(F.col("text"), less).alias("accuracy"))
@@ -411,3 +414,115 @@ UNION ALL SELECT doc_id, 'worktree' FROM documents WHERE doc_id % 3 = 0 AND doc_
 def candidate_union(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id")
     return scan.candidates(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 8 = 0"), docs.where("doc_id % 3 = 0"), "doc_id")
+
+
+# --- operators over nested records --------------------------------------------------------
+
+
+@_query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, c_mktsegment AS kind, c_name AS name, p_name AS relative_path, sha256(p_brand) AS sha256, o_orderpriority AS policy
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON p_partkey = o_orderkey % 200
+""")
+def provenance_record(spark, sf_dir):
+    """What an entry is, where it came from and what was approved."""
+    o, c, p = (_t(spark, sf_dir, n) for n in ("orders", "customer", "part"))
+    entries = o.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") % 200).alias("source_item_id"),
+        F.col("o_orderpriority").alias("policy"), F.lit("").alias("content_sha256"),
+    )
+    sources = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.col("c_name").alias("name"), F.lit("/").alias("root_path"))
+    items = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("relative_path"), F.sha2("p_brand", 256).alias("sha256"))
+    found = library.provenance(entries, sources, items)
+    return found.select("id", "provenance.source.kind", "provenance.source.name", "provenance.item.relative_path", "provenance.item.sha256", "provenance.queue.policy")
+
+
+@_query("SELECT c_custkey AS bundle_id, c_name, s_name, s_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def library_with_manifests(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bundle_id"), "c_name")
+    manifests = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bundle_id"), "s_name", "s_acctbal")
+    return library.with_manifests(rows, manifests).select("bundle_id", "c_name", "manifest.s_name", "manifest.s_acctbal")
+
+
+@_query("SELECT o_orderkey AS bundle_id, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 4)")
+def unindexed_bundles(spark, sf_dir):
+    written = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bundle_id"), "o_orderstatus")
+    return library.unindexed(written, _t(spark, sf_dir, "lineitem").where("l_linenumber > 4").select(F.col("l_orderkey").alias("bundle_id")))
+
+
+@_query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def newest_of_each(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return library.newest(rows, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 2) AND lang <> 'de' AND NOT starts_with(lang, 'e')")
+def media_outside_skipped(spark, sf_dir):
+    ending = F.element_at(F.array(*map(F.lit, (".MP4", ".txt", ".wav", ".mov.bak"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), ending)
+    return _t(spark, sf_dir, "documents").where(scan.is_media(path, ["de"], ["e"])).select("doc_id")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+def failed_jobs_named(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "P", "queued").otherwise("completed")
+    jobs = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), status.alias("status"), F.when(F.col("o_orderstatus") == "F", "failure").otherwise("success").alias("conclusion"))
+    return scan.failed_jobs(jobs, "1-URGENT").select("o_orderkey")
+
+
+@_query("""
+SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND (o_orderpriority = '1-URGENT' OR c_custkey % 2 = 0))
+""")
+def clean_comments(spark, sf_dir):
+    """Urgent comments name a head in full, others by 12 digits that only even heads resolve."""
+    oid = lambda key: F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 40)
+    heads = _t(spark, sf_dir, "customer").select("c_custkey", oid("c_custkey").alias("head"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "clean at ").otherwise("open at ")
+    named = F.when(F.col("o_orderpriority") == "1-URGENT", oid("o_custkey")).otherwise(F.substring(oid("o_custkey"), 1, 12))
+    comments = _t(spark, sf_dir, "orders").select(F.lit("checker[bot]").alias("author"), F.concat(verdict, named).alias("body"))
+    resolved = heads.where("c_custkey % 2 = 0").select(F.substring("head", 1, 12).alias("short"), F.col("head").alias("oid"))
+    return scan.commented(heads, comments, "checker", "^clean", r"\b([0-9a-f]{12,40})\b", resolved).select("c_custkey")
+
+
+@_query("""
+SELECT CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'c' || o_custkey END AS author, o_orderstatus AS state, CAST(o_orderkey AS VARCHAR) AS oid FROM orders
+UNION ALL SELECT 'second', 'X', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 0
+""")
+def payload_nodes(spark, sf_dir):
+    """Nodes of JSON payloads; those of open orders have no author."""
+    node = lambda login, state: F.struct(F.when(login.isNotNull(), F.struct(login.alias("login"))).alias("author"), state.alias("state"), F.col("o_orderkey").cast("string").alias("oid"))
+    one = node(F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("c"), F.col("o_custkey").cast("string"))), F.col("o_orderstatus"))
+    both = F.when(F.col("o_orderkey") % 2 == 0, F.array(one, node(F.lit("second"), F.lit("X")))).otherwise(F.array(one))
+    payloads = _t(spark, sf_dir, "orders").select(F.to_json(F.struct(F.struct(both.alias("nodes")).alias("data"))).alias("payload"))
+    return scan.nodes(payloads, "payload", "$.data.nodes", "struct<author:struct<login:string>,state:string,oid:string>").select("author", "state", "oid")
+
+
+@_query("""
+SELECT p_partkey, 'source.json' AS path, sha256(p_name) AS sha256, CAST(length(p_name) AS BIGINT) AS bytes FROM part
+UNION ALL SELECT p_partkey, 'other.json', p_brand, CAST(1 AS BIGINT) FROM part
+""")
+def output_refreshed(spark, sf_dir):
+    """The digest and size of one output replaced, others left alone."""
+    output = lambda path, digest: F.struct(F.lit(path).alias("path"), digest.alias("sha256"), F.lit(1).cast("bigint").alias("bytes"))
+    outputs = F.array(output("source.json", F.lit("old")), output("other.json", F.col("p_brand")))
+    changed = documents.with_output(outputs, "source.json", F.sha2("p_name", 256), F.length("p_name").cast("bigint"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(changed).alias("output")).select("p_partkey", "output.*")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN coalesce(event_type, 'not_recorded') ELSE 'not_recorded' END AS posture FROM events")
+def recorded_posture(spark, sf_dir):
+    said = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
+    document = F.struct(F.struct(F.struct(said.alias("posture")).alias("remote_services")).alias("transcript"))
+    return _t(spark, sf_dir, "events").select("event_id", documents.posture(document).alias("posture"))
+
+
+@_query(rf"""
+WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^{_SQL_SPACE}+', ''), '{_SQL_SPACE}+$', '') AS said FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN said = '' THEN 'empty' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 3 <> 0 AND said <> '' THEN sha256(said) END AS said FROM s
+""")
+def sidecar_texts(spark, sf_dir):
+    """Two of three documents have their text in a sidecar."""
+    docs = _t(spark, sf_dir, "documents")
+    media = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("relative_path"))
+    sides = docs.where("doc_id % 3 <> 0").select(F.concat(F.col("doc_id").cast("string"), F.lit(tx.SIDECAR_SUFFIX)).alias("relative_path"), F.encode("text", "UTF-8").alias("content"))
+    return segments.from_sidecars(media, sides).select("doc_id", "status", F.sha2("text", 256).alias("said"))

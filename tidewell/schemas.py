@@ -47,6 +47,25 @@ def export(schema: T.StructType) -> str:
     return schema.json()
 
 
+#: JSON Schema of plain Spark types.
+_JSON = {"string": {"type": "string"}, "timestamp": {"type": "string", "format": "date-time"}, "bigint": {"type": "integer"}, "int": {"type": "integer"}, "double": {"type": "number"}, "boolean": {"type": "boolean"}}
+
+
+def json_schema(kind: T.DataType) -> dict:
+    """A JSON Schema of the documents that a type describes; every field may be null."""
+    if isinstance(kind, T.StructType):
+        return {"type": "object", "properties": {f.name: _nullable(json_schema(f.dataType)) for f in kind}, "additionalProperties": False}
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    if isinstance(kind, T.MapType):
+        return {"type": "object", "additionalProperties": json_schema(kind.valueType)}
+    return dict(_JSON[kind.simpleString()])
+
+
+def _nullable(schema: dict) -> dict:
+    return {"anyOf": [schema, {"type": "null"}]}
+
+
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that break uniqueness, with their counts."""
     return rows.groupBy(*key).count().where("count > 1")

@@ -76,11 +76,13 @@ class _Reader(DataSourceReader):
         self.files = int(options.get("filesperpartition", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        paths = [str(p) for p in media_paths(self.root, self.folders, self.prefixes)]
+        one = self.root.is_file()
+        paths = [str(self.root.resolve())] if one else [str(p) for p in media_paths(self.root, self.folders, self.prefixes)]
         return [_Slice(paths[i : i + self.files]) for i in range(0, len(paths), self.files)] or [_Slice([])]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         root = self.root.resolve()
+        root = root.parent if root.is_file() else root
         for name in partition.paths:
             path = Path(name)
             own, size = digest(path)
@@ -103,7 +105,7 @@ class FolderSource(DataSource):
 
 
 def read(spark: SparkSession, root: str, skipped_folders: Sequence[str] = (), skipped_prefixes: Sequence[str] = ()) -> DataFrame:
-    """The listing of a folder."""
+    """The listing of a folder, or of a single file, which needs no media suffix."""
     ship(spark)
     spark.dataSource.register(FolderSource)
     options = {"skippedFolders": ",".join(skipped_folders), "skippedPrefixes": ",".join(skipped_prefixes)}
