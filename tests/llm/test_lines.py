@@ -3,7 +3,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import lines
+from tidewell.llm import lines, queries
 
 
 def shingles(line, k=8):
@@ -95,3 +95,7 @@ def test_short_lines_with_one_small_change_are_candidates(spark):
     keys = lambda c: lines.with_band_keys(table.select("id", F.col(c).alias("line")), p).withColumnRenamed("keys", c)
     missed = keys("a").join(keys("b"), "id").where(~F.arrays_overlap("a", "b"))
     assert missed.collect() == []
+
+
+def test_equals_sql(agree):
+    agree(queries.QUERIES["op1_line_dedup"], queries.ORACLES["op1_line_dedup"])

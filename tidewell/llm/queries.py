@@ -46,7 +46,9 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    """`removed` as text, positions by comma."""
+    found = lines.dedup_lines(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return found.withColumn("removed", F.array_join("removed", ","))
 
 
 def op2_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +96,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_min_cost_mix": op10_min_cost_mix,
 }
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH RECURSIVE split AS MATERIALIZED (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), met AS MATERIALIZED (
+  SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(list_transform(ls, lambda l: trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS line FROM split) WHERE line <> ''
+), lines AS MATERIALIZED (SELECT row_number() OVER (ORDER BY line) AS id, line FROM (SELECT DISTINCT line FROM met)
+), s AS MATERIALIZED (
+  SELECT DISTINCT id, substring(line, i, 8) AS g FROM (SELECT id, line, unnest(range(1, greatest(length(line) - 7, 1) + 1)) AS i FROM lines)
+), n AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id
+), f AS (SELECT g, count(*) AS f FROM s GROUP BY g
+), ranked AS (SELECT id, g, n, row_number() OVER (PARTITION BY id ORDER BY f, g) AS k FROM s JOIN f USING (g) JOIN n USING (id)
+), prefix AS MATERIALIZED (SELECT id, g, n FROM ranked WHERE k <= n - (4 * n + 4) // 5 + 1
+), near AS MATERIALIZED (
+  SELECT DISTINCT x.id AS a, y.id AS b, x.n AS na, y.n AS nb FROM prefix x JOIN prefix y ON x.g = y.g AND x.id < y.id AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+), links AS (
+  SELECT a, b FROM near JOIN s x ON x.id = a JOIN s y ON y.id = b AND y.g = x.g GROUP BY a, b, na, nb HAVING 180 * count(*) >= 80 * (na + nb)
+), undirected AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (SELECT DISTINCT a AS id, a AS root FROM undirected UNION SELECT undirected.b, reach.root FROM reach JOIN undirected ON reach.id = undirected.a
+), comp AS (SELECT id, min(root) AS c FROM reach GROUP BY id
+), placed AS (SELECT doc_id, pos, coalesce(c, id) AS c FROM met JOIN lines USING (line) LEFT JOIN comp USING (id)
+), gone AS (
+  SELECT doc_id, count(*) AS n_lines, coalesce(list(pos ORDER BY pos) FILTER (k > 1), []) AS removed
+  FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY c ORDER BY doc_id, pos) AS k FROM placed) GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN len(removed) > 0 THEN coalesce(array_to_string(list_filter(ls, lambda l, i: NOT list_contains(removed, i - 1)), chr(10)), '') ELSE text END AS text,
+  CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_lines - len(removed), 0) AS BIGINT) AS n_kept, coalesce(array_to_string(removed, ','), '') AS removed
+FROM split LEFT JOIN gone USING (doc_id)
+""",
     "op3_warc_normaliser": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
 ), t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
