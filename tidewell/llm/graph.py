@@ -1,18 +1,20 @@
-"""Links, components and candidate pairs as DataFrame plans only.
+"""Links, components and candidate pairs as DataFrame plans.
 
-No Python runs on executors here, no group is gathered in one task, and every round ends
+No group is gathered in one task, save edge sets of a fixed size, and every round ends
 in a scratch table, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MANY, drop_table, joinable, packed
+from .common import MANY, drop_table, joinable, map_arrow, packed
 from .common import table as _table
 
 
@@ -38,13 +40,13 @@ KNOWN = 1 << 19
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in `edges` (a, b): the smallest id reachable.
+    """(id, component) of every id in `edges` (a, b longs): the smallest id reachable.
 
     Union-find by alternating large and small stars: each round moves every node nearer to
     the least node it sees, so chains of any length end in O(log^2) rounds.  The minimum of
     a node's neighbours is a map-side combined aggregate; hubs are split by the adaptive
-    skew join.  A round over at most FEW edges runs in one partition, without exchanges; the
-    plan is the same.  Null ends and self-links are ignored; no edges give no rows.
+    skew join.  Once at most FEW edges are there, one task settles them (see `_settled`).
+    Null ends and self-links are ignored; no edges give no rows.
     """
 
     def written(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -56,19 +58,45 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("a is not null and b is not null and u <> v").distinct()
     )
-    while seal[0]:
+    while seal[0] > FEW:
         before = now
-        was, (now, seal) = seal, written(_star(now.coalesce(1) if seal[0] <= FEW else now))
+        was, (now, seal) = seal, written(_star(now))
         drop_table(before)
         if was == seal:
             break
-    small = now.coalesce(1) if seal[0] <= FEW else now
-    roots = small.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    found = _table(small.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "components")
+    if seal[0] <= FEW:
+        named = _settled(now)
+    else:
+        roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        named = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    found = _table(named, "components")
     drop_table(now)
     return found
 
 
+def _settled(edges: DataFrame) -> DataFrame:
+    """(id, component) of at most FEW edges (u, v), by union-find with path halving in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+        if not ends:
+            return
+        ids, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
+        root = list(range(len(ids)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for u, v in zip(*at.reshape(2, -1).tolist(), strict=True):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[[find(x) for x in range(len(ids))]])], ["id", "component"])
+
+    return map_arrow(edges.select("u", "v").coalesce(1), run, "id long, component long")
+
+
 def linked(
     bands: DataFrame,
     weed: Callable[[DataFrame], DataFrame],

@@ -64,6 +64,14 @@ def pieces(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]
         row = min(to, n)
 
 
+def rolling(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each slice of `points`, all from one pass of sums."""
+    up, down = _powers_to(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 @dataclass
 class Words:
     hashes: np.ndarray  #: of each word, in order
@@ -81,11 +89,7 @@ def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray) -> Words:
     before[edges] = True
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    up, down = _powers_to(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+    return Words(rolling(LOWER[data], starts, ends), starts, ends, np.searchsorted(starts, offsets))
 
 
 def chain(parts: list[np.ndarray]) -> np.ndarray:
