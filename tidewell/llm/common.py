@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from ..shipping import ship
 BLANK = r"\x20\x09-\x0D"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: dict[str, list[str]] = {}
+#: Rows of written tables that were counted once.
+_rows: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -51,7 +54,9 @@ def table(df: DataFrame, tag: str) -> DataFrame:
 
 def joinable(found: DataFrame, most: int = 1 << 20) -> DataFrame:
     """A written table of narrow rows as the side of a join: broadcast if it has at most `most` rows, else left to a shuffle."""
-    return F.broadcast(found) if found.count() <= most else found
+    if found not in _rows:
+        _rows[found] = found.count()
+    return F.broadcast(found) if _rows[found] <= most else found
 
 
 #: Rows, of a few dozen bytes each, up to which a step is small: 4 million are some 100 MB.
