@@ -147,3 +147,12 @@ def test_components_of_chains_and_hubs(spark):
     assert {got[i] for i in ids[:151]} == {min(ids[:151])} and {got[i] for i in ids[200:300]} == {min(ids[200:300])}
     assert len(got) == 251
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_stars_and_one_task_agree_on_components(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 130)] + [(129, 5), (7, 7), (None, 3), (300, 200), (200, 300)]
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    want = {**dict.fromkeys(range(10, 41), 10), **dict.fromkeys([5, *range(100, 130)], 5), 200: 200, 300: 200}
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert {r.id: r.component for r in graph.components(table).collect()} == want
