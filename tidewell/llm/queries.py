@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, language, lines, minhash, mixing, quality, tokens, warc
+from . import chat, decontam, divergence, html, infill, language, licenses, lines, minhash, mixing, quality, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,22 @@ def op10_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_tiled_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
+def op12_rank_select_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.infill(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(infill.restored(F.col("output"), F.col("form")), 256)}
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *(v.alias(k) for k, v in digests.items()))
+
+
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(joined).select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_template_text": op2_template_text,
@@ -94,7 +110,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_token_counts": op9_token_counts,
     "op10_min_cost_mix": op10_min_cost_mix,
+    "op11_tiled_divergence": op11_tiled_divergence,
+    "op12_rank_select_infill": op12_rank_select_infill,
+    "op13_license_diagonals": op13_license_diagonals,
 }
+
+
+def _sql_list(values: list, quote: str = "'") -> str:
+    return "[" + ", ".join(f"{quote}{v}{quote}" for v in values) + "]"
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {_sql_list(t.words())}, CAST({_sql_list(t.needed(), '')} AS BIGINT[]))" for i, t in enumerate(licenses.TEMPLATES))
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH RECURSIVE split AS MATERIALIZED (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
@@ -217,5 +244,61 @@ WITH RECURSIVE w AS (
 ), comp AS (SELECT id, min(root) AS c FROM reach GROUP BY id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(comp.c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN comp ON comp.id = rep.r
+""",
+    "op11_tiled_divergence": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), e AS (SELECT doc_id, lang, source, unnest(ws) AS term FROM d
+), v AS (SELECT lang, term, count(*) AS total FROM e GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3
+), z AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM v GROUP BY lang
+), c AS (SELECT lang, source, term, count(*) AS n FROM e JOIN v USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT g.lang, g.source, coalesce(z.v, 0)::HUGEINT AS v, coalesce(z.n_lang, 0)::HUGEINT AS n_lang, coalesce(n.n, 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN z USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) n USING (lang, source)
+), p AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + g.v) AS p, 1 + 1000000000::HUGEINT * (v.total + 1) // (g.n_lang + g.v) AS q
+  FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 200
+""",
+    "op12_rank_select_infill": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), h AS (SELECT *, len(u) AS n, [CAST('0x' || substr(s, 1 + 8 * i, 8) AS BIGINT) for i in range(4)] AS h FROM d
+), c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+), x AS (SELECT *, coalesce(array_to_string(u[1 : lo], ''), '') AS p, coalesce(array_to_string(u[lo + 1 : hi], ''), '') AS m, coalesce(array_to_string(u[hi + 1 :], ''), '') AS r FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || r || '<M>' || m ELSE '<S>' || r || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x
+""",
+    "op13_license_diagonals": rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT doc_id, len(ws) AS n_words, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'cc' AND ws[i + 1] = 'by') AS cc,
+    list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license') AS gpl,
+    list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'all' AND ws[i + 1] = 'rights' AND ws[i + 2] = 'reserved') AS res FROM d
+), t(template, label, ts, needs) AS (VALUES {_TEMPLATES}
+), tg AS (SELECT template, len(ts) AS n, place, array_to_string(ts[place + 1 : place + 3], ' ') AS g FROM (SELECT *, unnest(range(len(ts) - 2)) AS place FROM t)
+), dg AS (SELECT doc_id, a, array_to_string(ws[a + 1 : a + 3], ' ') AS g FROM (SELECT *, unnest(range(len(ws) - 2)) AS a FROM d)
+), met AS MATERIALIZED (SELECT doc_id, template, n, a, place, a - place AS diagonal FROM dg JOIN tg USING (g)
+), steps AS (SELECT *, (diagonal - lag(diagonal) OVER w) * 5 > n AS far FROM (SELECT DISTINCT doc_id, template, n, diagonal FROM met) WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)
+), islands AS (SELECT doc_id, template, diagonal, sum(CASE WHEN coalesce(far, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM steps
+), spans AS (
+  SELECT doc_id, template, n, min(a) AS first, max(a) + 3 AS stop, list_distinct(flatten(list([place, place + 1, place + 2]))) AS covered
+  FROM met JOIN islands USING (doc_id, template, diagonal) GROUP BY doc_id, template, n, island
+), held AS (
+  SELECT doc_id, list(DISTINCT label) AS ls, max(len(covered) / n) AS score FROM spans JOIN t USING (template)
+  WHERE 100 * len(covered) >= 85 * n AND list_has_all(covered, needs) AND 2 * (stop - first) <= 3 * n GROUP BY doc_id
+), own AS (
+  SELECT *, list_concat(cc, gpl, res) AS places, list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda l: l IS NOT NULL) AS base FROM b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(ls, [])))), ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM own LEFT JOIN held USING (doc_id)
 """,
 }
