@@ -3,8 +3,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.engine import Engine
-from tidewell.store import StateError, Store
+from tidewell.engine import INDEXED, Engine
+from tidewell.sources.folder import LISTING
+from tidewell.store import StateError, Store, Transaction
 
 DAY = datetime(2024, 1, 1)
 
@@ -70,50 +71,25 @@ def test_policies(spark, tmp_path):
     assert [r.delta for r in engine.scan("look", DAY).collect()] == ["added"] and engine.queue().count() == 0
 
 
-def test_a_crash_while_publishing_leaves_the_old_state(spark, tmp_path):
-    from tidewell import schemas
-    from tidewell.store import Store
-
-    store = Store(spark, f"file://{tmp_path}/crash")
-    kind = schemas.flat("id string")
-    store.swap("t", spark.createDataFrame([("old",)], kind))
-
-    class Broken:
-        """A file system whose rename never happens."""
-
-        def __getattr__(self, name):
-            if name == "rename":
-                raise OSError("crash")
-            return getattr(real, name)
-
-    real, store._fs = store._fs, Broken()
-    with pytest.raises(OSError):
-        store.swap("t", spark.createDataFrame([("new",)], kind))
-    store._fs = real
-    assert [r.id for r in store.snapshot("t", kind).collect()] == ["old"]
-    store.swap("t", spark.createDataFrame([("new",)], kind))
-    assert [r.id for r in Store(spark, f"file://{tmp_path}/crash").snapshot("t", kind).collect()] == ["new"]
-
-
-def test_a_crash_between_queue_and_snapshot_loses_nothing(spark, tmp_path):
-    """The queue is written first; scanning again finds the same change and queues it once."""
+def test_a_crash_between_queue_and_snapshot_loses_nothing(spark, tmp_path, monkeypatch):
+    """Queue and snapshot move in one commit; scanning again finds the same change and queues it once."""
     media = tmp_path / "media"
     media.mkdir()
     (media / "talk.mp3").write_bytes(b"sound")
     engine = Engine(spark, f"file://{tmp_path}/state")
     engine.add_folder("talks", str(media), "review", DAY)
-    swap = engine.store.swap
+    replace = Transaction.replace
 
-    def failing(name, rows):
-        if name == "items":
+    def failing(t, name, rows):
+        if name.startswith("items/"):
             raise OSError("crash")
-        swap(name, rows)
+        replace(t, name, rows)
 
-    engine.store.swap = failing
-    with pytest.raises(OSError):
-        engine.scan("talks", DAY)
-    engine.store.swap = swap
-    assert engine.queue().count() == 1 and engine.items().count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(Transaction, "replace", failing)
+        with pytest.raises(OSError):
+            engine.scan("talks", DAY)
+    assert engine.queue().count() == 0 and engine.items().count() == 0
     assert [r.delta for r in engine.scan("talks", DAY).collect()] == ["added"]
     assert engine.queue().count() == 1 and engine.items().count() == 1
 
@@ -146,14 +122,15 @@ def test_content_that_changes_during_ingest_fails(spark, tmp_path):
     media.write_bytes(b"sound")
     (tmp_path / "talk.transcript.txt").write_text("Hello.")
     engine = Engine(spark, f"file://{tmp_path}/state")
-    swap = engine.store.swap
+    kept = engine._kept
 
     def changing(name, rows):
-        swap(name, rows)
+        out = kept(name, rows)
         if name == "planned":
             media.write_bytes(b"new sound")
+        return out
 
-    engine.store.swap = changing
+    engine._kept = changing
     assert engine.ingest_file(str(media), DAY, sidecars(spark, tmp_path)).first().outcome == "failed"
     assert engine.queue().first().last_error == "content changed during ingest" and engine.library().count() == 0
 
@@ -164,17 +141,9 @@ def test_a_bundle_written_but_not_indexed_is_taken_up_by_its_owner_alone(spark,
         (tmp_path / name / "talk.wav").write_bytes(b"sound")
         (tmp_path / name / "talk.transcript.txt").write_text("Hello.")
     engine = Engine(spark, f"file://{tmp_path}/state")
-    append = engine.store.append
-
-    def failing(name, rows):
-        if name == "library":
-            raise OSError("crash")
-        append(name, rows)
-
-    engine.store.append = failing
-    with pytest.raises(OSError):
-        engine.ingest_file(str(tmp_path / "a" / "talk.wav"), DAY, sidecars(spark, tmp_path / "a"))
-    engine.store.append = append
+    first = engine.ingest_file(str(tmp_path / "a" / "talk.wav"), DAY, sidecars(spark, tmp_path / "a")).first()
+    engine.store.run(lambda t: t.take("library", INDEXED))  # as if it had never been indexed
+    engine.decide(first.id, "retry", DAY)
     assert engine.library().count() == 0 and engine.manifests().count() == 1
     assert engine.ingest_file(str(tmp_path / "b" / "talk.wav"), DAY, sidecars(spark, tmp_path / "b")).first().outcome == "failed"
     assert engine.ingest_file(str(tmp_path / "a" / "talk.wav"), DAY, sidecars(spark, tmp_path / "a")).first().outcome == "refreshed"
@@ -192,3 +161,21 @@ def test_payloads_of_a_transcriber(spark, tmp_path):
     good = '{"segments": [{"start_s": 0, "end_s": 1.5, "text": "Hello."}]}'
     assert engine.ingest_file(str(media), DAY + timedelta(1), sides, payload(good)).first().outcome == "completed"
     assert engine.queue().first().attempts == 1 and engine.queue().first().last_error is None
+
+
+def test_a_source_is_listed_by_the_adapter_given(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/state")
+    engine.add_folder("shelf", "shelf://7", "review", DAY)
+    held = [("x.wav", "a" * 64), ("y.wav", "b" * 64)]
+    adapter = lambda spark, source: spark.createDataFrame([(p, f"{source.root_path}/{p}", d, 1, 1, None) for p, d in held], LISTING)
+    assert [r.delta for r in engine.scan("shelf", DAY, adapter).collect()] == ["added"] * 2
+    held[0] = ("x.wav", "c" * 64)
+    assert sorted(r.delta for r in engine.scan("shelf", DAY, adapter).collect()) == ["changed", "unchanged"]
+    for entry in engine.queue("discovered").collect():
+        engine.decide(entry.id, "approve", DAY)
+    sides = spark.createDataFrame([("x.transcript.txt", b"Hello."), ("y.transcript.txt", b"Bye.")], "relative_path string, content binary")
+    out = engine.ingest(DAY, sides, adapter=adapter).collect()
+    assert sorted(r.outcome for r in out) == ["completed", "completed", "failed"]  # the entry of the older content
+    assert engine.show_entry(out[0].id).first().attempts == (out[0].outcome == "failed")
+    with pytest.raises(StateError):
+        engine.show_entry("none")

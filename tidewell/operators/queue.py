@@ -40,6 +40,42 @@ def fold(events: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
+#: States, errors and bundles of a part of the events, each with the place it was taken at.
+_AT = ("state_at", "error_at", "bundle_at")
+
+
+def partial(events: DataFrame, key: str, order: str, *facts: str) -> DataFrame:
+    """Folds of any part of the events, one row a key, that `merged` joins and `finished` reads.
+
+    State, last error and last bundle are kept with the place in `order` they come from, so
+    parts may overlap in time and be joined in any way.  `facts` are columns of which a key has
+    one value or none.
+    """
+    at = lambda value, when: F.max(F.when(when, F.struct(F.col(order).alias("at"), value.alias("value"))))
+    state = F.coalesce(*(F.when(F.col("event") == e, s) for e, s in LEADS_TO.items()))
+    error = F.when(F.col("event") == "fail", F.col("error"))
+    return events.groupBy(key).agg(
+        at(state, F.col(order).isNotNull()).alias("state_at"), F.count_if(F.col("event") == "fail").alias("attempts"),
+        at(error, F.col("event").isin("fail", *CLEARS)).alias("error_at"), at(F.col("bundle_id"), F.col("bundle_id").isNotNull()).alias("bundle_at"),
+        F.min(order).alias("first_seen"), F.max(order).alias("last_seen"), *(F.max(c).alias(c) for c in facts),
+    )
+
+
+def merged(parts: DataFrame, key: str, *facts: str) -> DataFrame:
+    """One row a key of several `partial` folds; each event must be in one of them only."""
+    return parts.groupBy(key).agg(
+        *(F.max(c).alias(c) if c != "attempts" else F.sum(c).alias(c) for c in ("state_at", "attempts", "error_at", "bundle_at")),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *(F.max(c).alias(c) for c in facts),
+    )
+
+
+def finished(parts: DataFrame) -> DataFrame:
+    """What `fold` gives, from merged parts."""
+    values = {"state": F.col("state_at.value"), "last_error": F.col("error_at.value"), "bundle_id": F.col("bundle_at.value")}
+    others = [c for c in parts.columns if c not in _AT]
+    return parts.select(*others, *(v.alias(k) for k, v in values.items()))
+
+
 def listing(rows: DataFrame, *order: str, **equal) -> DataFrame:
     """Rows that match the given values, in ascending order."""
     for column, value in equal.items():
