@@ -52,3 +52,28 @@ def test_null_ids_pass_every_stage(spark, sf, documents):
     text = "the people of the house and the water of the river are in the valley for this is their home"
     stages = run(spark, documents((None, text), (None, text.replace("valley", "city") + " and they stay there with all of them")), sf)
     assert all(s.count() for s in stages)
+
+
+def test_two_runs_at_once_keep_their_own_tables(spark, sf, documents):
+    """Each stage is called twice before either result is read; a third run of the last stage harms none."""
+    text = "the people of the house and the water of the river are in the valley for this is their home"
+    docs = documents(*((i, f"{text} number {'abcdefgh'[i]} of them and {'xyzuvwst'[i]}", "en", f"s{i % 2}") for i in range(8)))
+    one = two = docs
+    for name, stage in corpus_pipeline.STAGES:
+        later, sooner = stage(spark, one, sf), stage(spark, two, sf)
+        one, two = common.table(later, name), common.table(sooner, name)
+    last = corpus_pipeline.STAGES[-1][1]
+    again = [last(spark, docs, sf) for _ in range(3)]
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and one.count()
+    assert len({repr(sorted(map(repr, a.collect()))) for a in again}) == 1
+
+
+def test_a_stage_removes_what_made_its_documents_once_they_are_written(spark, sf, documents):
+    text = "the people of the house and the water of the river are in the valley for this is their home"
+    first, second = (f for _, f in corpus_pipeline.STAGES[:2])
+    made = first(spark, documents((1, text), (2, text)), sf)
+    mark = made.schema["doc_id"].metadata[corpus_pipeline._MARK]
+    second(spark, made, sf).count()  # not written: its tables are still read
+    assert mark in corpus_pipeline._left and made.count() == 2
+    second(spark, common.table(made, "written"), sf).count()
+    assert mark not in corpus_pipeline._left

@@ -91,8 +91,20 @@ def beside(pairs: DataFrame, rows: DataFrame, *columns: str, most: int = 1 << 20
 def drop_table(*tables: DataFrame) -> None:
     """Remove scratch tables that `table` wrote and that no later plan reads."""
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+        for path in roots(df):
+            _delete(df.sparkSession, path)
+
+
+def roots(df: DataFrame) -> list[str]:
+    """Folders and files that the plan of `df` reads, as they were named; their contents are not listed."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return [str(path) for leaf in found if leaf.nodeName() == "LogicalRelation" for path in _paths(leaf.relation())]
+
+
+def _paths(relation) -> list:
+    location = relation.location().rootPaths()
+    return [location.apply(i) for i in range(location.size())]
 
 
 @contextlib.contextmanager
