@@ -7,6 +7,7 @@ returns a DataFrame; all but the last return the columns of documents.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,17 +93,25 @@ def _same(docs: DataFrame, found: DataFrame) -> Column:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
+#: Scratch tables of stage calls, by a mark that each result carries in the metadata of its ids, also once written and read again.
+_left: dict[str, list[str]] = {}
+_MARK = "stage_call"
 
 
 def _tidy(stage: Stage) -> Stage:
-    """The stage, after the scratch tables of earlier ones are removed: what they returned is written when the next stage starts."""
+    """The stage, which removes the scratch tables of the very call that made its `docs`, once these are written, and marks what it returns.
+
+    Results of other calls, of this run or another, keep theirs until they are used so or `common.release` is called.
+    """
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.remove(spark, _left)
-        with common.scratch(spark, _left):
-            return stage(spark, docs, sf_dir)
+        before = docs.schema["doc_id"].metadata.get(_MARK, "")
+        if before in _left and not any(root.endswith(path.rpartition("/")[2]) for root in common.roots(docs) for path in _left[before]):
+            common.remove(spark, _left.pop(before))
+        mark = uuid.uuid4().hex
+        with common.scratch(spark, _left.setdefault(mark, [])):
+            return stage(spark, docs, sf_dir).withMetadata("doc_id", {_MARK: mark})
 
     return run_stage
 
@@ -120,8 +129,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again."""
+    """The stages over documents, each written as Parquet and read again; a written stage goes when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = common.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        made: list[str] = []
+        with common.scratch(spark, made):
+            docs = common.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = made.pop()
+        common.remove(spark, made + before)
+        before = [kept]
     return STAGES[-1][1](spark, docs, sf_dir)
