@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from tidewell.plans import catalogue
+from tidewell.plans import catalogue, state  # noqa: F401  (registers its queries)
 
 ROOT = Path(__file__).resolve().parents[1]
 

@@ -3,7 +3,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import schemas
 from tidewell.engine import INDEXED, Engine
+from tidewell.operators import contract, documents
+from tidewell.sources import bundles
 from tidewell.sources.folder import LISTING
 from tidewell.store import StateError, Store, Transaction
 
@@ -161,6 +164,26 @@ def test_payloads_of_a_transcriber(spark, tmp_path):
     good = '{"segments": [{"start_s": 0, "end_s": 1.5, "text": "Hello."}]}'
     assert engine.ingest_file(str(media), DAY + timedelta(1), sides, payload(good)).first().outcome == "completed"
     assert engine.queue().first().attempts == 1 and engine.queue().first().last_error is None
+    other = engine.ingest_file(str(media), DAY + timedelta(2), sides, payload(good)).first()
+    assert other.bundle_id == engine.library().first().bundle_id
+
+
+def test_bundles_become_folders_once(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.wav").write_bytes(name.encode())
+        (tmp_path / f"{name}.transcript.txt").write_text(f"Hello {name}.")
+    engine, root = Engine(spark, f"file://{tmp_path}/state"), f"file://{tmp_path}/bundles"
+    assert engine.write_bundles(root) == 0
+    engine.ingest_file(str(tmp_path / "a.wav"), DAY, sidecars(spark, tmp_path))
+    assert engine.write_bundles(root) == 1
+    engine.ingest_file(str(tmp_path / "b.wav"), DAY, sidecars(spark, tmp_path))
+    assert engine.write_bundles(root) == 1 and engine.write_bundles(root) == 0
+    written = documents.read(spark, root)
+    assert sorted(r.bundle_id for r in written.collect()) == sorted(r.bundle_id for r in engine.library().collect())
+    recorded = documents.outputs(written).where("path is not null")
+    assert {r.status for r in documents.integrity(recorded, bundles.files(spark, root).select("bundle_id", "path", "sha256"), ["bundle_id", "path"]).collect()} == {"ok"}
+    texts = spark.read.text(f"file://{tmp_path}/bundles", recursiveFileLookup=True, pathGlobFilter="manifest.json", wholetext=True)
+    assert contract.check(texts, "value", "value", schemas.manifest_contract()).collect() == []
 
 
 def test_a_source_is_listed_by_the_adapter_given(spark, tmp_path):

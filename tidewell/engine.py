@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,7 +14,7 @@ from . import schemas
 from .functions import keys
 from .functions import text as tx
 from .operators import documents, library, queue, segments, snapshot
-from .sources import folder
+from .sources import bundles, folder, walk
 from .store import StateError, Store, Transaction
 
 EVENTS = schemas.flat("id string, source_id string, source_item_id string, content_sha256 string, policy string, event string, error string, bundle_id string, seq bigint, at timestamp")
@@ -130,7 +130,7 @@ class Engine:
             raise StateError(f"no source {source!r}")
         if mine.policy == "disabled":
             return self.spark.createDataFrame([], "id string, delta string")
-        listed = adapter(self.spark, mine) if adapter else folder.read(self.spark, mine.root_path, **rules)
+        listed = adapter(self.spark, mine) if adapter else walk.read(self.spark, mine.root_path, **rules)
         current = self._kept("found", folder.items(listed, mine.id))
 
         def move(t: Transaction) -> DataFrame:
@@ -221,19 +221,19 @@ class Engine:
 
     # library
 
-    def ingest(self, now, sidecars: DataFrame, payloads: DataFrame | None = None, entry: str | None = None, adapter: Adapter | None = None) -> DataFrame:
+    def ingest(self, now, sidecars: DataFrame, payloads: DataFrame | None = None, entry: str | None = None, adapter: Adapter | None = None, command: Sequence[str] = ()) -> DataFrame:
         """(id, outcome, bundle_id) of all approved entries, or of one.
 
-        Transcripts come from `payloads` (relative_path, payload: JSON of a transcriber) or else
-        from `sidecars` (relative_path, content).  An entry fails if its content changed since
+        Transcripts come from `payloads` (relative_path, payload: JSON of a transcriber, whose
+        `command` line is part of the bundle's identity) or else from `sidecars` (relative_path, content).  An entry fails if its content changed since
         approval or while it was read, its transcript is missing or bad, or another entry owns
         the bundle, be it in the library or written without having been indexed.  The others
         complete: documents, manifest, library row and event are published in one commit, so a
         crash leaves the entry approved and nothing else.
         """
-        return self._committed(lambda t: self._ingest(t, now, sidecars, payloads, entry, adapter))
+        return self._committed(lambda t: self._ingest(t, now, sidecars, payloads, entry, adapter, command))
 
-    def _ingest(self, t: Transaction, now, sidecars: DataFrame, payloads: DataFrame | None, entry: str | None, adapter: Adapter | None) -> DataFrame:
+    def _ingest(self, t: Transaction, now, sidecars: DataFrame, payloads: DataFrame | None, entry: str | None, adapter: Adapter | None, command: Sequence[str]) -> DataFrame:
         items = self._found(t, adapter)
         entries = self._queue(t)
         asked = entries if entry is None else entries.where(F.col("id") == entry)
@@ -242,7 +242,7 @@ class Engine:
         read = segments.from_sidecars(media, sidecars).withColumn("identity", keys.sidecar_identity("raw_sha256"))
         if payloads is not None:
             said = segments.validate(payloads, "relative_path", "payload").select(
-                "relative_path", F.col("status").alias("said"), F.col("text").alias("said_text"), keys.sidecar_identity(F.sha2(F.to_json(F.struct("text", "segments")), 256), "local_command").alias("said_identity"),
+                "relative_path", F.col("status").alias("said"), F.col("text").alias("said_text"), keys.command_identity(command, F.struct("text", "segments")).alias("said_identity"),
             )
             own = lambda c, other: F.when(F.col("said").isNotNull(), F.col(other)).otherwise(F.col(c))
             read = read.join(said, "relative_path", "left").withColumns({"text": own("text", "said_text"), "identity": own("identity", "said_identity"), "status": own("status", "said")})
@@ -324,9 +324,23 @@ class Engine:
         recorded = documents.outputs(self.manifests()).where("path is not null")
         return documents.integrity(recorded, kept.select("bundle_id", "path", F.sha2("content", 256).alias("sha256")), ["bundle_id", "path"])
 
+    def write_bundles(self, root: str) -> int:
+        """Write a folder below `root` for each bundle of the library that has none there yet, all at once or none; how many."""
+        t = Transaction(self.store)
+        wanted = self._library(t).select("bundle_id")
+        if self.store._fs.exists(self.store._path(root)):
+            wanted = wanted.join(documents.read(self.spark, root).select("bundle_id"), "bundle_id", "left_anti")
+        kept = library.newest(t.table("bundled", BUNDLED), ["bundle_id", "path"], F.desc("seq"), F.desc("at"))
+        texts = kept.groupBy("bundle_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files"))
+        text = F.to_json(F.struct(*schemas.MANIFEST.names), {"ignoreNullFields": "false"}).alias("manifest")
+        rows = self._kept("bundles", wanted.join(texts, "bundle_id").join(self._manifests(t), "bundle_id").select("bundle_id", "files", text))
+        bundles.write(rows, root)
+        return rows.count()
+
     def summary(self) -> DataFrame:
         return library.counts(sources=self.sources(), queue=self.queue(), library=self.library())
 
 
 def _local(spark: SparkSession, source: Row) -> DataFrame:
-    return folder.read(spark, source.root_path)
+    """A folder of the local disk, walked in tasks, or a single file."""
+    return walk.read(spark, source.root_path) if source.kind == "local-folder" else folder.read(spark, source.root_path)

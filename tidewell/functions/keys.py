@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .canonical import canonical
+
 NUL = "\0"
+# Fixed value: the method's name in identities.
+COMMAND = "local_command_json"
 
 
 def _col(value: Column | str) -> Column:
@@ -43,6 +51,17 @@ def sidecar_identity(raw_digest: Column | str, method: str = "sidecar") -> Colum
     return F.sha2(text, 256)
 
 
+def command_digest(argv: Sequence[str]) -> str:
+    """Digest of a transcriber's command line."""
+    return hashlib.sha256(json.dumps({"method": COMMAND, "argv": list(argv)}, sort_keys=True).encode()).hexdigest()
+
+
+def command_identity(argv: Sequence[str], transcript: Column) -> Column:
+    """Identity of a transcript that a command gave: the command line and the struct (text, segments), as canonical JSON."""
+    said = F.sha2(canonical(F.to_json(transcript, {"ignoreNullFields": "false"}), compact=False), 256)
+    return F.sha2(F.concat(F.lit(f'{{"command_sha256":"{command_digest(argv)}","method":"{COMMAND}","transcript_sha256":"'), said, F.lit('"}')), 256)
+
+
 def slug(name: Column | str) -> Column:
     """Lower-case letters and digits, other runs as one hyphen, no hyphen at the ends; `bundle` if nothing is left."""
     joined = F.regexp_replace(F.lower(_col(name)), r"[^\p{L}\p{N}]+", "-")

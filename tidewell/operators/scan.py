@@ -90,6 +90,28 @@ def commented(heads: DataFrame, comments: DataFrame, reviewer: str, clean: str,
     return heads.join(reach.select(F.col("named").alias("_h")).distinct(), F.lower("head") == F.col("_h"), "left_semi")
 
 
+def resolved(shorts: DataFrame, short: str, hashes: DataFrame, full: str, least: int = 7) -> DataFrame:
+    """(short, oid, matches) of each distinct prefix: none, one (then `oid` is the hash) or ambiguous.
+
+    Both sides meet by their first `least` digits in an equi-join, and the rest of a prefix is
+    tested on what meets.  Prefixes shorter than that match nothing; case is of no account, nulls are left out.
+    """
+    head = lambda c: F.substring(c, 1, least)
+    mine = shorts.select(F.lower(short).alias("short")).where(F.col("short").isNotNull()).distinct()
+    there = hashes.select(F.lower(full).alias("oid")).where(F.col("oid").isNotNull()).distinct()
+    met = mine.where(F.length("short") >= least).withColumn("head", head(F.col("short"))).join(there.withColumn("head", head(F.col("oid"))), "head").where(F.col("oid").startswith(F.col("short")))
+    ends = met.groupBy("short").agg(F.min("oid").alias("oid"), F.max("oid").alias("last"))
+    matches = F.when(F.col("oid").isNull(), "none").when(F.col("oid") == F.col("last"), "one").otherwise("ambiguous")
+    return mine.join(ends, "short", "left").select("short", F.when(matches == "one", F.col("oid")).alias("oid"), matches.alias("matches"))
+
+
+def commented_among(heads: DataFrame, comments: DataFrame, reviewer: str, clean: str, named: str, hashes: DataFrame, full: str, least: int = 7) -> DataFrame:
+    """`commented`, with prefixes resolved among all `hashes`: one that several share names none of them."""
+    shorts = comments.select(F.explode(F.regexp_extract_all("body", F.lit(named), F.lit(1))).alias("short"))
+    found = resolved(shorts, "short", hashes, full, least).where("matches = 'one'")
+    return commented(heads, comments, reviewer, clean, named, found.select("short", "oid"))
+
+
 def failed_runs(runs: DataFrame, head: str, events: Sequence[str]) -> DataFrame:
     """Completed and failed runs of a head for the given events, newest first, larger ids first among equals."""
     wanted = runs.where((F.col("head_sha") == head) & (F.col("status") == "completed") & (F.col("conclusion") == "failure") & F.col("event").isin(*events))

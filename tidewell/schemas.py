@@ -66,6 +66,20 @@ def _nullable(schema: dict) -> dict:
     return {"anyOf": [schema, {"type": "null"}]}
 
 
+def manifest_contract() -> dict:
+    """The JSON Schema that a manifest document must hold to: what is required, what may be null, and which values are allowed."""
+    text, number, whole, time = {"type": "string"}, {"type": "number"}, {"type": "integer"}, {"type": "string", "format": "date-time"}
+    one_of = lambda values: {"type": "string", "enum": list(values)}
+    record = lambda required, **fields: {"type": "object", "properties": fields, "required": list(required)}
+    artifact = record(("path", "sha256", "bytes"), path=text, sha256=text, bytes=whole)
+    source = record(("kind", "ref"), kind={"$ref": "#/$defs/SourceKind"}, ref=text, title=_nullable(text), channel=_nullable(text), published=_nullable(time), duration_s=_nullable(number))
+    outputs = {"type": "array", "items": {"$ref": "#/$defs/ArtifactRef"}}
+    stage = record((), state={"$ref": "#/$defs/StageState"}, started=_nullable(time), finished=_nullable(time), outputs=outputs, error=_nullable(text))
+    stages = {"type": "object", "propertyNames": {"$ref": "#/$defs/StageName"}, "additionalProperties": {"$ref": "#/$defs/StageRecord"}}
+    defs = {"ArtifactRef": artifact, "Source": source, "SourceKind": one_of(BUNDLE_KINDS), "StageName": one_of(STAGES), "StageRecord": stage, "StageState": one_of(STAGE_STATES)}
+    return {"$defs": defs} | record(("bundle_id", "source"), schema_version=text, bundle_id=text, created=time, source={"$ref": "#/$defs/Source"}, stages=stages)
+
+
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that break uniqueness, with their counts."""
     return rows.groupBy(*key).count().where("count > 1")
