@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewell.llm import language, queries
@@ -58,3 +59,47 @@ def test_trigrams_stay_in_their_rows():
 def test_pages_query(spark, sf):
     found = queries.QUERIES["language_id_pages"](spark, sf).collect()
     assert len(found) == spark.read.parquet(f"{sf}/pages.parquet").count() and np.mean([r.kept for r in found]) > 0.95
+
+
+def test_copies_of_a_text_count_once_in_the_sample(spark):
+    """100,000 copies of one text teach no more than one; the sample is of different texts."""
+    texts = [f"the water number {i} of the {['house', 'river', 'people', 'valley'][i % 4]} and the {i % 13} others" for i in range(500)]
+    plain = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("lang", F.lit("en"))
+    copies = spark.range(100_000).select(F.lit(texts[0]).alias("text"), F.lit("en").alias("lang"))
+    one, two = (language.fit(rows, "text", "lang", per_language=100) for rows in (plain, plain.unionByName(copies)))
+    assert one.languages == two.languages and np.array_equal(one.table, two.table)
+    assert (two.table > two.table.min()).sum() > len(np.unique(language.trigrams(*strings(pa.array([texts[0]])))[0]))
+
+
+def test_posterior_is_the_product_of_its_evidence(spark):
+    """Every number of a small table by hand: likelihood, declared language, and priors of host, suffix and all."""
+    rng = np.random.default_rng(4)
+    vocabulary = {"en": ["the", "water", "house", "people"], "de": ["das", "wasser", "haus", "leute"], "fr": ["eau", "maison", "gens", "du"]}
+    rows = []
+    for i in range(60):
+        lang = ["en", "de", "fr"][int(rng.integers(3))]
+        said = " ".join(rng.choice(vocabulary[lang], int(rng.integers(0, 6))))
+        rows.append((i, said, [lang, "en", None, "xx"][int(rng.integers(4))], f"h{int(rng.integers(5))}", ["com", "de"][int(rng.integers(2))]))
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, host string, tld string")
+    model = language.fit(spark.createDataFrame([(" ".join(v), k) for k, v in vocabulary.items()], "text string, label string"), "text", "label")
+    found = {r.id: r for r in language.identify(df, model, "doc_id", "text", F.col("lang"), F.col("host"), F.col("tld")).collect()}
+    k, strength = 4, 10.0
+    declared = ["none" if d is None else d if d in vocabulary else "other" for _, _, d, _, _ in rows]
+    grams = [language.trigrams(*strings(pa.array([t])))[0] for _, t, *_ in rows]
+    normal = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    ll = np.array([np.append(model.table[:, g].sum(1), language.UNKNOWN * len(g)) * min(len(g), language.ENOUGH) / max(len(g), 1) / language.OVERLAP for g in grams])
+    own = np.array([normal(x) if len(g) else np.zeros(k) for x, g in zip(ll, grams)])
+    kinds = [*model.languages, "other", "none"]
+    seen = np.zeros((k, len(kinds)))
+    for x, d, g in zip(own, declared, grams):
+        if len(g):
+            seen[x.argmax(), kinds.index(d)] += 1
+    trust = np.log((seen + 1) / (seen.sum(1, keepdims=True) + len(kinds)))
+    overall = (own.sum(0) + 1) / (own.sum(0) + 1).sum()
+    for i, (doc, _, _, host, tld) in enumerate(rows):
+        shrink = lambda held, parent: (np.maximum(held - own[i], 0) + strength * parent) / (np.maximum(held - own[i], 0).sum() + strength)
+        parent = shrink(sum(own[j] for j, r in enumerate(rows) if r[4] == tld), overall)
+        prior = shrink(sum(own[j] for j, r in enumerate(rows) if (r[3], r[4]) == (host, tld)), parent)
+        posterior = normal(ll[i] + trust[:, kinds.index(declared[i])] + np.log(prior))
+        assert abs(found[doc].confidence - posterior.max()) < 1e-6
+        assert found[doc].lang == [*model.languages, "und"][posterior.argmax()] and found[doc].n_grams == len(grams[i])

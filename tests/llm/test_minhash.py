@@ -156,3 +156,33 @@ def test_stars_and_one_task_agree_on_components(spark, monkeypatch):
     for few in (graph.FEW, 0):
         monkeypatch.setattr(graph, "FEW", few)
         assert {r.id: r.component for r in graph.components(table).collect()} == want
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_no_link_of_short_sets_is_lost(spark, documents, width, percent):
+    """Pairs of unions of 2 to 40 shingles, alone with each other; of all that are linked none is missed."""
+    rng = random.Random(width)
+    rows, want = [], []
+    for union in range(2, 41):
+        for k in range(12):
+            words_ = [f"w{union}x{k}x{i}" for i in range(union + width - 1)]
+            other = words_[:-1] if k % 3 == 0 else [*words_[:-1], "else"] if k % 3 == 1 else words_[1:-1]
+            doc = 2 * len(want)
+            rows += [(doc, " ".join(words_)), (doc + 1, " ".join(other))]
+            a, b = shingle_set(rows[-2][1], width), shingle_set(rows[-1][1], width)
+            want.append(100 * len(a & b) >= percent * len(a | b))
+    rng.shuffle(rows)
+    found = {r.id: r.component_id for r in minhash.components_by_hyperminhash(documents(*rows), "doc_id", "text", minhash.HyperMinHash(width=width, percent=percent, rows=4 if width == 5 else 5)).collect()}
+    assert [found[2 * i + 1] == 2 * i for i in range(len(want))] == want and 0.3 < sum(want) / len(want) < 0.95
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_linked_short_sets_share_a_key(data):
+    p = minhash.HyperMinHash()
+    both = data.draw(st.sets(st.integers(1, 2**63), min_size=1, max_size=36))
+    extra = [data.draw(st.sets(st.integers(1, 2**63), max_size=6)) - both for _ in range(2)]
+    a, b = (np.array(sorted(both | e), np.uint64) for e in (extra[0], extra[1] - extra[0]))
+    if 100 * len(both) >= p.percent * len(both | extra[0] | extra[1]) and min(len(a), len(b)) <= p.short and not np.array_equal(a, b):
+        keys = minhash.set_keys([a, b], [minhash.band_keys(*minhash.registers(s, p), p) for s in (a, b)], p)
+        assert set(keys[0].tolist()) & set(keys[1].tolist())

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,20 +85,49 @@ def test_awkward_rows(spark, awkward):
     assert all(r.taken == 0 for r in found if r.size == 0)
     assert [(r.size, r.source_size) for r in found if r.id == 6] == [(1, 1)]
     assert mixing.mix_documents(awkward.limit(0), "doc_id", "text", "source").collect() == []
-    few = mixing.mix_documents(awkward, "doc_id", "text", "source", max_patterns=1)
-    assert sorted(map(repr, few.collect())) == sorted(map(repr, found))  # rows of one source need no coarser patterns
 
 
-def test_more_patterns_than_the_flow_takes(spark):
-    """Rare patterns enter the flow with one of their sources: every row is there, limits and sizes hold."""
+def least_cut(patterns, quota, names):
+    """Most words that can move: the least, over all sets of sources, of their quotas and the patterns not inside."""
+    inside = np.zeros(1 << len(names), np.int64)
+    for key, n in patterns.items():
+        inside[sum(1 << names.index(s) for s in key)] += n
+    quotas = np.zeros(1 << len(names), np.int64)
+    for i, s in enumerate(names):
+        view = inside.reshape(-1, 2, 1 << i)
+        view[:, 1] += view[:, 0]
+        quotas.reshape(-1, 2, 1 << i)[:, 1] += round(quota[s])
+    return int((quotas + sum(patterns.values()) - inside).min())
+
+
+@pytest.mark.parametrize(("sources", "scale"), [(6, 40), (6, 3), (17, 10)])
+def test_flow_is_the_cheapest_with_every_pattern(sources, scale):
+    """17 sources have 131,071 patterns; what moves at each cost is what the least cut allows."""
+    rng = random.Random(sources * scale)
+    names = [f"s{i}" for i in range(sources)]
+    patterns = {tuple(s for i, s in enumerate(names) if k >> i & 1): rng.randrange(scale) for k in range(1, 1 << sources)}
+    total = sum(patterns.values())
+    quota = {s: rng.random() ** 3 * total for s in names}
+    flow = mixing.route(patterns, quota)
+    once = least_cut(patterns, quota, names)
+    twice = least_cut({k: 2 * n for k, n in patterns.items()}, quota, names)
+    assert sum(flow.values()) == twice and all(0 <= flow[k] <= 2 * n for k, n in patterns.items())
+    first = mixing.route(patterns, quota, 1)
+    assert sum(first.values()) == once and all(first[k] <= n for k, n in patterns.items())
+    assert sum(max(0, flow[k] - n) for k, n in patterns.items()) == twice - once
+
+
+def test_many_patterns(spark, monkeypatch):
+    """Every row is there, limits and sizes hold, and the plan may be joined by a shuffle."""
     rows = [(i, 1 + i % 7, [f"s{k}" for k in range(6) if i >> k & 1]) for i in range(1, 640)]
     docs = spark.createDataFrame(rows, "id bigint, n bigint, belongs array<string>")
-    for most in (5, 1000):
-        found = mixing.mix(docs, "id", F.col("n"), F.col("belongs"), max_patterns=most).collect()
-        assert sorted(r.id for r in found) == [r[0] for r in rows]
-        assert all(r.taken <= 2 * r.size for r in found)
-        total = sum(n for _, n, _ in rows)
-        assert 1.4 * total < sum(r.taken for r in found)  # a row counts in the size of each of its sources
+    found = mixing.mix(docs, "id", F.col("n"), F.col("belongs")).collect()
+    monkeypatch.setattr(mixing, "MOST", 0)
+    again = mixing.mix(docs, "id", F.col("n"), F.col("belongs")).collect()
+    assert sorted(r.id for r in found) == [r[0] for r in rows] and sorted(map(repr, found)) == sorted(map(repr, again))
+    assert all(r.taken <= 2 * r.size for r in found)
+    total = sum(n for _, n, _ in rows)
+    assert 1.4 * total < sum(r.taken for r in found)  # a row counts in the size of each of its sources
 
 
 def test_null_ids_do_not_share_one_place(spark):

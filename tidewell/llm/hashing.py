@@ -98,3 +98,19 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
     for part in parts:
         out = mix(out * _BASE + part)
     return out
+
+
+def couple_keys(hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of `rows` of sorted sets: keys that any two linked sets share, whatever their size, the pairs of hashes of a prefix.
+
+    Linked sets share at least `percent` % of either one, s of its n members, and so the first
+    two of those lie among the first n - s + 2 of both.  A set of one member links only to its equals.
+    """
+    n = np.diff(offsets)[rows]
+    found = [(rows[n == 1], hashes[offsets[rows[n == 1]]])]
+    for size in np.unique(n[n > 1]).tolist():
+        own = rows[n == size]
+        x, y = np.triu_indices(min(size, size + (-percent * size) // 100 + 2), 1)
+        pairs = [hashes[(offsets[own][:, None] + side[None, :]).ravel()] for side in (x, y)]
+        found.append((np.repeat(own, len(x)), chain(pairs)))
+    return np.concatenate([r for r, _ in found]), np.concatenate([k for _, k in found])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, own_names, table
+from .common import drop_table, joinable, map_arrow, own_names, table
 from .hashing import pieces, strings
 
 #: Bytes for scoring: letters lower-cased, non-ASCII as it is, all else a space.
@@ -47,20 +47,23 @@ class Model:
 def fit(rows: DataFrame, text_col: str, label_col: str, per_language: int = 400, sample_chars: int = 50_000, long_texts: int = 4) -> Model:
     """A naive Bayes trigram model of every label from at most `per_language` of its whole texts of up to `sample_chars` characters.
 
-    A label all of whose texts are longer is learned from up to `long_texts` of those.  The sample is drawn by a hash of the
-    text in one pass: labels are counted over all rows, about twice the wanted rows of each are let through, and the first of
-    those in hash order are taken.  It bounds only the classifier.  Trigrams are counted where the texts are; their
-    sums, at most 65,536 a label, reach the driver.  Null texts and labels are left out.
+    A label all of whose texts are longer is learned from up to `long_texts` of those.  The sample is of different texts,
+    drawn by their hash: only hashes are counted and ranked, so copies of a text count once and gather nowhere, and about
+    twice the wanted hashes of each label are let through.  It bounds only the classifier.  Trigrams are counted where the
+    texts are; their sums, at most 65,536 a label, reach the driver.  Null texts and labels are left out.
     """
-    given = own_names(rows, text=text_col, label=label_col).where("text is not null and label is not null").withColumn("long", F.length("text") > sample_chars)
-    counts = given.groupBy("label").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n"))
+    given = own_names(rows, text=text_col, label=label_col).where("text is not null and label is not null")
+    given = given.select("label", "text", (F.length("text") > sample_chars).alias("long"), F.xxhash64("text").alias("place"))
+    kinds = table(given.groupBy("label", "place").agg(F.min("long").alias("long")), "kinds")
+    counts = kinds.groupBy("label").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n"))
     wanted = F.when(F.col("short") > 0, F.lit(per_language)).otherwise(long_texts)
     share = F.least(F.lit(1.0), 2 * wanted / F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n")))
     draw = table(counts.select("label", (F.col("short") > 0).alias("any_short"), wanted.alias("wanted"), share.alias("share")), "labels")
-    sampled = given.join(draw, "label").where("long <> any_short").withColumn("place", F.xxhash64("text"))
-    sampled = sampled.where(F.shiftrightunsigned("place", 33) <= F.col("share") * float(1 << 31))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
-    sampled = sampled.withColumn("rank", rank).where("rank <= wanted").select("label", "text")
+    drawn = kinds.join(joinable(draw), "label").where("long <> any_short").where(F.shiftrightunsigned("place", 33) <= F.col("share") * float(1 << 31))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    drawn = table(drawn.withColumn("rank", rank).where("rank <= wanted").select("label", "place"), "drawn")
+    # one text of each hash: tasks send on one copy at most
+    sampled = given.join(joinable(drawn), ["label", "place"]).groupBy("label", "place").agg(F.min("text").alias("text")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,6 +72,7 @@ def fit(rows: DataFrame, text_col: str, label_col: str, per_language: int = 400,
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], ["label", "code", "n"])
 
     sums = map_arrow(sampled, count, "label string, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas()
+    drop_table(kinds, draw, drawn)
     found = {}
     for label, own in sums.groupby("label", sort=True):
         held = np.full(1 << BITS, 0.05)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, drop_table, joinable, let, map_arrow, table
 from .graph import linked
-from .hashing import chain, mix, pieces, rolling, strings
+from .hashing import chain, couple_keys, mix, pieces, rolling, strings
 
 #: Blanks that are stripped from both ends of a line.
 _ENDS = " \t\n\x0b\x0c\r"
@@ -64,22 +64,6 @@ def band_keys(hashes: np.ndarray, offsets: np.ndarray, p: LineMinHash) -> tuple[
     return row, chain([mix(band[at] + np.uint64(1)), *members])
 
 
-def couple_keys(hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, p: LineMinHash) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of `rows`: keys that any two linked lines share, whatever their size, the pairs of hashes of a prefix.
-
-    Linked sets share at least `percent` % of either one, s of its n members, and so the first
-    two of those lie among the first n - s + 2 of both.  A set of one member links only to its equals.
-    """
-    n = np.diff(offsets)[rows]
-    found = [(rows[n == 1], hashes[offsets[rows[n == 1]]])]
-    for size in np.unique(n[n > 1]).tolist():
-        own = rows[n == size]
-        x, y = np.triu_indices(min(size, size + (-p.percent * size) // 100 + 2), 1)
-        pairs = [hashes[(offsets[own][:, None] + side[None, :]).ravel()] for side in (x, y)]
-        found.append((np.repeat(own, len(x)), chain(pairs)))
-    return np.concatenate([r for r, _ in found]), np.concatenate([k for _, k in found])
-
-
 def with_band_keys(rows: DataFrame, p: LineMinHash) -> DataFrame:
     """`rows` (id long, line) as (id, n, keys): the number of distinct shingles and the candidate keys of each line.
 
@@ -101,7 +85,7 @@ def with_band_keys(rows: DataFrame, p: LineMinHash) -> DataFrame:
                 n = np.diff(ends)
                 row, key = band_keys(hashes, ends, p)
                 banded = n[row] > p.short
-                couples, couple = couple_keys(hashes, ends, np.flatnonzero((n > 0) & (p.percent * n <= 100 * p.short)), p)
+                couples, couple = couple_keys(hashes, ends, np.flatnonzero((n > 0) & (p.percent * n <= 100 * p.short)), p.percent)
                 row, key = np.concatenate([row[banded], couples]), np.concatenate([key[banded], couple])
                 order = np.argsort(row, kind="stable")
                 sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, drop_table, map_arrow, only, own_names, table
 from .graph import linked
-from .hashing import BLANKS, chain, mix, pieces, strings, words
+from .hashing import BLANKS, chain, couple_keys, mix, pieces, strings, words
 
 #: Constant of the expected share of equal registers of unrelated sets (HyperMinHash paper, section on collisions).
 COLLISION = 0.169919487159739
@@ -21,13 +21,14 @@ COLLISION = 0.169919487159739
 
 @dataclass(frozen=True)
 class HyperMinHash:
-    """Parameters: shingle width, similarity as a percentage, 2**buckets registers of `mantissa` bits, `rows` registers a band."""
+    """Parameters: shingle width, similarity as a percentage, 2**buckets registers of `mantissa` bits, `rows` registers a band, shingles up to which a set's links are found exactly."""
 
     width: int = 3
     percent: int = 85
     buckets: int = 7
     mantissa: int = 10
     rows: int = 5
+    short: int = 30
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -67,6 +68,20 @@ def band_keys(at: np.ndarray, values: np.ndarray, p: HyperMinHash) -> np.ndarray
     return chain([mix(band[first].astype(np.uint64)), *members])
 
 
+def set_keys(sets: list[np.ndarray], bands: list[np.ndarray], p: HyperMinHash) -> list[np.ndarray]:
+    """The candidate keys of each set: those of its bands if it has more than `short` members, and couples if it may be linked to one that has not.
+
+    Sets of few members fill few registers, and bands of these miss links; two sets of which one
+    has up to `short` members meet by `couple_keys`, which miss none.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    few = np.flatnonzero((n > 0) & (p.percent * n <= 100 * p.short))
+    row, key = couple_keys(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(n)]), few, p.percent)
+    order = np.argsort(row, kind="stable")
+    couples = np.split(key[order], np.cumsum(np.bincount(row, minlength=len(sets)))[:-1]) if len(sets) else []
+    return [np.concatenate([b, c]) if size > p.short else c for size, b, c in zip(n.tolist(), bands, couples, strict=True)]
+
+
 def sketches(docs: DataFrame, p: HyperMinHash) -> DataFrame:
     """(id, n, digest, registers, keys) of each row; texts are read whole and go no further."""
     size = 1 << p.buckets
@@ -75,7 +90,7 @@ def sketches(docs: DataFrame, p: HyperMinHash) -> DataFrame:
         for batch in batches:
             data, offsets = strings(batch.column(1))
             for lo, hi in pieces(offsets):
-                n, digest, regs, keys = [], [], [], []
+                n, digest, regs, bands, sets = [], [], [], [], []
                 for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width):
                     at, values = registers(s, p)
                     full = np.zeros(size, np.uint16)
@@ -83,7 +98,9 @@ def sketches(docs: DataFrame, p: HyperMinHash) -> DataFrame:
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     regs.append(full.tobytes())
-                    keys.append(band_keys(at, values, p).view(np.int64))
+                    bands.append(band_keys(at, values, p))
+                    sets.append(s)
+                keys = [k.view(np.int64) for k in set_keys(sets, bands, p)]
                 sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), listed], ["id", "n", "digest", "registers", "keys"])
@@ -107,7 +124,7 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
     Items are linked if their sets of word shingles have 100 * intersection >= percent * union;
     a component is named by its smallest id.  Equal sets are put together first by a digest,
     so copies cost one sketch each and never a pair.  Candidates come from bands of compressed
-    registers; the corrected estimate weeds out pairs far (four standard errors) below the
+    registers, and for sets of up to `short` shingles from pairs of a prefix, which miss none; the corrected estimate weeds out pairs far (four standard errors) below the
     threshold; the rest are verified on their full sets.
 
     Null and blank texts have an empty set and stay alone (component = own id).  A null id

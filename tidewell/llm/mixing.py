@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,8 @@ from pyspark.sql.window import Window
 from .common import count_words, own_names, table
 
 Pattern = tuple[str | None, ...]
+#: Patterns whose plan (some 100 bytes each) is broadcast; more meet the rows in a shuffled join.
+MOST = 1 << 18
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -37,91 +41,111 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1),
     return out
 
 
-class Network:
-    """Residual graph with breadth-first levels and blocking flows."""
-
-    def __init__(self, nodes: int):
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-
-    def arc(self, a: int, b: int, room: int) -> int:
-        for x, y, r in ((a, b, room), (b, a, 0)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-        return len(self.to) - 2
-
-    def fill(self, source: int, sink: int) -> int:
-        """Augment until no path is left; the words moved."""
-        moved = 0
-        while True:
-            level = {source: 0}
-            queue = deque([source])
-            while queue:
-                x = queue.popleft()
-                for e in self.out[x]:
-                    if self.room[e] and self.to[e] not in level:
-                        level[self.to[e]] = level[x] + 1
-                        queue.append(self.to[e])
-            if sink not in level:
-                return moved
-            turn = [0] * len(self.out)
-            path: list[int] = []
-            x = source
-            while True:
-                if x == sink:
-                    least = min(self.room[e] for e in path)
-                    for e in path:
-                        self.room[e] -= least
-                        self.room[e ^ 1] += least
-                    moved += least
-                    x, path = source, []
-                    continue
-                while turn[x] < len(self.out[x]) and not (self.room[e := self.out[x][turn[x]]] and level.get(self.to[e], -1) == level[x] + 1):
-                    turn[x] += 1
-                if turn[x] < len(self.out[x]):
-                    path.append(self.out[x][turn[x]])
-                    x = self.to[path[-1]]
-                elif x == source:
-                    break
-                else:
-                    e = path.pop()
-                    x = self.to[e ^ 1]
-                    turn[x] += 1
+class Routes:
+    """Flow from patterns to their sources, held in flat arrays: some 30 bytes for each source of each pattern.
 
+    The residual graph is that of the sources alone: words move from source s to t within
+    patterns that lie in both and send words to s.  The steps of a path that meets no source
+    twice take from different arcs, so a path's room is the least of its steps'.
+    """
 
-def route(patterns: dict[Pattern, int], quota: dict[str | None, float], copies: int = 2) -> dict[Pattern, int]:
+    def __init__(self, starts: np.ndarray, members: np.ndarray, room: np.ndarray):
+        self.members, self.room = members, room.copy()
+        self.starts, self.of = starts, np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        order = np.argsort(members, kind="stable")
+        ends = np.searchsorted(members[order], np.arange(len(room) + 1))
+        self.arcs = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        self.flow = np.zeros(len(members), np.int64)
+        self.supply = np.zeros(len(starts) - 1, np.int64)
+
+    def _shared(self, s: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Arcs of s and t in the patterns that hold both."""
+        _, x, y = np.intersect1d(self.of[self.arcs[s]], self.of[self.arcs[t]], assume_unique=True, return_indices=True)
+        return self.arcs[s][x], self.arcs[t][y]
+
+    @staticmethod
+    def _first(held: np.ndarray, wanted: int) -> np.ndarray:
+        """`wanted` words in all, taken from the first places that hold some."""
+        before = np.cumsum(held) - held
+        return np.clip(wanted - before, 0, held)
+
+    def _below(self, s: int) -> np.ndarray:
+        """Sources that words of s can move to."""
+        patterns = self.of[self.arcs[s][self.flow[self.arcs[s]] > 0]]
+        sizes = self.starts[patterns + 1] - self.starts[patterns]
+        at = np.repeat(self.starts[patterns] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.unique(self.members[at])
+
+    def _path(self) -> list[int] | None:
+        """A shortest way from a source that can be given words to one with room."""
+        came: dict[int, int] = {}
+        level = np.unique(self.members[self.supply[self.of] > 0]).tolist()
+        came |= dict.fromkeys(level, -1)
+        while level:
+            for s in level:
+                if self.room[s] > 0:
+                    path = [s]
+                    while came[path[-1]] >= 0:
+                        path.append(came[path[-1]])
+                    return path[::-1]
+            further = []
+            for s in level:
+                for t in self._below(s).tolist():
+                    if t not in came:
+                        came[t] = s
+                        further.append(t)
+            level = further
+        return None
+
+    def open(self, supply: np.ndarray) -> None:
+        """Let patterns send so many words more, as many as there is a way for."""
+        self.supply += supply
+        while (path := self._path()) is not None:
+            pairs = [self._shared(s, t) for s, t in zip(path[:-1], path[1:])]
+            mine = self.arcs[path[0]]
+            least = min(int(self.supply[self.of[mine]].sum()), int(self.room[path[-1]]), *(int(self.flow[x].sum()) for x, _ in pairs))
+            given = self._first(self.supply[self.of[mine]], least)
+            self.supply[self.of[mine]] -= given
+            for x, y in pairs:
+                moved = self._first(self.flow[x], least)
+                self.flow[x] -= moved
+                self.flow[y] += moved
+            self.flow[mine] += given
+            self.room[path[-1]] -= least
+
+
+def routed(starts: np.ndarray, members: np.ndarray, sizes: np.ndarray, quota: np.ndarray, copies: int) -> np.ndarray:
     """Words to take of each pattern: the cheapest flow from patterns to source quotas.
 
     The k-th copy of a pattern's words costs k - 1 a word, a convex cost, so all first copies
     anywhere are used before second ones.  As the cost depends on the copy alone, opening the
     copies one after another and filling the residual graph gives the minimum-cost flow.
+    Pattern i has the sources members[starts[i] : starts[i + 1]].
     """
-    keys, names = list(patterns), list(quota)
-    net = Network(2 + len(keys) + len(names))
-    at = {s: 2 + len(keys) + j for j, s in enumerate(names)}
-    for i, key in enumerate(keys):
-        for s in key:
-            net.arc(2 + i, at[s], copies * patterns[key])
-    for s in names:
-        net.arc(at[s], 1, round(quota[s]))
-    arcs: list[list[int]] = [[] for _ in keys]
+    ways = Routes(starts, members, quota)
     for _ in range(copies):
-        for i, key in enumerate(keys):
-            arcs[i].append(net.arc(0, 2 + i, patterns[key]))
-        net.fill(0, 1)
-    return {key: sum(net.room[e ^ 1] for e in arcs[i]) for i, key in enumerate(keys)}
+        ways.open(np.where(np.diff(starts) > 0, sizes, 0))
+    sums = np.zeros(len(sizes), np.int64)
+    np.add.at(sums, ways.of, ways.flow)
+    return sums
+
+
+def route(patterns: dict[Pattern, int], quota: dict[str | None, float], copies: int = 2) -> dict[Pattern, int]:
+    """`routed` by names."""
+    names = {s: i for i, s in enumerate(quota)}
+    starts = np.concatenate([[0], np.cumsum([len(k) for k in patterns])]).astype(np.int64)
+    members = np.array([names[s] for k in patterns for s in k], np.int64)
+    found = routed(starts, members, np.array(list(patterns.values()), np.int64), np.array([round(q) for q in quota.values()], np.int64), copies)
+    return dict(zip(patterns, found.tolist(), strict=True))
 
 
-def mix(docs: DataFrame, id_col: str, size: Column, sources: Column, key: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 7, bin_rows: int = 1000, max_patterns: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str, size: Column, sources: Column, key: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 7, bin_rows: int = 1000) -> DataFrame:
     """(id, size, pattern, source_size, target, taken, copies) of every row of `docs`.
 
     `sources` is the array of sources that a row belongs to (duplicates and order are
     immaterial; an empty or null array belongs to none and is not taken).  Rows are summed by
-    membership pattern; only these sums reach the driver.  Of more than `max_patterns`, the
-    largest enter the flow as they are, and each rarer one with one of its sources, picked by its hash: the flow
-    stays a valid one, though of a slightly higher cost.  There the flow routes words to the targets.  Then every document
+    membership pattern; only these sums reach the driver, as arrays of some 30 bytes for each
+    source of each pattern, and the flow routes words to the targets, exactly for any number of patterns.  Then every document
     of a pattern gets the whole copies that fit, and documents in a seeded hash order one copy
     more: bins of about `bin_rows` documents are summed and accumulated, whole bins are taken,
     and only in the bin where the sum is reached documents are fitted one by one.  So no step
@@ -140,30 +164,26 @@ def mix(docs: DataFrame, id_col: str, size: Column, sources: Column, key: Column
     # 31 bits of the order, for even bins, then the whole hash
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("place", F.shiftrightunsigned("h", 33))
     rows = table(rows.drop("key"), "mix")
-    members = table(rows.groupBy("belongs").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "patterns")
-    one = F.when(F.size("belongs") > 0, F.array(F.get("belongs", F.pmod(F.xxhash64("belongs"), F.size("belongs")).cast("int")))).otherwise(F.col("belongs"))
-    if members.count() > max_patterns:
-        largest = table(members.orderBy(F.desc("size"), "belongs").limit(max_patterns).select("belongs", F.col("belongs").alias("pattern")), "largest")
-        routed = members.join(largest, "belongs", "left").withColumn("pattern", F.coalesce("pattern", one))
-        rows = rows.join(F.broadcast(largest), "belongs", "left").withColumn("pattern", F.coalesce("pattern", one)).drop("belongs")
-    else:
-        routed = members.withColumn("pattern", F.col("belongs"))
-        rows = rows.withColumnRenamed("belongs", "pattern")
-    found = routed.groupBy("pattern").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
-    sums = {tuple(r["pattern"]): int(r["size"]) for r in found}
-    # a source's size counts all its rows, by whatever pattern they enter the flow
-    of_source = members.select(F.explode("belongs").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
-    sizes: dict[str | None, int] = {r["source"]: int(r["size"]) for r in of_source.collect()}
-    quota = targets(sizes, weights, share, copies)
-    flow = route(sums, quota, copies)
-    plan = []
-    for r in found:
-        key = tuple(r["pattern"])
-        total = sums[key]
-        base = min(copies, flow[key] // total) if total else 0
-        plan.append((list(key), sum(sizes[s] for s in key), float(sum(quota[s] for s in key)), int(base), int(flow[key] - base * total), max(1, -(-r["n"] // bin_rows))))
-    planned = spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, base long, need long, bins long")
-    joined = rows.join(F.broadcast(planned), "pattern").withColumn("bin", F.floor(F.col("place") * F.col("bins") / F.lit(float(1 << 31))))
+    rows = rows.withColumnRenamed("belongs", "pattern")
+    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toArrow().combine_chunks()
+    patterns, sums, n = found["pattern"].combine_chunks(), found["size"].to_numpy(), found["n"].to_numpy()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(patterns).to_numpy())]).astype(np.int64)
+    coded = pc.list_flatten(patterns).dictionary_encode(null_encoding="encode")
+    names, member = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(sums)), np.diff(starts))
+    held = np.zeros(len(names), np.int64)
+    np.add.at(held, member, sums[of])
+    quota = targets(dict(zip(names, held.tolist(), strict=True)), weights, share, copies)
+    wanted = np.array([quota[s] for s in names], np.float64)
+    flow = routed(starts, member, sums, np.array([round(x) for x in wanted.tolist()], np.int64), copies)
+    base = np.minimum(copies, flow // np.maximum(sums, 1))
+    own_size, own_target = np.zeros(len(sums), np.int64), np.zeros(len(sums))
+    np.add.at(own_size, of, held[member])
+    np.add.at(own_target, of, wanted[member])
+    plan = pa.table({"pattern": patterns, "source_size": own_size, "target": own_target, "base": base.astype(np.int64), "need": flow - base * sums, "bins": np.maximum(1, -(-n // bin_rows))})
+    planned = spark.createDataFrame(plan)
+    planned = F.broadcast(planned) if len(sums) <= MOST else table(planned, "plan")
+    joined = rows.join(planned, "pattern").withColumn("bin", F.floor(F.col("place") * F.col("bins") / F.lit(float(1 << 31))))
     bins = joined.groupBy("pattern", "bin").agg(F.sum("size").alias("held"), F.first("need").alias("need"))
     before = F.sum("held").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.withColumn("left", F.col("need") - F.coalesce(before, F.lit(0))).select("pattern", "bin", "held", "left")
