@@ -207,3 +207,37 @@ def test_document_accuracy_query(spark, sf):
         words = docs[r.doc_id]
         if len(words) < 400:
             assert r.accuracy == max(0.0, 1 - quadratic(words, [w for i, w in enumerate(words) if i % 7 != 6]) / len(words))
+
+
+# --- names and payloads
+
+
+def test_titles_are_pythons(spark):
+    names = ["my_talk-on x1y.final.mp4", "it's_a.wav", "ÉCOLE_élève.mp3", "中a_b.wav", "_x.wav", "a.b_c.d", "noSuffix", "", ".hidden", "x--y__z.ogg", "3rd_place.wav"]
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", tx.title("n").alias("t")).collect()
+    for r in found:
+        head, dot, _ = r.n.rpartition(".")
+        assert r.t == (head if dot and head else r.n).replace("_", " ").title()
+
+
+def test_payloads_that_only_some_parsers_take(spark):
+    from tidewell.operators import segments
+
+    rows = [("a", '{"segments": [{"start_s": 0, "text": "x", "text": "y"}], "confidence": NaN}'), ("b", '{"segments": [{"start_s": NaN, "text": "x"}]}'), ("c", "{"), ("d", None)]
+    table = spark.createDataFrame(rows, "k string, p string").select("k", F.coalesce(canonical.lenient("p"), F.col("p")).alias("p"))
+    got = {r.k: (r.status, r.text) for r in segments.validate(table, "k", "p").collect()}
+    assert got == {"a": ("ok", "y"), "b": ("start_not_a_number", None), "c": ("not_json", None), "d": ("not_json", None)}
+
+
+def test_state_preflight(spark, tmp_path):
+    from tidewell.store import Store, preflight
+
+    row = preflight(spark, f"file://{tmp_path}/a/b/c").first()
+    assert (row.exists, row.writable_location, row.schema_version, row.ok) == (False, True, None, True) and not (tmp_path / "a").exists()
+    Store(spark, f"file://{tmp_path}/s")
+    assert preflight(spark, f"file://{tmp_path}/s").first().schema_version == schemas.STATE_VERSION
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "version.000000000000").write_text("999")
+    assert not preflight(spark, f"file://{tmp_path}/t").first().ok
+    (tmp_path / "file").write_text("x")
+    assert not preflight(spark, f"file://{tmp_path}/file/below").first().writable_location

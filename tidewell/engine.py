@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas
-from .functions import keys
+from .functions import canonical, keys
 from .functions import text as tx
 from .operators import documents, library, queue, segments, snapshot
 from .sources import bundles, folder, walk
@@ -219,6 +219,19 @@ class Engine:
 
         self._committed(record)
 
+    def decide_all(self, entries: DataFrame, event: str, now) -> None:
+        """approve, skip or retry all the entries whose `id` is given, in one commit; an unknown one raises StateError."""
+        if event not in ("approve", "skip", "retry"):
+            raise StateError(f"cannot {event}")
+        wanted = self._kept("decided", entries.select("id").distinct())
+
+        def record(t: Transaction) -> None:
+            if not wanted.join(self._queue(t), "id", "left_anti").isEmpty():
+                raise StateError(f"cannot {event} unknown entries")
+            self._record(t, wanted, event, now)
+
+        self._committed(record)
+
     # library
 
     def ingest(self, now, sidecars: DataFrame, payloads: DataFrame | None = None, entry: str | None = None, adapter: Adapter | None = None, command: Sequence[str] = ()) -> DataFrame:
@@ -241,7 +254,8 @@ class Engine:
         media = ready.join(items.select(F.col("id").alias("source_item_id"), "relative_path"), "source_item_id", "left")
         read = segments.from_sidecars(media, sidecars).withColumn("identity", keys.sidecar_identity("raw_sha256"))
         if payloads is not None:
-            said = segments.validate(payloads, "relative_path", "payload").select(
+            clean = payloads.select("relative_path", F.coalesce(canonical.lenient("payload"), F.col("payload")).alias("payload"))
+            said = segments.validate(clean, "relative_path", "payload").select(
                 "relative_path", F.col("status").alias("said"), F.col("text").alias("said_text"), keys.command_identity(command, F.struct("text", "segments")).alias("said_identity"),
             )
             own = lambda c, other: F.when(F.col("said").isNotNull(), F.col(other)).otherwise(F.col(c))

@@ -76,8 +76,12 @@ def sidecar_name(name: Column | str) -> Column:
 
 
 def title(name: Column | str) -> Column:
-    """The stem with underscores as spaces, each word capitalised (words start after white space)."""
-    return F.initcap(F.replace(stem(name), F.lit("_"), F.lit(" ")))
+    """The stem with underscores as spaces; a letter is a capital unless a cased letter stands before it."""
+    chars = F.split(F.replace(stem(name), F.lit("_"), F.lit(" ")), "")
+    # Classes of cased letters, and the marks and numerals that have case.
+    cased = r"[\p{Lu}\p{Ll}\p{Lt}ªºⅠ-ⅿⓐ-ⓩⒶ-Ⓩ]"
+    one = lambda c, i: F.when((i > 0) & F.get(chars, i - 1).rlike(cased), F.lower(c)).otherwise(F.upper(c))
+    return F.array_join(F.transform(chars, one), "")
 
 
 def is_remote(text: Column | str) -> Column:

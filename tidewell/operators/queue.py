@@ -83,6 +83,11 @@ def listing(rows: DataFrame, *order: str, **equal) -> DataFrame:
     return rows.orderBy(*order)
 
 
+def named(rows: DataFrame, key, name: str, by_key: str = "id", by_name: str = "name") -> DataFrame:
+    """All rows of that key or of that name."""
+    return rows.where((F.col(by_key) == key) | (F.col(by_name) == name))
+
+
 def find(rows: DataFrame, wanted: str, key: str = "id", name: str = "name") -> DataFrame:
     """The row of that key, or else of that name."""
     hit = rows.where((F.col(key) == wanted) | (F.col(name) == wanted))

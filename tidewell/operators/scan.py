@@ -52,11 +52,11 @@ def path_status(path: Column, exact: Sequence[str] = (), names: Sequence[str] =
     )
 
 
-def is_media(path: Column, skipped_folders: Sequence[str] = (), skipped_prefixes: Sequence[str] = ()) -> Column:
-    """A media suffix, and no skipped folder among the path's parents."""
+def is_media(path: Column, skipped_folders: Sequence[str] = (), skipped_prefixes: Sequence[str] = (), suffixes: Sequence[str] = MEDIA_SUFFIXES) -> Column:
+    """A media suffix (or one of those given), and no skipped folder among the path's parents."""
     parents = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     bad = lambda part: functools.reduce(lambda a, p: a | part.startswith(p), skipped_prefixes, part.isin(*skipped_folders))
-    return tx.suffix(path).isin(*MEDIA_SUFFIXES) & ~F.exists(parents, bad)
+    return tx.suffix(path).isin(*suffixes) & ~F.exists(parents, bad)
 
 
 def outside_bundles(paths: DataFrame, column: str = "relative_path", markers: Sequence[str] = ("manifest.json", "source.json")) -> DataFrame:
@@ -122,6 +122,17 @@ def failed_jobs(jobs: DataFrame, name: str) -> DataFrame:
     return jobs.where((F.col("name") == name) & (F.col("status") == "completed") & (F.col("conclusion") == "failure"))
 
 
+def reruns(runs: DataFrame, jobs: DataFrame, head: str, events: Sequence[str], name: str) -> DataFrame:
+    """(run_id, jobs): how many jobs of that name to run again for each failed run of a head, 0 where none failed; `jobs` has their run_id."""
+    found = failed_jobs(jobs, name).groupBy("run_id").agg(F.count("*").alias("jobs"))
+    return failed_runs(runs, head, events).select("run_id").join(found, "run_id", "left").select("run_id", F.coalesce("jobs", F.lit(0)).alias("jobs"))
+
+
+def newest_page(rows: DataFrame, size: int, *order: Column, skip: int = 0) -> DataFrame:
+    """One page of at most `size` rows in an order that must be total."""
+    return rows.orderBy(*order).offset(skip).limit(size) if skip else rows.orderBy(*order).limit(size)
+
+
 def nodes(payloads: DataFrame, column: str, path: str, schema: str) -> DataFrame:
     """Rows of a node list inside JSON payloads; a missing author becomes an empty name."""
     rows = payloads.select(F.explode(F.from_json(F.get_json_object(column, path), f"array<{schema}>")).alias("node")).select("node.*")

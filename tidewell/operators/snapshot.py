@@ -27,6 +27,13 @@ def counts(delta: DataFrame) -> DataFrame:
     return delta.groupBy("delta").agg(F.count("*").alias("n"))
 
 
+def scan_counts(delta: DataFrame, queued: DataFrame) -> DataFrame:
+    """(name, n): one row for each kind of change and one for what was queued, also where there is none."""
+    kinds = ("added", "changed", "removed", "unchanged")
+    held = delta.agg(*(F.count_if(F.col("delta") == k).alias(k) for k in kinds)).crossJoin(queued.agg(F.count("*").alias("queued")))  # one row each
+    return held.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in (*kinds, "queued")))))
+
+
 def merge(previous: DataFrame, current: DataFrame, key: list[str], now) -> DataFrame:
     """The next snapshot: listed rows are present with new values and keep `created_at`; others stay, absent."""
     values = [c for c in current.columns if c not in key]

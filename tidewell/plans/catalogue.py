@@ -43,7 +43,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE CAST(c_custkey AS VARCHAR) = '7' OR c_name = 'Customer#000000042'")
 def id_or_name_lookup(spark, sf_dir):
     rows = _t(spark, sf_dir, "customer")
-    return rows.where((F.col("c_custkey") == 7) | (F.col("c_name") == "Customer#000000042")).select("c_custkey", "c_name", "c_nationkey")
+    return queue.named(rows, 7, "Customer#000000042", "c_custkey", "c_name").select("c_custkey", "c_name", "c_nationkey")
 
 
 @_query("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000007'")
@@ -375,9 +375,7 @@ def line_rule_findings(spark, sf_dir):
 
 @_query("SELECT page_id FROM pages WHERE regexp_matches(lower(url), '[^/]\\.html$') AND NOT regexp_matches(url, '/(en|skip[^/]*)/')")
 def suffix_filter(spark, sf_dir):
-    parts = F.split("url", "/")
-    bad = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin("en") | p.startswith("skip"))
-    return _t(spark, sf_dir, "pages").where((tx.suffix("url") == ".html") & ~bad).select("page_id")
+    return _t(spark, sf_dir, "pages").where(scan.is_media(F.col("url"), ["en"], ["skip"], suffixes=[".html"])).select("page_id")
 
 
 @_query("""

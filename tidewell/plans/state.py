@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from datetime import datetime
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -17,12 +18,12 @@ from .. import schemas, shared
 from ..engine import EVENTS, Engine
 from ..functions import canonical
 from ..functions import text as tx
-from ..operators import chains, contract, documents, queue, scan
+from ..operators import chains, contract, documents, queue, scan, snapshot
 from ..shipping import ship
 from ..sources import bundles, feed, walk
 from ..store import Conflict, Store, Transaction
 from ..streaming import lifecycle
-from .catalogue import _FOLD, _events, _query, _t
+from .catalogue import _FOLD, _SNAPSHOTS, _events, _query, _t, policy_gate, snapshot_diff
 
 # --- one commit over several tables -------------------------------------------------------
 
@@ -269,3 +270,95 @@ SELECT event_id, '# Summary' || chr(10) || chr(10) || '[t=' || CASE WHEN s >= 36
 def summary_documents(spark, sf_dir):
     said = F.concat(F.lit("Said "), F.col("event_type"), F.lit(". More at "), F.col("props"))
     return _t(spark, sf_dir, "events").select("event_id", tx.summary_document(said, F.col("value") * 100, tx.word_count(said), F.lit("sidecar")).alias("document"))
+
+
+_CYCLE = r"""
+WITH f AS (
+  SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+/[^?#]*[^/?#])', 1) || '.wav' AS path FROM pages WHERE regexp_matches(url, '^[a-z]+://([^/?#]+/[^?#]*[^/?#])')
+), d AS (
+  SELECT path, regexp_replace(string_split(path, '/')[-1], '\.wav$', '') AS stem, sha256('Said in ' || path) AS side,
+    sha256('media' || chr(0) || sha256(path) || chr(0) || 'transcript-sidecar' || chr(0) || sha256('Said in ' || path)) AS content, hash(path) AS h, strlen(path) % 5 = 0 AS silent FROM f
+), e AS (
+  SELECT path, silent, CASE WHEN silent THEN sha256('media' || chr(0) || sha256(path) || chr(0) || 'transcript-sidecar-absent') ELSE content END AS content_sha256,
+    coalesce(nullif(trim(regexp_replace(lower(stem), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'bundle') || '-' ||
+    substr(sha256(content || chr(0) || sha256('{"method":"sidecar","transcript_sha256":"' || side || '"}') || chr(0)), 1, 12) AS bundle_id FROM d)
+SELECT path AS relative_path, content_sha256, CASE WHEN strlen(path) % 3 = 0 THEN 'skipped' WHEN silent THEN 'failed' ELSE 'completed' END AS state,
+  CAST(CASE WHEN strlen(path) % 3 <> 0 AND silent THEN 1 ELSE 0 END AS INTEGER) AS attempts,
+  CASE WHEN strlen(path) % 3 <> 0 AND silent THEN 'transcript missing' END AS last_error, CASE WHEN strlen(path) % 3 <> 0 AND NOT silent THEN bundle_id END AS bundle_id,
+  strlen(path) % 3 <> 0 AND NOT silent AS listed, CAST(CASE WHEN strlen(path) % 3 <> 0 AND NOT silent THEN 2 ELSE 0 END AS BIGINT) AS intact FROM e
+"""
+
+
+@_query(_CYCLE)
+def engine_cycle(spark, sf_dir):
+    """From a tree of the pages' addresses to the library: scanned, decided, ingested, listed and verified.
+
+    Four of five files have a transcript beside them; entries of paths whose length three divides are skipped, the others approved.
+    """
+    path = shared.table(_t(spark, sf_dir, "pages").select(_address(F.col("url")).alias("path")).where("path <> '.wav'").distinct(), "paths")
+    spoken = path.where(F.octet_length("path") % 5 != 0)
+    root = _planted(spark, path)
+    sides = spoken.select(tx.sidecar_name("path").alias("relative_path"), F.encode(F.concat(F.lit("Said in "), "path"), "UTF-8").alias("content"))
+    _written(spark, root, sides)
+    engine, now = Engine(spark, shared.place(spark, "engine")), datetime(2024, 1, 1)
+    engine.add_folder("pages", root, "review", now)
+    engine.scan("pages", now)
+    found = engine.queue("discovered").join(engine.items().select(F.col("id").alias("source_item_id"), "relative_path"), "source_item_id")
+    skipped = F.octet_length("relative_path") % 3 == 0
+    engine.decide_all(found.where(skipped), "skip", now)
+    engine.decide_all(found.where(~skipped), "approve", now)
+    engine.ingest(now, sides)
+    intact = engine.verify().where("status = 'ok'").groupBy("bundle_id").agg(F.count("*").alias("intact"))
+    listed = engine.library().select(F.col("bundle_id"), F.lit(True).alias("listed")).join(intact, "bundle_id", "left")
+    rows = engine.queue().join(engine.items().select(F.col("id").alias("source_item_id"), "relative_path"), "source_item_id").join(listed, "bundle_id", "left")
+    none = F.lit(0).cast("bigint")
+    return rows.select("relative_path", "content_sha256", "state", "attempts", "last_error", "bundle_id", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("intact", none).alias("intact"))
+
+
+def _written(spark: SparkSession, root: str, texts: DataFrame) -> None:
+    """Files below a local folder, written by tasks from (relative_path, content)."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open(f"{root}/{path}", "wb") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    texts.select("relative_path", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+@_query("""
+WITH j AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1)
+SELECT o_orderkey AS run_id, coalesce(n, 0) AS jobs FROM orders LEFT JOIN j ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 3 AND o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+""")
+def rerun_counts(spark, sf_dir):
+    """Failed jobs to run again for each failed run of a head."""
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    failed = lambda c: F.when(c == "F", "failure").otherwise("success").alias("conclusion")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 10).cast("string").alias("head_sha"), F.lit("completed").alias("status"), failed(F.col("o_orderstatus")), F.col("o_orderpriority").alias("event"), F.col("o_orderdate").alias("created_at"))
+    jobs = li.select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("name"), F.lit("completed").alias("status"), failed(F.col("l_linestatus")))
+    return scan.reruns(runs, jobs, "3", ["1-URGENT", "2-HIGH"], "R")
+
+
+@_query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def newest_page(spark, sf_dir):
+    """The newest hundred, as a page of reviews or runs is cut."""
+    rows = _t(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderdate")
+    return scan.newest_page(rows, 100, F.desc("o_orderdate"), F.desc("o_orderkey"))
+
+
+@_query(_SNAPSHOTS + """
+SELECT 'queued' AS name, count(*) AS n FROM delta JOIN documents d USING (doc_id) WHERE delta IN ('added', 'changed') AND d.source NOT IN ('src0', 'src1')
+UNION ALL SELECT k, count(delta.delta) FROM (VALUES ('added'), ('changed'), ('removed'), ('unchanged')) AS v(k) LEFT JOIN delta ON delta.delta = k GROUP BY k
+""")
+def scan_counts(spark, sf_dir):
+    return snapshot.scan_counts(snapshot_diff(spark, sf_dir), policy_gate(spark, sf_dir))
+
+
+@_query(r"""
+WITH n AS (SELECT page_id, replace(url, '_', ' ') AS u FROM pages), s AS (SELECT page_id, CASE WHEN regexp_matches(u, '[^/]\.[^./]*$') THEN regexp_replace(u, '\.[^./]*$', '') ELSE u END AS u FROM n)
+SELECT page_id, array_to_string(list_transform(range(1, length(u) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(u[i - 1], '[\p{Lu}\p{Ll}]') THEN lower(u[i]) ELSE upper(u[i]) END), '') AS title FROM s
+""")
+def titles(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", tx.title("url").alias("title"))
