@@ -120,9 +120,10 @@ def linked(
     2. Keys whose items now share one component are done.
     3. Other keys of up to `small` items: the pairs across components are checked, each item's
        most promising one before the rest.
-    4. Larger ones are refined (see `_refine`) to finer keys, on which this starts again with
-       those that are mixed.  Every level adds what a key's items share to their consensus,
-       so keys shrink; pairs across components of what is large even after `levels` levels are all checked.
+    4. Items of larger ones are first tried with a few members of their group's main component.
+       What is still mixed is refined (see `_refine`) to finer keys, on which this starts again.
+       Every level adds what a key's items share to their consensus, so keys shrink; pairs
+       across components of what is large even after `levels` levels are all checked.
 
     So every candidate pair ends inside one component or has been checked.  Ids and keys are
     not null; repeated rows of `bands` count once; no rows give no rows.
@@ -162,13 +163,6 @@ def linked(
             rest = _mixed(mixed.drop("component"), found, hold)
             drop_table(mixed)
         last = level == levels - 1
-        x, y = (rest.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
-        across = (
-            x.join(y, "key").where(F.col("component_x") < F.col("component_y"))
-            .where((100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")))
-            .groupBy(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).agg(F.count("*").alias("hits"))
-            .join(first.unionByName(again), ["a", "b"], "left_anti")
-        )
         large = rest.where(F.col("c") > small).select("key", "id")
         done, scrap = last or large.isEmpty(), [rest, first, again]
         if not done:
@@ -179,6 +173,17 @@ def linked(
             groups = hold(large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct(), "groups")
             parted = _refine(groups, sets, percent)
             scrap += [groups, parted]
+            found = _probed(parted, found, weed, verify, percent)
+            rest = _mixed(rest.drop("component"), found, hold)
+            scrap.append(rest)
+        x, y = (rest.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
+        across = (
+            x.join(y, "key").where(F.col("component_x") < F.col("component_y"))
+            .where((100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")))
+            .groupBy(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).agg(F.count("*").alias("hits"))
+            .join(first.unionByName(again), ["a", "b"], "left_anti")
+        )
+        if not done:
             across = across.unionByName(_inside(parted, found, percent)).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
         # each item's pair of most shared keys and an eighth of the others go first: what they link needs no more pairs
         across = _table(across, "across")
@@ -226,6 +231,26 @@ def _refine(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], percent:
     return parted
 
 
+#: Members of a group's main component that each item outside it is tried with before any pairs are spelled out.
+PROBES = 16
+
+
+def _probed(parted: DataFrame, found: DataFrame, weed: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Components after the items of `_refine` outside their group's main component were tried with about PROBES members of it, drawn by hash.
+
+    In a dense group nearly all of them link to one of those and need none of their other pairs.
+    """
+    placed = parted.join(joinable(found, KNOWN), "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("component"))
+    main = placed.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", "c").alias("main"), F.max("c").alias("held"))
+    named = _table(placed.join(main, "g"), "named")
+    probes = named.where("component = main").where(F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("held") / PROBES)) == 0).select("g", F.col("id").alias("p"), F.col("n").alias("m"))
+    tried = named.where("component <> main").join(probes, "g").where(f"100 * n >= {percent} * m and 100 * m >= {percent} * n")
+    tried = _table(tried.groupBy(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).agg(F.count("*").alias("hits")), "tried")
+    out = _merge(found, verify(weed(tried)).select("a", "b"))
+    drop_table(named, tried)
+    return out
+
+
 def _finer(parted: DataFrame, found: DataFrame) -> DataFrame:
     """Keys (id, n, key, component) of the items of `_refine`, that hold every link over a member outside the consensus."""
     placed = parted.join(found, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("component"), F.explode("prefix").alias("e"))
