@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import gc
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -107,6 +108,12 @@ def _paths(relation) -> list:
     return [location.apply(i) for i in range(location.size())]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files, broadcasts and generated code of finished steps go when the driver collects its garbage; jobs of hundreds of steps ask for that between them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession, made: list[str]) -> Iterator[None]:
     """Adds the paths of the scratch tables written meanwhile to `made`."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MANY, drop_table, joinable, map_arrow, packed
+from .common import MANY, drop_table, joinable, map_arrow, packed, sweep
 from .common import table as _table
 
 
@@ -130,6 +130,7 @@ def linked(
     """
     found, links, scrap = None, [], []
     for level in range(levels):
+        sweep(bands.sparkSession)
         rep = bands.repartition("key")
         # both sides of the join read all columns, so that they share the exchange
         parts = [F.count("*").alias("c"), F.min("id").alias("p"), F.max("n").alias("top")]
@@ -162,6 +163,7 @@ def linked(
             found, mixed = _merge(found, links[-1]), rest
             rest = _mixed(mixed.drop("component"), found, hold)
             drop_table(mixed)
+        sweep(bands.sparkSession)
         last = level == levels - 1
         large = rest.where(F.col("c") > small).select("key", "id")
         done, scrap = last or large.isEmpty(), [rest, first, again]
@@ -187,6 +189,7 @@ def linked(
             across = across.unionByName(_inside(parted, found, percent)).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
         # each item's pair of most shared keys and an eighth of the others go first: what they link needs no more pairs
         across = _table(across, "across")
+        sweep(bands.sparkSession)
         each = across.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "hits")
         best = each.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("best")).select("best.*")
         drawn = across.where(F.pmod(F.xxhash64("a", "b"), F.lit(8)) == 0).select("a", "b")
