@@ -23,6 +23,8 @@ def test_bundles_are_written_and_read(spark, tmp_path):
     assert {r.bundle_id for r in read.collect()} == {f"b-{i}" for i in range(12)}
     found = {(r.bundle_id, r.path): r.bytes for r in bundles.files(spark, root).collect()}
     assert len(found) == 24 and found["b-3", "transcript/text.md"] == 5 and found["b-3", "a b+c.txt"] == 1
+    assert sorted(map(repr, bundles.manifests(spark, root).collect())) == sorted(map(repr, read.collect()))
+    assert bundles.files(spark, f"file://{tmp_path}/none").collect() == []
     one = next((tmp_path / "shelf").rglob("b-3/manifest.json"))
     assert one.read_text() == json.dumps({"schema_version": "1.0.0", "bundle_id": "b-3"}, indent=2) + "\n"
 

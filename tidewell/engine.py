@@ -341,9 +341,7 @@ class Engine:
     def write_bundles(self, root: str) -> int:
         """Write a folder below `root` for each bundle of the library that has none there yet, all at once or none; how many."""
         t = Transaction(self.store)
-        wanted = self._library(t).select("bundle_id")
-        if self.store._fs.exists(self.store._path(root)):
-            wanted = wanted.join(documents.read(self.spark, root).select("bundle_id"), "bundle_id", "left_anti")
+        wanted = self._library(t).select("bundle_id").join(bundles.manifests(self.spark, root).select("bundle_id"), "bundle_id", "left_anti")
         kept = library.newest(t.table("bundled", BUNDLED), ["bundle_id", "path"], F.desc("seq"), F.desc("at"))
         texts = kept.groupBy("bundle_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files"))
         text = F.to_json(F.struct(*schemas.MANIFEST.names), {"ignoreNullFields": "false"}).alias("manifest")

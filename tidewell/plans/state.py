@@ -92,7 +92,7 @@ def bundle_round_trip(spark, sf_dir):
     manifest = F.to_json(F.struct(F.lit("1.0.0").alias("schema_version"), name.alias("bundle_id"), stages.alias("stages")), {"ignoreNullFields": "false"})
     files = F.create_map(F.lit("source.json"), source, F.lit("transcript/transcript.md"), text)
     bundles.write(_t(spark, sf_dir, "documents").select(name.alias("bundle_id"), files.alias("files"), manifest.alias("manifest")), root)
-    recorded = documents.outputs(documents.read(spark, root)).drop("state")
+    recorded = documents.outputs(bundles.manifests(spark, root)).drop("state")
     return documents.integrity(recorded, bundles.files(spark, root).select("bundle_id", "path", "sha256"), ["bundle_id", "path"])
 
 
@@ -171,9 +171,9 @@ def folder_feed(spark, sf_dir):
 def streamed_fold(spark, sf_dir):
     """Events in no order, a third of them twice, through a stream of several batches."""
     events = _events(spark, sf_dir)
-    twice = events.unionByName(events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0))
+    copies = F.explode(F.when(F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     source, out = shared.place(spark, "stream"), shared.place(spark, "folded")
-    twice.repartition(8, F.xxhash64("event_id", F.rand(7))).write.parquet(source)
+    events.select("*", copies.alias("copy")).repartition(8, F.xxhash64("event_id", "copy")).drop("copy").write.parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(source)
     query = lifecycle.keep_latest(lifecycle.exact_fold(stream, "user_id", "event_id"), out, f"{out}-checkpoint", availableNow=True)
     query.awaitTermination()

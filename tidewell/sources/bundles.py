@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import json
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .. import schemas
 from ..shipping import ship
 
+_CHUNK = 1 << 20
 MANIFEST = "manifest.json"
 #: Columns of a row to be written: the name of its folder, its files by path, and its manifest as JSON text.
 BUNDLE = "bundle_id string, files map<string,string>, manifest string"
@@ -120,10 +124,63 @@ def write(rows: DataFrame, root: str) -> None:
     rows.select("bundle_id", "files", "manifest").write.format("bundle_folder").mode("append").save(root)
 
 
-def files(spark: SparkSession, root: str, manifests: bool = False) -> DataFrame:
-    """(bundle_id, path, bytes, sha256) of the files that bundles below `root` hold, the manifests aside by default."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_extract("path", r"/batch-[0-9a-f]+/part-[^/]+/(.+)$", 1)
-    rows = found.select(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))).alias("below"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    named = rows.select(F.substring_index("below", "/", 1).alias("bundle_id"), F.regexp_extract("below", r"^[^/]+/(.+)$", 1).alias("path"), "bytes", "sha256")
-    return named if manifests else named.where(F.col("path") != MANIFEST)
+_SCAN = "bundle_id string, path string, bytes long, sha256 string, manifest string"
+_SCAN_ARROW = pa.schema([("bundle_id", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("manifest", pa.string())])
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(bundle_id, path, bytes, sha256, manifest) of every file of the bundles below `root`; only manifests come with their text.
+
+    The driver lists the folders that write tasks left, each of which is then listed and read by
+    a task; so the files themselves, three or more a bundle, are never listed in one place.
+    """
+    from pyarrow import fs
+
+    ship(spark)
+    held, top = _files(root)
+    parts = []
+    for batch in held.get_file_info(fs.FileSelector(top, allow_not_found=True)):
+        if batch.base_name.startswith("batch-"):
+            parts += [p.path for p in held.get_file_info(fs.FileSelector(batch.path)) if p.base_name.startswith("part-")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, _ = _files(root)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                rows: list[tuple] = []
+                for entry in mine.get_file_info(fs.FileSelector(part, recursive=True)):
+                    if entry.type != fs.FileType.File:
+                        continue
+                    bundle, _, path = entry.path[len(part) + 1 :].partition("/")
+                    digest, size, text = hashlib.sha256(), 0, [] if path == MANIFEST else None
+                    with mine.open_input_stream(entry.path) as file:
+                        while chunk := file.read(_CHUNK):
+                            digest.update(chunk)
+                            size += len(chunk)
+                            if text is not None:
+                                text.append(chunk)
+                    rows.append((bundle, path, size, digest.hexdigest(), None if text is None else b"".join(text).decode()))
+                    if len(rows) == 1024:
+                        yield _batch(rows)
+                        rows = []
+                if rows:
+                    yield _batch(rows)
+
+    if not parts:
+        return spark.createDataFrame([], _SCAN)
+    return spark.createDataFrame([(p,) for p in parts], "part string").repartition(len(parts), "part").mapInArrow(run, _SCAN)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCAN_ARROW, strict=True)], schema=_SCAN_ARROW)
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """(bundle_id, path, bytes, sha256) of the files that bundles hold, their manifests aside."""
+    return scan(spark, root).where(F.col("path") != MANIFEST).drop("manifest")
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """The manifests of all bundles, with the fixed schema; what `documents.read` gives, but listed in tasks."""
+    read = scan(spark, root).where(F.col("path") == MANIFEST)
+    return read.select(F.from_json("manifest", schemas.MANIFEST).alias("m")).select("m.*")
