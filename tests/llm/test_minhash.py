@@ -186,3 +186,12 @@ def test_linked_short_sets_share_a_key(data):
     if 100 * len(both) >= p.percent * len(both | extra[0] | extra[1]) and min(len(a), len(b)) <= p.short and not np.array_equal(a, b):
         keys = minhash.set_keys([a, b], [minhash.band_keys(*minhash.registers(s, p), p) for s in (a, b)], p)
         assert set(keys[0].tolist()) & set(keys[1].tolist())
+
+
+def test_ids_of_other_types(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", text), ("a", text + " tail"), ("c", "something else here"), (None, text), ("d", None), ("b", text)]
+    found = minhash.components_by_hyperminhash(spark.createDataFrame(rows, "name string, text string"), "name", "text").collect()
+    assert sorted(map(repr, ((r.id, r.component_id, r.kept) for r in found))) == sorted(map(repr, [("b", "a", False), ("b", "a", False), ("a", "a", True), ("c", "c", True), ("d", "d", True), (None, "a", True)]))
+    small = spark.createDataFrame([(2, text), (1, text)], "name int, text string")
+    assert {(r.id, r.component_id) for r in minhash.components_by_hyperminhash(small, "name", "text").collect()} == {(1, 1), (2, 1)}

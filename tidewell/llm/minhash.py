@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import beside, drop_table, map_arrow, only, own_names, table
+from .common import beside, drop_table, joinable, map_arrow, only, own_names, table
 from .graph import linked
 from .hashing import BLANKS, chain, couple_keys, mix, pieces, strings, words
 
@@ -118,6 +119,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, p:
     return np.clip((same - chance) / np.maximum(either - chance, 1), 0, 1), either
 
 
+def _by_number(given: DataFrame, p: HyperMinHash) -> DataFrame:
+    """Components of rows (id, text) with ids of any ordered type, by way of numbers in the same order."""
+    order = given.select("id").where("id is not null").distinct().orderBy("id")
+    numbers = joinable(table(order.select(F.col("id").alias("name"), F.monotonically_increasing_id().alias("number")), "numbers"))
+    numbered = given.join(numbers, F.col("id") == F.col("name"), "left").select(F.col("number").alias("id"), "text")
+    found = components_by_hyperminhash(numbered, "id", "text", p)
+    named = lambda c, to: numbers.select(F.col("number").alias(c), F.col("name").alias(to))
+    found = found.join(named("id", "own"), "id", "left").join(named("component_id", "least"), "component_id", "left")
+    return found.select(F.col("own").alias("id"), "n_shingles", F.col("least").alias("component_id"), "kept")
+
+
 def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: HyperMinHash = HyperMinHash()) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of `docs`.
 
@@ -127,11 +139,16 @@ def components_by_hyperminhash(docs: DataFrame, id_col: str, text_col: str, p: H
     registers, and for sets of up to `short` shingles from pairs of a prefix, which miss none; the corrected estimate weeds out pairs far (four standard errors) below the
     threshold; the rest are verified on their full sets.
 
-    Null and blank texts have an empty set and stay alone (component = own id).  A null id
-    stays alone with a null component.  Rows that repeat an id share its component if their
-    texts do; extra columns are ignored.  An empty table gives no rows.
+    Null and blank texts have an empty set and stay alone (component = own id).  A row with
+    a null id links to nothing and is kept; its component is that of equal texts with an id, else null.  Rows that repeat an id share its component if their
+    texts do; extra columns are ignored.  An empty table gives no rows.  Ids other than whole
+    numbers are numbered in their order first.
     """
     given = own_names(docs, id=id_col, text=text_col)
+    kind = given.schema["id"].dataType
+    if not isinstance(kind, IntegralType):
+        return _by_number(given, p)
+    given = given.withColumn("id", F.col("id").cast("long"))
     sketched = table(sketches(given, p), "sketches")
     groups = sketched.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"))
     groups = table(groups, "groups")
