@@ -29,7 +29,8 @@ def walk(pages: DataFrame, starts: DataFrame, chain: str, cursor: str, before: s
     joined = given.join(there, given["chain"].eqNullSafe(there["c"]) & (given["before"] == there["there"]), "left")
     status = F.when(F.col("hit"), "found").when(F.col("before").isNull(), "exhausted").when(F.col("there").isNull(), "missing")
     at = F.when(status.isNull(), F.col("before")).when(status == "missing", F.col("before")).otherwise(F.col("cursor"))
-    nodes = shared.table(joined.select("chain", "cursor", at.alias("at"), status.alias("status"), F.lit(1).cast("long").alias("n_read")), "chains")
+    spark, path = pages.sparkSession, shared.place(pages.sparkSession, "chains")
+    nodes = shared.placed(joined.select("chain", "cursor", at.alias("at"), status.alias("status"), F.lit(1).cast("long").alias("n_read")), path)
     # a step of pages that go on: from where they lead to, further
     rounds = 1 + math.ceil(math.log2(max(2, nodes.count())))
     for _ in range(rounds):
@@ -39,7 +40,9 @@ def walk(pages: DataFrame, starts: DataFrame, chain: str, cursor: str, before: s
         open_ = nodes.where("status is null")
         moved = open_.join(on, open_["chain"].eqNullSafe(on["c"]) & (open_["at"] == on["via"]))
         moved = moved.select("chain", "cursor", F.col("to").alias("at"), F.col("then").alias("status"), (F.col("n_read") + F.col("more")).alias("n_read"))
-        nodes = shared.table(nodes.where("status is not null").unionByName(moved), "chains")
+        old, path = path, shared.place(spark, "chains")
+        nodes = shared.placed(nodes.where("status is not null").unionByName(moved), path)
+        shared.remove(spark, old)
     first = starts.select(*keys).distinct()
     first = first.select(F.col("chain").alias("c"), F.col("cursor").alias("start"))
     found = first.join(nodes, first["c"].eqNullSafe(nodes["chain"]) & (first["start"] == nodes["cursor"]), "left")

@@ -27,7 +27,11 @@ def place(spark: SparkSession, tag: str) -> str:
 
 def table(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once and read back, which cuts its lineage and outlives any executor."""
-    path = place(df.sparkSession, tag)
+    return placed(df, place(df.sparkSession, tag))
+
+
+def placed(df: DataFrame, path: str) -> DataFrame:
+    """`df` written to a path and read back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
