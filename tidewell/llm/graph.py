@@ -1,6 +1,6 @@
 """Links, components and candidate pairs as DataFrame plans.
 
-No group is gathered in one task, save edge sets of a fixed size, and every round ends
+No group is gathered in one task, save edge sets of a fixed size where the caller lets them, and every round ends
 in a scratch table, so a lost executor costs one round at most.
 """
 
@@ -39,32 +39,25 @@ FEW = 200_000
 KNOWN = 1 << 19
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int | None = None) -> DataFrame:
     """(id, component) of every id in `edges` (a, b longs): the smallest id reachable.
 
     Union-find by alternating large and small stars: each round moves every node nearer to
-    the least node it sees, so chains of any length end in O(log^2) rounds.  The minimum of
-    a node's neighbours is a map-side combined aggregate; hubs are split by the adaptive
-    skew join.  Once at most FEW edges are there, one task settles them (see `_settled`).
-    Null ends and self-links are ignored; no edges give no rows.
+    the least node it sees, so chains of any length end in O(log^2) rounds, the last of which
+    leaves only stars around least nodes.  The minimum of a node's neighbours is a map-side
+    combined aggregate; hubs are split by the adaptive skew join.  Once at most `few` edges
+    (FEW by default) are there, one task settles them in Python (see `_settled`); with 0 all is
+    done by joins.  Null ends and self-links are ignored; no edges give no rows.
     """
-
-    def written(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-        """The edges as a table; their number and the xor of their hashes identify the set."""
-        out = _table(df, "edges")
-        return out, tuple(out.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    now, seal = written(
+    few = FEW if few is None else few
+    now = _table(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("a is not null and b is not null and u <> v").distinct()
+        .where("a is not null and b is not null and u <> v").distinct(), "edges"
     )
-    while seal[0] > FEW:
-        before = now
-        was, (now, seal) = seal, written(_star(now))
+    while (n := now.count()) > few and not _tangled(now).isEmpty():
+        before, now = now, _table(_star(now), "edges")
         drop_table(before)
-        if was == seal:
-            break
-    if seal[0] <= FEW:
+    if 0 < n <= few:
         named = _settled(now)
     else:
         roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
@@ -74,6 +67,13 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def _tangled(edges: DataFrame) -> DataFrame:
+    """Nodes with two lesser neighbours, or with a lesser and a greater one: none, if all edges (u > v) form stars around least nodes."""
+    end = lambda c, up: F.struct(F.col(c).alias("x"), F.lit(up).alias("up"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups = 1 and least = 0")
+
+
 def _settled(edges: DataFrame) -> DataFrame:
     """(id, component) of at most FEW edges (u, v), by union-find with path halving in one task."""
 
@@ -106,6 +106,7 @@ def linked(
     small: int = 32,
     levels: int = 3,
     gather: Callable[[DataFrame], None] | None = None,
+    few: int | None = None,
 ) -> DataFrame:
     """(id, component) of all ids that some verified link touches; a component is named by its least id.
 
@@ -113,7 +114,7 @@ def linked(
     under one key are candidates.  `weed` drops unpromising pairs
     (a, b, hits: keys shared) and adds `score`; `verify` keeps the true links; `sets` gives
     (id, members array<long>) of ids.  `gather`, if given, is first told which items (id, n) have
-    candidates, to lay their contents ready.  All pairs inside a key are never spelled out:
+    candidates, to lay their contents ready; `few` is that of `components`.  All pairs inside a key are never spelled out:
 
     1. Each item meets the least item of each of its keys, and its best-scored pair is verified;
        then the most linked item of each key that is still mixed.
@@ -129,6 +130,7 @@ def linked(
     not null; repeated rows of `bands` count once; no rows give no rows.
     """
     found, links, scrap = None, [], []
+    merge = functools.partial(_merged, few=few)
     for level in range(levels):
         sweep(bands.sparkSession)
         rep = bands.repartition("key")
@@ -150,7 +152,7 @@ def linked(
             tried = _across(tried, found)
         first = hold(weed(tried).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "first")
         links.append(hold(verify(first.select("a", "b")).select("a", "b"), "links"))
-        found = _merge(found, links[-1])
+        found = merge(found, links[-1])
         rest = _mixed(members, found, hold)
         drop_table(members)
         # a second try, with the most linked item of each key that is still mixed
@@ -160,7 +162,7 @@ def linked(
         again = hold(weed(again).groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "again")
         links.append(hold(verify(again.select("a", "b")).select("a", "b"), "links"))
         if not links[-1].isEmpty():
-            found, mixed = _merge(found, links[-1]), rest
+            found, mixed = merge(found, links[-1]), rest
             rest = _mixed(mixed.drop("component"), found, hold)
             drop_table(mixed)
         sweep(bands.sparkSession)
@@ -175,7 +177,7 @@ def linked(
             groups = hold(large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct(), "groups")
             parted = _refine(groups, sets, percent)
             scrap += [groups, parted]
-            found = _probed(parted, found, weed, verify, percent)
+            found = _probed(parted, found, weed, verify, percent, few)
             rest = _mixed(rest.drop("component"), found, hold)
             scrap.append(rest)
         x, y = (rest.where(F.lit(last) | (F.col("c") <= small)).select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "component"))) for s in "xy")
@@ -194,8 +196,8 @@ def linked(
         best = each.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("best")).select("best.*")
         drawn = across.where(F.pmod(F.xxhash64("a", "b"), F.lit(8)) == 0).select("a", "b")
         early = hold(best.union(drawn).distinct(), "early")
-        found = _merge(found, verify(weed(across.join(early, ["a", "b"])).select("a", "b")))
-        found = _merge(found, verify(weed(_across(across.join(early, ["a", "b"], "left_anti"), found)).select("a", "b")))
+        found = merge(found, verify(weed(across.join(early, ["a", "b"])).select("a", "b")))
+        found = merge(found, verify(weed(_across(across.join(early, ["a", "b"], "left_anti"), found)).select("a", "b")))
         drop_table(across, early)
         if done:
             drop_table(*scrap, *links)
@@ -238,7 +240,7 @@ def _refine(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], percent:
 PROBES = 16
 
 
-def _probed(parted: DataFrame, found: DataFrame, weed: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _probed(parted: DataFrame, found: DataFrame, weed: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int, few: int | None) -> DataFrame:
     """Components after the items of `_refine` outside their group's main component were tried with about PROBES members of it, drawn by hash.
 
     In a dense group nearly all of them link to one of those and need none of their other pairs.
@@ -249,7 +251,7 @@ def _probed(parted: DataFrame, found: DataFrame, weed: Callable[[DataFrame], Dat
     probes = named.where("component = main").where(F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("held") / PROBES)) == 0).select("g", F.col("id").alias("p"), F.col("n").alias("m"))
     tried = named.where("component <> main").join(probes, "g").where(f"100 * n >= {percent} * m and 100 * m >= {percent} * n")
     tried = _table(tried.groupBy(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).agg(F.count("*").alias("hits")), "tried")
-    out = _merge(found, verify(weed(tried)).select("a", "b"))
+    out = _merged(found, verify(weed(tried)).select("a", "b"), few)
     drop_table(named, tried)
     return out
 
@@ -304,17 +306,17 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "hits")
 
 
-def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(found: DataFrame | None, links: DataFrame, few: int | None) -> DataFrame:
     """Components after more links (a, b): only the components that they join meet again."""
     if found is None:
-        return components(links)
+        return components(links, few)
     root = lambda s: joinable(found, KNOWN).select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
     ends = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
     ends = _table(ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct(), "joined")
     if ends.isEmpty():
         drop_table(ends)
         return found
-    roots = components(ends)
+    roots = components(ends, few)
     moved = found.join(joinable(roots, KNOWN).select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
     fresh = roots.join(found, "id", "left_anti")
     after = _table(moved.select("id", F.coalesce("root", "component").alias("component")).unionByName(fresh), "components")

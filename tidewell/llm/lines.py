@@ -1,98 +1,89 @@
-"""Fuzzy line deduplication: signatures and verification in Arrow batches, the rest in DataFrame functions."""
+"""Fuzzy line deduplication in DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, drop_table, joinable, let, map_arrow, table
+from .common import beside, drop_table, joinable, let, table
 from .graph import linked
-from .hashing import chain, couple_keys, mix, pieces, rolling, strings
 
 #: Blanks that are stripped from both ends of a line.
 _ENDS = " \t\n\x0b\x0c\r"
+#: Bytes of a code point in the encoding that shingles are cut from.
+_WIDE = 4
 
 
 @dataclass(frozen=True)
 class LineMinHash:
-    """Parameters: shingle width in characters, similarity in percent, 2**bands ranges of hashes, minima of a band (row count), shingles up to which a line's links are found exactly."""
+    """Parameters: shingle width in characters, similarity in percent, bands (ranges of hashes), minima of a band (row count), shingles up to which a line's links are found exactly."""
 
     width: int = 8
     percent: int = 80
-    bands: int = 4
+    bands: int = 16
     rows: int = 4
     short: int = 24
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct character shingles of each row, one row after the other, and the rows' offsets.
+def hashes(line: Column, p: LineMinHash) -> Column:
+    """Sorted hashes of a line's distinct shingles; a line shorter than one shingle is its only one.
 
-    A row shorter than one shingle is its only one.
+    In UTF-32 every shingle is a slice at a fixed place, so none is searched for.
     """
-    raw = data.tobytes()
-    rows = [raw[lo:hi].decode("utf-8", "replace") for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    points = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    counts = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    of = np.repeat(np.arange(len(rows)), counts)
-    starts = np.arange(ends[-1]) - ends[of] + begins[of]
-    hashes = rolling(points, starts, np.minimum(starts + width, begins[of + 1]))
-    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        hashes[lo:hi].sort()
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-    return hashes[fresh], np.concatenate([[0], np.cumsum(np.bincount(of[fresh], minlength=len(rows)))])
-
-
-def band_keys(hashes: np.ndarray, offsets: np.ndarray, p: LineMinHash) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): a key for each row and range of hashes that holds something, of the `rows` smallest from its start on."""
-    n = np.diff(offsets)
-    of = np.repeat(np.arange(len(n)), n)
-    band = hashes >> np.uint64(64 - p.bands)
-    first = np.ones(len(hashes), bool)
-    first[1:] = (band[1:] != band[:-1]) | (of[1:] != of[:-1])
-    at = np.flatnonzero(first)
-    row = of[at]
-    members = [hashes[offsets[row] + (at - offsets[row] + j) % n[row]] for j in range(p.rows)]
-    return row, chain([mix(band[at] + np.uint64(1)), *members])
+    last = lambda b: F.greatest(F.octet_length(b) - F.lit(_WIDE * p.width - 1), F.lit(1))
+    cut = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(_WIDE)), lambda i: F.xxhash64(F.substr(b, i, F.lit(_WIDE * p.width))))
+    return F.sort_array(F.array_distinct(let(F.encode(line, "UTF-32"), cut)))
 
 
 def with_band_keys(rows: DataFrame, p: LineMinHash) -> DataFrame:
-    """`rows` (id long, line) as (id, n, keys): the number of distinct shingles and the candidate keys of each line.
+    """`rows` (id, line) as (id, n, keys): the number of distinct shingles and the candidate keys of each line.
 
-    The signature is one-permutation MinHash: the hashes fall into 2**`bands` ranges of equal
+    The signature is one-permutation MinHash: the hashes fall into `bands` ranges of equal
     width, and the `rows` smallest from the start of a range on (around the end if need be) are
     its minima; a range that holds nothing has no key.  Two sets share the key of a range if
     the `rows` smallest of their union there lie in both.
 
     Short lines leave most ranges thin and would miss links: two lines of which one has up to
-    `short` shingles meet by `couple_keys`, which misses none, others by bands.  The other line of
+    `short` shingles meet by `_couples`, which misses none, others by bands.  The other line of
     such a pair may be longer, so lengths between have both kinds of keys.
     """
+    placed = _placed(rows.select("id", hashes(F.col("line"), p).alias("h")), p.bands)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = strings(batch.column(1))
-            for lo, hi in pieces(offsets):
-                hashes, ends = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width)
-                n = np.diff(ends)
-                row, key = band_keys(hashes, ends, p)
-                banded = n[row] > p.short
-                couples, couple = couple_keys(hashes, ends, np.flatnonzero((n > 0) & (p.percent * n <= 100 * p.short)), p.percent)
-                row, key = np.concatenate([row[banded], couples]), np.concatenate([key[banded], couple])
-                order = np.argsort(row, kind="stable")
-                sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(sizes), pa.array(key[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), listed], ["id", "n", "keys"])
+    def key(b: int) -> Column:
+        members = [F.get("h", (F.col(f"at{b}") + j) % F.size("h")) for j in range(p.rows)]
+        return F.when(F.col(f"at{b}") < F.col(f"at{b + 1}"), F.xxhash64(F.lit(b), *members))
 
-    return map_arrow(rows.select("id", "line"), run, "id long, n long, keys array<long>")
+    n = F.size("h")
+    # array_compact also keeps the optimizer from writing the array, and so the hashes, into each branch below
+    bands = placed.select("id", "h", F.array_compact(F.array(*map(key, range(p.bands)))).alias("bands"))
+    keys = F.when(n <= p.short, _couples(F.col("h"), p)).when(p.percent * n <= 100 * p.short, F.concat(_couples(F.col("h"), p), "bands")).otherwise(F.col("bands"))
+    return bands.select("id", n.cast("long").alias("n"), keys.alias("keys"))
+
+
+def _placed(rows: DataFrame, bands: int) -> DataFrame:
+    """`rows` (id, h: sorted hashes) with at0, at1 ...: how many hashes lie before each of `bands` ranges, and all of them last.
+
+    The bounds are sorted in among the hashes, and a bound's place there tells the number before
+    it; so no lambda runs over the hashes.
+    """
+    bounds = [-(1 << 63) + b * ((1 << 64) // bands) for b in range(bands)]
+    sorted_in = rows.select("id", "h", F.sort_array(F.concat("h", F.array(*map(F.lit, bounds)))).alias("s"))
+    at = [(F.array_position("s", bound) - (b + 1)).cast("int").alias(f"at{b}") for b, bound in enumerate(bounds)]
+    return sorted_in.select("id", "h", *at, F.size("h").alias(f"at{bands}"))
+
+
+def _couples(hashes: Column, p: LineMinHash) -> Column:
+    """Keys that any two linked lines share, whatever their size: the pairs of hashes of a prefix.
+
+    Linked sets share at least `percent` % of either one, s of its n members, and so the first
+    two of those lie among the first n - s + 2 of both.  A set of one member links only to its equals.
+    """
+    prefix = F.slice(hashes, 1, F.size(hashes) - F.ceil(p.percent * F.size(hashes) / 100).cast("int") + 2)
+    pairs = let(prefix, lambda hs: F.flatten(F.transform(hs, lambda x, i: F.transform(F.slice(hs, i + 2, F.size(hs)), lambda y: F.xxhash64(F.lit("couple"), x, y)))))
+    return F.when(F.size(hashes) == 1, hashes).otherwise(pairs)
 
 
 def _named(line: str = "line") -> list[Column]:
@@ -116,7 +107,8 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     or more, verified on the full sets for every candidate of the bands; a component is closed
     under links and is named by its least id.
     """
-    bands = with_band_keys(lines, p).select("id", "n", F.explode("keys").alias("key"))
+    # the outer form: a plain explode would have its array computed once more, to filter empty ones
+    bands = with_band_keys(lines, p).select("id", "n", F.explode_outer("keys").alias("key")).where("key is not null")
     texts: list[DataFrame] = []
 
     def gather(ids: DataFrame) -> None:
@@ -125,33 +117,14 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
         drop_table(ids)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                keep = np.zeros(t.num_rows, bool)
-                (da, oa), (db, ob) = strings(t.column("line_a")), strings(t.column("line_b"))
-                for lo, hi in pieces(oa + ob):
-                    (x, ex), (y, ey) = (shingle_sets(d[o[lo] : o[hi]], o[lo : hi + 1] - o[lo], p.width) for d, o in ((da, oa), (db, ob)))
-                    for i in range(hi - lo):
-                        u, v = x[ex[i] : ex[i + 1]], y[ey[i] : ey[i + 1]]
-                        both = len(np.intersect1d(u, v, assume_unique=True))
-                        keep[lo + i] = (100 + p.percent) * both >= p.percent * (len(u) + len(v))
-                yield t.select(["a", "b"]).filter(pa.array(keep))
-
         joined = beside(pairs, texts[0], "line", "n").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
-        return map_arrow(joined.select("a", "b", "line_a", "line_b"), run, "a long, b long")
+        both = F.size(F.array_intersect(hashes(F.col("line_a"), p), hashes(F.col("line_b"), p)))
+        return joined.where((100 + p.percent) * both >= p.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def own(ids: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                data, offsets = strings(t.column("line"))
-                for lo, hi in pieces(offsets):
-                    hashes, ends = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width)
-                    members = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([t.column("id").slice(lo, hi - lo), members], ["id", "members"])
-
-        return map_arrow(texts[0].join(ids, "id", "left_semi").select("id", "line"), run, "id long, members array<long>")
+        return texts[0].join(ids, "id", "left_semi").select("id", hashes(F.col("line"), p).alias("members"))
 
-    found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather)
+    found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather, few=0)
     drop_table(*texts)
     return found
 
