@@ -124,7 +124,7 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     def own(ids: DataFrame) -> DataFrame:
         return texts[0].join(ids, "id", "left_semi").select("id", hashes(F.col("line"), p).alias("members"))
 
-    found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, gather=gather, few=0)
+    found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, small=16, gather=gather, few=0)
     drop_table(*texts)
     return found
 
