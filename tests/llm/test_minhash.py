@@ -195,3 +195,26 @@ def test_ids_of_other_types(spark):
     assert sorted(map(repr, ((r.id, r.component_id, r.kept) for r in found))) == sorted(map(repr, [("b", "a", False), ("b", "a", False), ("a", "a", True), ("c", "c", True), ("d", "d", True), (None, "a", True)]))
     small = spark.createDataFrame([(2, text), (1, text)], "name int, text string")
     assert {(r.id, r.component_id) for r in minhash.components_by_hyperminhash(small, "name", "text").collect()} == {(1, 1), (2, 1)}
+
+
+def test_pairs_of_mixed_keys_come_once(spark):
+    """A pair under three keys is one row; pairs inside a component, or too far apart in size or parities, are none."""
+    own = {1: (10, 1), 2: (10, 1), 3: (10, 3), 4: (10, 4), 5: (30, 5)}
+    members = spark.createDataFrame([(k, i, n, 5, 1) for k in (7, 8, 9) for i, (n, _) in own.items()], "key long, id long, n long, c long, p long")
+    found = spark.createDataFrame([(1, 1), (2, 1)], "id long, component long")
+    rest = graph._mixed(members, found, graph.table)
+    assert round(graph._crossing(rest), 6) == 3 * 9
+    marks = [(i, [7, 8, 9], [0, 0, 0, 7 if i == 4 else 0]) for i in own]
+    marks = graph.table(spark.createDataFrame(marks, "id long, keys array<long>, bits array<long>"), "marks")
+    assert sorted(map(tuple, graph._crossed(rest, 80, marks.drop("bits")).collect())) == [(1, 3, 3), (1, 4, 3), (2, 3, 3), (2, 4, 3), (3, 4, 3)]
+    assert sorted(map(tuple, graph._crossed(rest, 80, marks).collect())) == [(1, 3, 3), (2, 3, 3)]
+
+
+def test_components_without_a_python_task(spark):
+    """Long chains in order and in disorder, hubs of any rank and a hub below its leaves, by joins alone."""
+    rng = random.Random(6)
+    mixed = rng.sample(range(1000, 1300), 300)
+    edges = [(i, i + 1) for i in range(200)] + list(zip(mixed, mixed[1:])) + [(5000, i) for i in range(4000, 4060)] + [(6000, 6000 + i) for i in range(1, 50)]
+    want = {**dict.fromkeys(range(201), 0), **dict.fromkeys(mixed, 1000), **dict.fromkeys([5000, *range(4000, 4060)], 4000), **dict.fromkeys(range(6000, 6050), 6000)}
+    found = graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), 0).collect()
+    assert {r.id: r.component for r in found} == want and len(found) == len(want)
