@@ -81,12 +81,15 @@ def beside(pairs: DataFrame, rows: DataFrame, *columns: str, most: int = 1 << 20
     once; an end that many pairs share is then on the broadcast side.  More pairs meet the
     rows in shuffled joins.
     """
-    pairs = table(pairs, "pairs")
+    pairs = table(packed(pairs, most), "pairs")
     side = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
-    if pairs.count() > most:
+    n = pairs.count()
+    if n > most:
         return pairs.join(side("a"), "a").join(side("b"), "b")
     left = side("a").join(F.broadcast(pairs), "a")
-    return left.join(side("b").join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), "b")
+    # duplicates on the small side of a semi-join do no harm; few pairs do not need all partitions
+    joined = left.join(side("b").join(F.broadcast(pairs.select("b")), "b", "left_semi"), "b")
+    return packed(joined, MANY if n <= most >> 3 else n + MANY)
 
 
 def drop_table(*tables: DataFrame) -> None:
