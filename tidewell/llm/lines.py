@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import beside, drop_table, joinable, let, table
-from .graph import linked
+from .graph import PARITIES, linked
 
 #: Blanks that are stripped from both ends of a line.
 _ENDS = " \t\n\x0b\x0c\r"
@@ -86,6 +86,13 @@ def _couples(hashes: Column, p: LineMinHash) -> Column:
     return F.when(F.size(hashes) == 1, hashes).otherwise(pairs)
 
 
+def _parity(hashes: Column, k: int) -> Column:
+    """The k-th 64 parities of a set: a bit is set if an odd number of members fall into its class."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    mine = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(PARITIES - 1) == k)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda so_far, h: so_far.bitwiseXOR(bit(h)))
+
+
 def _named(line: str = "line") -> list[Column]:
     """A line's name: 128 bits of hash."""
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
@@ -124,7 +131,10 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
     def own(ids: DataFrame) -> DataFrame:
         return texts[0].join(ids, "id", "left_semi").select("id", hashes(F.col("line"), p).alias("members"))
 
-    found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, small=16, gather=gather, few=0)
+    def parities(ids: DataFrame) -> DataFrame:
+        return own(ids).select("id", F.array(*(_parity(F.col("members"), k) for k in range(PARITIES))).alias("bits"))
+
+    found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, small=16, gather=gather, few=0, parities=parities)
     drop_table(*texts)
     return found
 
