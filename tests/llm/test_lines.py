@@ -3,7 +3,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import lines, queries
+from tidewell.llm import graph, lines, queries
 
 
 def shingles(line, k=8):
@@ -97,5 +97,24 @@ def test_short_lines_with_one_small_change_are_candidates(spark):
     assert missed.collect() == []
 
 
+def test_parities_spare_unlike_pairs_and_no_linked_one(spark):
+    rng = random.Random(6)
+    draw = lambda n: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+    pairs = []
+    for i, (both, alone) in enumerate([(450, 56), (450, 50), (24, 3), (1, 0), (412, 88), (400, 100), (30, 30)] * 20):
+        shared = draw(both)
+        pairs.append((i, both, alone, shared + draw(alone), shared + draw(alone)))
+    bits = []
+    for side in (3, 4):
+        sets = spark.createDataFrame([(r[0], r[side]) for r in pairs], "id bigint, members array<bigint>")
+        bits.append({r.id: r.bits for r in lines.with_parities(sets).collect()})
+    rows = [(i, both, alone, both + alone, both + alone, bits[0][i], bits[1][i]) for i, both, alone, _, _ in pairs]
+    table = spark.createDataFrame(rows, "id int, shared int, alone int, n_x bigint, n_y bigint, bits_x array<bigint>, bits_y array<bigint>")
+    left = {(r.shared, r.alone): r.c for r in table.where(graph._possible(80, True)).groupBy("shared", "alone").agg(F.count("*").alias("c")).collect()}
+    linked = [(450, 56), (450, 50), (24, 3), (1, 0)]
+    assert all(left[k] == 20 for k in linked)  # 100 * both >= 80 * union
+    assert left.get((412, 88), 0) + left.get((400, 100), 0) + left.get((30, 30), 0) <= 2  # similarities of 0.70, 0.67 and 0.33
+
+
 def test_equals_sql(agree):
     agree(queries.QUERIES["op1_line_dedup"], queries.ORACLES["op1_line_dedup"])

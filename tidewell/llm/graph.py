@@ -29,8 +29,9 @@ FEW = 200_000
 KNOWN = 1 << 19
 #: Up to so many pairs are checked in one go: to sort out which may be spared costs more.
 AT_ONCE = 1 << 17
-#: Longs of parities of a set, and pairs for each row that are compared by them rather than refined.
-PARITIES = 4
+#: Longs of parities of a set (a power of two), and pairs for each row that are compared by them rather than refined.  A quarter of as
+#: many left most pairs of sets of some 500 members in doubt, as their difference fills the classes before it is too large for a link.
+PARITIES = 16
 CHEAP = 16
 
 
@@ -127,7 +128,7 @@ def linked(
     (a, b, hits: keys shared) and adds `score`; `verify` keeps the true links; `sets` gives
     (id, members array<long>) of ids.  `gather`, if given, is first told which items (id, n) have
     candidates, to lay their contents ready; `few` is that of `components`; `parities`, if given, makes (id, bits: PARITIES longs)
-    of ids, the numbers of a set's members in each of 64 * PARITIES classes modulo 2, by which the join spares pairs that cannot be linked.  All pairs inside a key are never spelled out:
+    of ids, the numbers of a set's members in each of 64 * PARITIES classes modulo 2, by which the joins spare pairs that cannot be linked.  All pairs inside a key are never spelled out:
 
     1. Each item meets the least item of each of its keys, and its best-scored pair is verified;
        then the most linked item of each key that is still mixed.
@@ -191,6 +192,11 @@ def linked(
         sweep(bands.sparkSession)
         large = rest.where(F.col("c") > small).select("key", "id")
         done = done or large.isEmpty()
+        odd = None
+        if parities:
+            ids = hold(rest.select("id").distinct(), "ids")
+            odd = hold(parities(joinable(ids, KNOWN)), "odd")
+            scrap += [ids, odd]
         if not done:
             # a large key belongs to the group around the most linked item of its main component
             ends = _degrees(links)
@@ -199,20 +205,20 @@ def linked(
             groups = hold(large.join(hubs.select("key", F.coalesce("centre", "id").alias("g")), "key").select("g", "id").distinct(), "groups")
             parted = _refine(groups, sets, percent, hold)
             scrap += [groups, parted]
-            found = _probed(parted, found, weed, verify, percent, merge, hold)
+            found = _probed(parted, found, weed, verify, percent, merge, hold, odd)
             rest = _mixed(rest.drop("component", "main", "share"), found, hold)
             scrap.append(rest)
         spelled = rest.where(F.lit(done) | (F.col("c") <= small))
         marks = hold(spelled.groupBy("id").agg(F.collect_set("key").alias("keys")), "marks")
         scrap.append(marks)
         if parities:
-            marks = hold(marks.join(parities(joinable(marks.select("id"), KNOWN)), "id"), "marks")
+            marks = hold(marks.join(joinable(odd, MARKED), "id"), "marks")
             scrap.append(marks)
         across = _crossed(spelled, percent, marks)
         if first is not None:
             across = across.join(first, ["a", "b"], "left_anti")
         if not done:
-            across = across.unionByName(_inside(parted, found, percent)).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+            across = across.unionByName(_inside(parted, found, percent, odd)).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
         across = hold(across, "across")
         sweep(bands.sparkSession)
         if across.count() <= AT_ONCE:
@@ -268,19 +274,21 @@ def _refine(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], percent:
 PROBES = 16
 
 
-def _probed(parted: DataFrame, found: DataFrame, weed: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int, merge: Callable[[DataFrame, DataFrame], DataFrame], hold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _probed(parted: DataFrame, found: DataFrame, weed: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int, merge: Callable[[DataFrame, DataFrame], DataFrame], hold: Callable[[DataFrame, str], DataFrame], odd: DataFrame | None) -> DataFrame:
     """Components after the items of `_refine` outside their group's main component were tried with about PROBES members of it, drawn by hash.
 
     In a dense group nearly all of them link to one of those and need none of their other pairs.
     """
     placed = parted.join(joinable(found, KNOWN), "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("component"))
     main = placed.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", "c").alias("main"), F.max("c").alias("held"))
-    named = hold(placed.join(main, "g"), "named")
-    probes = named.where("component = main").where(F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("held") / PROBES)) == 0).select("g", F.col("id").alias("p"), F.col("n").alias("m"))
-    tried = named.where("component <> main").join(probes, "g").where(f"100 * n >= {percent} * m and 100 * m >= {percent} * n")
-    tried = hold(tried.groupBy(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).agg(F.count("*").alias("hits")), "tried")
+    held = hold(placed.join(main, "g"), "named")
+    named = _with_bits(held, odd)
+    sides = lambda df, s: df.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "bits") if c in df.columns))
+    probes = named.where("component = main").where(F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("held") / PROBES)) == 0)
+    tried = sides(named.where("component <> main"), "x").join(sides(probes, "y"), "g").where(_possible(percent, odd is not None))
+    tried = hold(tried.groupBy(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).agg(F.count("*").alias("hits")), "tried")
     out = merge(found, verify(weed(tried)))
-    drop_table(named, tried)
+    drop_table(held, tried)
     return out
 
 
@@ -290,11 +298,11 @@ def _finer(parted: DataFrame, found: DataFrame) -> DataFrame:
     return placed.select("id", "n", F.xxhash64("g", "e").alias("key"), "component")
 
 
-def _inside(parted: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _inside(parted: DataFrame, found: DataFrame, percent: int, odd: DataFrame | None) -> DataFrame:
     """Pairs (a, b, hits) of the items of `_refine` across components that may be linked by the consensus alone, joined on a class of the smaller size."""
     placed = parted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).where(f"100 * most >= {percent} * n").drop("prefix")
     main = placed.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", "c").alias("main"))
-    named = _table(placed.join(main, "g"), "named")
+    named = _with_bits(_table(placed.join(main, "g"), "named"), odd)
     step = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
     lesser = named.where("most >= n").withColumn("step", step(F.col("n")))
     steps = F.sequence(step(F.greatest(F.ceil(percent * F.col("n") / 100), F.lit(1))), step(F.greatest(F.least("n", "most"), F.lit(1))))
@@ -304,8 +312,8 @@ def _inside(parted: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         # one side, at least, lies outside the group's main component
         x = lesser.where("component <> main") if odd else lesser
         y = larger if odd else larger.where("component <> main")
-        x, y = (side.select("g", "step", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "most", "component"))) for side, s in ((x, "x"), (y, "y")))
-        joined = x.join(y, ["g", "step"]).where("component_x <> component_y and n_x <= n_y and n_y <= most_x and n_x <= most_y")
+        x, y = (side.select("g", "step", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "most", "component", "bits") if k in named.columns)) for side, s in ((x, "x"), (y, "y")))
+        joined = x.join(y, ["g", "step"]).where("component_x <> component_y and n_x <= n_y and n_y <= most_x and n_x <= most_y").where(_possible(percent, odd is not None))
         pairs.append(joined.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")))
     return pairs[0].union(pairs[1]).groupBy("a", "b").agg(F.count("*").alias("hits"))
 
@@ -342,21 +350,34 @@ def _crossed(rest: DataFrame, percent: int, marks: DataFrame) -> DataFrame:
     """Pairs (a, b, hits) across components under one key of `rest` that their sizes and parities leave possible.
 
     One end lies outside the key's main component, so what is in that one is never paired with itself; a pair comes from the
-    least of its keys alone.  `marks` has (id, keys: all of an item here[, bits]).  A bit of the parities
-    of two sets differs only if they differ in a member of its class: so many members, at least, lie in one set alone.
+    least of its keys alone.  `marks` has (id, keys: all of an item here[, bits]).
     """
     shown = [c for c in ("id", "n", "component", "main", "keys", "bits") if c in rest.columns or c in marks.columns]
     rest = rest.join(joinable(marks, MARKED), "id")
     x, y = (rest.select("key", *(F.col(k).alias(f"{k}_{s}") for k in shown)) for s in "xy")
     joined = x.where("component_x <> main_x").join(y, "key").where("component_x <> component_y and (component_y = main_y or component_x < component_y)")
-    joined = joined.where((100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")))
-    if "bits" in shown:
-        apart = functools.reduce(Column.__add__, (F.bit_count(F.get("bits_x", i).bitwiseXOR(F.get("bits_y", i))) for i in range(PARITIES)))
-        joined = joined.where((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
+    joined = joined.where(_possible(percent, "bits" in shown))
     shared = F.array_intersect("keys_x", "keys_y")
     return joined.where(F.array_min(shared) == F.col("key")).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.size(shared).cast("long").alias("hits"))
 
 
+def _with_bits(items: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """`items` with their parities, if there are any."""
+    return items if odd is None else items.join(joinable(odd, MARKED), "id")
+
+
+def _possible(percent: int, bits: bool) -> Column:
+    """Whether sizes n_x and n_y, and parities bits_x and bits_y if there are any, leave a link possible.
+
+    A bit of the parities of two sets differs only if they differ in a member of its class: so many members, at least, lie in one set alone.
+    """
+    alike = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
+    if not bits:
+        return alike
+    apart = functools.reduce(Column.__add__, (F.bit_count(F.get("bits_x", i).bitwiseXOR(F.get("bits_y", i))) for i in range(PARITIES)))
+    return alike & ((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
+
+
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) that do not lie in one component yet."""
     joined = pairs.join(_named(found, "a", "c_a"), "a", "left").join(_named(found, "b", "c_b"), "b", "left")

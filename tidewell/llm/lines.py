@@ -28,14 +28,19 @@ class LineMinHash:
     short: int = 24
 
 
-def hashes(line: Column, p: LineMinHash) -> Column:
-    """Sorted hashes of a line's distinct shingles; a line shorter than one shingle is its only one.
+def shingles(line: Column, p: LineMinHash) -> Column:
+    """Hashes of a line's shingles in their order, repeated ones too; a line shorter than one shingle is its only one.
 
     In UTF-32 every shingle is a slice at a fixed place, so none is searched for.
     """
     last = lambda b: F.greatest(F.octet_length(b) - F.lit(_WIDE * p.width - 1), F.lit(1))
     cut = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(_WIDE)), lambda i: F.xxhash64(F.substr(b, i, F.lit(_WIDE * p.width))))
-    return F.sort_array(F.array_distinct(let(F.encode(line, "UTF-32"), cut)))
+    return let(F.encode(line, "UTF-32"), cut)
+
+
+def hashes(line: Column, p: LineMinHash) -> Column:
+    """Sorted hashes of a line's distinct shingles."""
+    return F.sort_array(F.array_distinct(shingles(line, p)))
 
 
 def with_band_keys(rows: DataFrame, p: LineMinHash) -> DataFrame:
@@ -86,11 +91,15 @@ def _couples(hashes: Column, p: LineMinHash) -> Column:
     return F.when(F.size(hashes) == 1, hashes).otherwise(pairs)
 
 
-def _parity(hashes: Column, k: int) -> Column:
-    """The k-th 64 parities of a set: a bit is set if an odd number of members fall into its class."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    mine = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(PARITIES - 1) == k)
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda so_far, h: so_far.bitwiseXOR(bit(h)))
+def with_parities(sets: DataFrame) -> DataFrame:
+    """(id, bits) of sets (id, members: different longs, one row an id): a bit is set if an odd number of members fall into its class.
+
+    Members are taken apart and summed by generated code; a lambda for each long of parities would pass over all members again.
+    """
+    h = F.col("h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    apart = sets.select("id", F.explode_outer("members").alias("h")).select("id", F.shiftright(h, 6).bitwiseAND(PARITIES - 1).alias("k"), bit.alias("bit"))
+    return apart.groupBy("id").agg(F.array(*(F.bit_xor(F.when(F.col("k") == k, F.col("bit")).otherwise(0)) for k in range(PARITIES))).alias("bits"))
 
 
 def _named(line: str = "line") -> list[Column]:
@@ -125,14 +134,14 @@ def line_components(lines: DataFrame, p: LineMinHash = LineMinHash()) -> DataFra
 
     def verify(pairs: DataFrame) -> DataFrame:
         joined = beside(pairs, texts[0], "line", "n").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
-        both = F.size(F.array_intersect(hashes(F.col("line_a"), p), hashes(F.col("line_b"), p)))
+        both = F.size(F.array_intersect(shingles(F.col("line_a"), p), shingles(F.col("line_b"), p)))  # counts none twice
         return joined.where((100 + p.percent) * both >= p.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def own(ids: DataFrame) -> DataFrame:
-        return texts[0].join(ids, "id", "left_semi").select("id", hashes(F.col("line"), p).alias("members"))
+        return texts[0].join(ids, "id", "left_semi").select("id", F.array_distinct(shingles(F.col("line"), p)).alias("members"))
 
     def parities(ids: DataFrame) -> DataFrame:
-        return own(ids).select("id", F.array(*(_parity(F.col("members"), k) for k in range(PARITIES))).alias("bits"))
+        return with_parities(own(ids))
 
     found = linked(bands, lambda pairs: pairs.withColumnRenamed("hits", "score"), verify, own, p.percent, small=16, gather=gather, few=0, parities=parities)
     drop_table(*texts)
