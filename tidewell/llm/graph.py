@@ -370,11 +370,12 @@ def _possible(percent: int, bits: bool) -> Column:
     """Whether sizes n_x and n_y, and parities bits_x and bits_y if there are any, leave a link possible.
 
     A bit of the parities of two sets differs only if they differ in a member of its class: so many members, at least, lie in one set alone.
+    Longs that are not given tell nothing.
     """
     alike = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
     if not bits:
         return alike
-    apart = functools.reduce(Column.__add__, (F.bit_count(F.get("bits_x", i).bitwiseXOR(F.get("bits_y", i))) for i in range(PARITIES)))
+    apart = functools.reduce(Column.__add__, (F.coalesce(F.bit_count(F.get("bits_x", i).bitwiseXOR(F.get("bits_y", i))), F.lit(0)) for i in range(PARITIES)))
     return alike & ((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
 
 
