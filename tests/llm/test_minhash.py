@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 from itertools import combinations
@@ -74,6 +75,22 @@ def test_large_groups_are_refined_without_losing_links(spark, documents, share):
     check(spark, documents, list(enumerate(texts)))
 
 
+def test_groups_are_refined_without_parities(spark, documents, monkeypatch):
+    """As if more pairs were left at every level than are checked in one go: small tables end before any group is refined."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(90)]
+    second = [f"c{i}" if i % 9 == 0 else w for i, w in enumerate(base)]
+    texts = family(rng, base, 60, 0.2) + family(rng, second, 30, 0.2) + [" ".join(base[:n]) for n in range(70, 90, 4)] + [" ".join(base)]
+    monkeypatch.setattr(graph, "_crossing", lambda rest: float("inf"))
+    monkeypatch.setattr(graph, "AT_ONCE", 0)
+    monkeypatch.setattr(minhash, "linked", functools.partial(graph.linked, small=2))
+    levels = []
+    refine = graph._refine
+    monkeypatch.setattr(graph, "_refine", lambda *a: levels.append(1) or refine(*a))
+    check(spark, documents, list(enumerate(texts)))
+    assert levels
+
+
 def test_widths_and_thresholds(spark, documents):
     rng = random.Random(9)
     base = [f"b{i}" for i in range(80)]

@@ -308,10 +308,10 @@ def _inside(parted: DataFrame, found: DataFrame, percent: int, odd: DataFrame |
     steps = F.sequence(step(F.greatest(F.ceil(percent * F.col("n") / 100), F.lit(1))), step(F.greatest(F.least("n", "most"), F.lit(1))))
     larger = named.withColumn("step", F.explode(steps))
     pairs = []
-    for odd in (True, False):
+    for lesser_outside in (True, False):
         # one side, at least, lies outside the group's main component
-        x = lesser.where("component <> main") if odd else lesser
-        y = larger if odd else larger.where("component <> main")
+        x = lesser.where("component <> main") if lesser_outside else lesser
+        y = larger if lesser_outside else larger.where("component <> main")
         x, y = (side.select("g", "step", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "n", "most", "component", "bits") if k in named.columns)) for side, s in ((x, "x"), (y, "y")))
         joined = x.join(y, ["g", "step"]).where("component_x <> component_y and n_x <= n_y and n_y <= most_x and n_x <= most_y").where(_possible(percent, odd is not None))
         pairs.append(joined.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")))
