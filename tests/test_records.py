@@ -81,6 +81,20 @@ def test_prefixes_find_none_one_or_several(spark):
     assert not got
 
 
+def test_many_prefixes_and_hashes_of_one_head_meet_without_pairs(spark):
+    """600 hashes and as many prefixes share their first digits: 360,000 pairs if they met by these."""
+    hashes = ["abcdef0" + hashlib.sha1(str(i).encode()).hexdigest()[: 1 + i % 33] for i in range(600)] + ["abcdef0é", "abcdef0éa", "\U0001f600" * 7 + "x"]
+    shorts = [h[: 5 + i % 9] for i, h in enumerate(hashes)] + [h + "0" for h in hashes[:50]] + ["abcdef0é", "abcdef0\uffff", "\U0001f600" * 7]
+    found = scan.resolved(spark.createDataFrame([(s,) for s in shorts], "short string"), "short", spark.createDataFrame([(h,) for h in hashes], "oid string"), "oid")
+    assert not re.search("Join|Cartesian", found._jdf.queryExecution().executedPlan().toString())
+    got = {r.short: (r.oid, r.matches) for r in found.collect()}
+    want = {}
+    for s in set(shorts):
+        hits = {h for h in hashes if len(s) >= 7 and h.startswith(s)}
+        want[s] = (hits.pop(), "one") if len(hits) == 1 else (None, "ambiguous" if hits else "none")
+    assert got == want and {m for _, m in got.values()} == {"one", "none", "ambiguous"}
+
+
 def test_comments_name_heads_by_prefix(spark):
     full = {k: hashlib.sha1(k.encode()).hexdigest() for k in "abcd"}
     heads = spark.createDataFrame([(k, v) for k, v in full.items()], "name string, head string")
