@@ -141,6 +141,24 @@ def test_manifests_are_held_to_the_contract(spark):
     assert got == sorted(want)
 
 
+def test_each_value_is_taken_out_once(spark):
+    """Every level asked for the values below it, and for their shapes, several times anew, so that the calls of the expression multiplied."""
+    inner = {"type": "object", "properties": {"c": {"type": ["integer", "null"]}, "d": {"type": "string", "enum": ["x"]}}}
+    schema = {"type": "object", "required": ["a", "z"], "properties": {"a": {"type": "object", "properties": {"b": inner}}}}
+    docs = ['{"a": {"b": {"c": 1, "d": "x"}}, "z": null}', '{"a": {"b": {"c": "1", "d": 2}}, "z": 0}', '{"a": {"b": []}, "z": {}}', "{}", '{"a": null, "z": 1}']
+    found = contract.check(spark.createDataFrame(list(enumerate(docs)), "id int, doc string"), "id", "doc", schema)
+    assert sorted((r.id, r.path, r.rule) for r in found.collect()) == [(1, "$.a.b.c", "type"), (1, "$.a.b.d", "type"), (2, "$.a.b", "type"), (3, "$.a", "required"), (3, "$.z", "required"), (4, "$.a", "type")]
+    calls = str(contract.violations(F.col("v"), schema))
+    assert calls.count("schema_of_variant") == 2 and calls.count("try_variant_get") < 12
+
+
+def test_names_that_differ_in_case_and_odd_names(spark):
+    schema = {"type": "object", "required": ["a", "A"], "properties": {"a": {"type": "string"}, "A": {"type": "boolean"}, "q`.x": {"type": "object", "properties": {"o`.p": {"type": "null"}}, "additionalProperties": False}}}
+    docs = ['{"a": "s", "A": true}', '{"a": true}', '{"A": 1, "q`.x": {"o`.p": 1, "r": 2}}', "[]"]
+    found = contract.check(spark.createDataFrame(list(enumerate(docs)), "id int, doc string"), "id", "doc", schema)
+    assert sorted((r.id, r.path, r.rule) for r in found.collect()) == [(1, "$.A", "required"), (1, "$.a", "type"), (2, "$.A", "type"), (2, "$.a", "required"), (2, "$.q`.x.o`.p", "type"), (2, "$.q`.x.r", "additionalProperties"), (3, "$", "type")]
+
+
 def test_other_rules(spark):
     schema = {
         "type": "object", "additionalProperties": False,

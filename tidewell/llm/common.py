@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let as let
 from ..shipping import ship
 
 #: White space that separates words in the contracts: space and U+0009 to U+000D.
@@ -155,15 +156,6 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def let(value: Column, body) -> Column:
-    """`body(v)` with `value` computed once and bound to a lambda variable.
-
-    Catalyst may inline a projected expression into each lambda that mentions it, which
-    would compute it again for each element; a lambda variable cannot be inlined.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def own_names(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under the operator's names: other columns cannot clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in wanted.items()))

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 #: Types of the numbers that JSON holds, as Spark names them.
-_NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
+NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
 
 
-def kind(value: Column) -> Column:
-    """number, string, boolean, list, object, null or absent, of a VARIANT."""
-    name = F.schema_of_variant(value)
+def kind(value: Column, shown: Column | None = None) -> Column:
+    """number, string, boolean, list, object, null or absent, of a VARIANT; `shown` is its schema_of_variant where that is at hand."""
+    name = F.schema_of_variant(value) if shown is None else shown
     return (
-        F.when(value.isNull(), "absent").when(F.is_variant_null(value), "null").when(name.rlike(_NUMBERS), "number")
-        .when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name.startswith("ARRAY"), "list").otherwise("object")
+        F.when(name.isNull(), "absent").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
+        .when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "object").when(name.rlike(NUMBERS), "number").otherwise("object")
     )
 
 
