@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from tidewell.llm import graph, minhash, queries
 from tidewell.llm.hashing import BLANKS, MARKS, pieces, strings, words
 
@@ -75,7 +76,8 @@ def test_large_groups_are_refined_without_losing_links(spark, documents, share):
     check(spark, documents, list(enumerate(texts)))
 
 
-def test_groups_are_refined_without_parities(spark, documents, monkeypatch):
+@pytest.mark.parametrize("p", [minhash.HyperMinHash(), corpus_pipeline.NEAR], ids=["op8", "pipeline"])
+def test_groups_are_refined_without_parities(spark, documents, monkeypatch, p):
     """As if more pairs were left at every level than are checked in one go: small tables end before any group is refined."""
     rng = random.Random(5)
     base = [f"b{i}" for i in range(90)]
@@ -87,7 +89,7 @@ def test_groups_are_refined_without_parities(spark, documents, monkeypatch):
     levels = []
     refine = graph._refine
     monkeypatch.setattr(graph, "_refine", lambda *a: levels.append(1) or refine(*a))
-    check(spark, documents, list(enumerate(texts)))
+    check(spark, documents, list(enumerate(texts)), p)
     assert levels
 
 
